@@ -35,6 +35,12 @@ def p1_agreement(spark: SparkSession, d: str) -> DataFrame:
     return a.select("n_items", "n_answers", F.round("observed_disagreement", 6).alias("observed_disagreement"), F.round("expected_disagreement", 6).alias("expected_disagreement"), F.round("alpha", 6).alias("alpha"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from claimscope.llm.sentences import sentences
+
+    return sentences(load(spark, d, "document")).distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from claimscope.llm.glyphs import same_reading, slices, vocabulary
 
@@ -103,4 +109,4 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_restored(spark, d).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_items, p1_workers, p1_agreement, p5_found, p5_documents, p6_found, p7_containers, p7_summary, p8_mixture, p8_shares, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_items, p1_workers, p1_agreement, p2_found, p5_found, p5_documents, p6_found, p7_containers, p7_summary, p8_mixture, p8_shares, p9_found, p9_restored)}
