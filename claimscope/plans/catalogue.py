@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimscope.plans import general
+from claimscope.plans import general, relational
 
-QUERIES = {**general.QUERIES}
-SQL = {**general.SQL}
+QUERIES = {**general.QUERIES, **relational.QUERIES}
+SQL = {**general.SQL, **relational.SQL}
