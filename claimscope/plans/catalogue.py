@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimscope.plans import general, relational
+from claimscope.plans import evaluation, general, relational, sampling
 
-QUERIES = {**general.QUERIES, **relational.QUERIES}
-SQL = {**general.SQL, **relational.SQL}
+QUERIES = {**general.QUERIES, **relational.QUERIES, **sampling.QUERIES, **evaluation.QUERIES}
+SQL = {**general.SQL, **relational.SQL, **sampling.SQL, **evaluation.SQL}

@@ -87,8 +87,9 @@ WITH RECURSIVE src AS (
  UNION SELECT DISTINCT 'sample_batch', CAST(id AS VARCHAR), params FROM sample_batch),
 j1 AS (SELECT source_table, record_key, CAST(params AS JSON) AS j FROM src WHERE params IS NOT NULL AND json_valid(params)),
 j2 AS (SELECT source_table, record_key, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j ->> '$') THEN CAST(j ->> '$' AS JSON) END ELSE j END AS j FROM j1),
+j3 AS (SELECT source_table, record_key, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j ->> '$') THEN CAST(j ->> '$' AS JSON) END ELSE j END AS j FROM j2),
 n(source_table, record_key, path, parent_path, j) AS (
- SELECT source_table, record_key, '$', '$', j FROM j2 WHERE j IS NOT NULL
+ SELECT source_table, record_key, '$', '$', j FROM j3 WHERE j IS NOT NULL
  UNION ALL
  SELECT source_table, record_key, c.path, c.parent_path, c.j FROM n, LATERAL (
   SELECT n.path || '.' || f AS path, n.path AS parent_path, json_extract(n.j, '$."' || f || '"') AS j FROM (SELECT unnest(json_keys(n.j)) AS f) WHERE json_type(n.j) = 'OBJECT'

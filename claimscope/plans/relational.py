@@ -195,14 +195,16 @@ def corpus_listing(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT q.query, t.doc_id FROM q JOIN t USING (token) GROUP BY q.query, t.doc_id, q.n HAVING count(*) = q.n""",
-       more="""q0 AS (SELECT DISTINCT kb_entity AS query, regexp_extract_all(lower(kb_entity), '[a-z0-9]+') AS toks FROM documents WHERE kb_entity IS NOT NULL),
-q AS (SELECT DISTINCT query, unnest(toks) AS token, len(list_distinct(toks)) AS n FROM q0),
-t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(title), '[a-z0-9]+')) AS token FROM documents WHERE title IS NOT NULL)""")
+       more="""q0 AS (SELECT DISTINCT kb_entity AS query, list_distinct(regexp_extract_all(lower(regexp_replace(kb_entity, '^wiki:|_\\([^)]*\\)$', '', 'g')), '[a-z0-9]+')) AS toks FROM documents WHERE kb_entity IS NOT NULL),
+q AS (SELECT query, unnest(toks) AS token, len(toks) AS n FROM q0),
+t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents WHERE text IS NOT NULL)""")
 def text_match(s: SparkSession, d: str) -> DataFrame:
+    """Documents that hold every lexeme of an entity's name; only lexemes of some name are shuffled."""
     t = load(s, d, "documents")
     tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1)))
-    q = t.select(F.col("kb_entity").alias("query")).dropna().distinct().withColumn("t", tokens("query")).select("query", F.size("t").alias("n"), F.explode("t").alias("token"))
-    w = t.filter(F.col("title").isNotNull()).select("doc_id", F.explode(tokens("title")).alias("token")).distinct()
+    name = F.regexp_replace("query", r"^wiki:|_\([^)]*\)$", "")
+    q = t.select(F.col("kb_entity").alias("query")).dropna().distinct().withColumn("t", tokens(name)).select("query", F.size("t").alias("n"), F.explode("t").alias("token"))
+    w = t.filter(F.col("text").isNotNull()).select("doc_id", F.explode(tokens("text")).alias("token")).join(q.select("token").distinct(), "token", "left_semi").distinct()
     return q.join(w, "token").groupBy("query", "doc_id", "n").agg(F.count(F.lit(1)).alias("hits")).filter("hits = n").select("query", "doc_id")
 
 
@@ -383,7 +385,7 @@ def json_question(s: SparkSession, d: str) -> DataFrame:
     return q.select("batch_id", "id", at("$.batch_type").alias("batch_type"), at("$.doc_id").alias("doc_id"), at("$.subject.span[0]").try_cast("int").alias("subject_lo"), at("$.mention_1[1]").alias("legacy")).distinct()
 
 
-@query("""SELECT doc_id, sentence_index, lo, len(words) AS n, array_to_string(list_transform(words, w -> CASE w WHEN '-LRB-' THEN '(' WHEN '-RRB-' THEN ')' WHEN '``' THEN '"' ELSE w END), ' ') AS shown, list_max(list_transform(token_spans, t -> t.hi - t.lo)) AS longest
+@query("""SELECT doc_id, sentence_index, lo, len(words) AS n, array_to_string(list_transform(words, lambda w: CASE w WHEN '-LRB-' THEN '(' WHEN '-RRB-' THEN ')' WHEN '``' THEN '"' ELSE w END), ' ') AS shown, list_max(list_transform(token_spans, lambda t: t.hi - t.lo)) AS longest
  FROM (SELECT DISTINCT doc_id, sentence_index, span.lo AS lo, words, token_spans FROM sentence)""")
 def tokens(s: SparkSession, d: str) -> DataFrame:
     t = load(s, d, "sentence").selectExpr("doc_id", "sentence_index", "span.lo AS lo", "words", "token_spans").distinct()
