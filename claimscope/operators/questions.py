@@ -13,7 +13,7 @@ def relation_questions(samples: DataFrame, mentions: DataFrame, asked: DataFrame
     """(doc_id, s_lo, s_hi, o_lo, o_hi, id, params): one question per unordered pair of a document that was not asked
     in either direction. An organisation beside a person, and a place beside anything else, become the object.
     samples: doc_id, s_lo, s_hi, o_lo, o_hi; mentions: doc_id, lo, hi, mention_type, gloss; asked: doc_id, s_lo, o_lo."""
-    pairs = unordered(samples.distinct(), F.struct("s_lo", "s_hi"), F.struct("o_lo", "o_hi"), ["doc_id"], [F.col("s_lo"), F.col("s_hi"), F.col("o_lo"), F.col("o_hi")])
+    pairs = unordered(samples.distinct(), F.struct(F.col("s_lo").alias("lo"), F.col("s_hi").alias("hi")), F.struct(F.col("o_lo").alias("lo"), F.col("o_hi").alias("hi")), ["doc_id"], [F.col("s_lo"), F.col("s_hi"), F.col("o_lo"), F.col("o_hi")])
     both = asked.select("doc_id", "s_lo", "o_lo").unionByName(asked.select("doc_id", F.col("o_lo").alias("s_lo"), F.col("s_lo").alias("o_lo"))).distinct()
     fresh = pairs.join(both, ["doc_id", "s_lo", "o_lo"], "left_anti")
     one = mentions.groupBy("doc_id", "lo", "hi").agg(F.min(F.struct("mention_type", "gloss")).alias("m"))

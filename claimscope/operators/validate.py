@@ -1,7 +1,8 @@
 """Validation and symmetrisation of statements (see sources.kbfiles): clean tables and a table of issues.
 
 Every rule is a set operation on keys with line numbers, so order dependence ("the first definition wins") doesn't
-depend on partitions. Issues are rows (code, level, line, details); level follows from the code's letter.
+depend on partitions. Tables that several rules read are checkpointed, so that no rule repeats the work of those
+before it. Issues are rows (code, level, line, details); level follows from the code's letter.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimscope.functions.dictionaries import argument_types, inverse, is_canonical
+from claimscope.session import checkpointed
 
 PROV = "struct<doc_id:string,lo:int,hi:int>"
 
@@ -55,6 +57,7 @@ def validate(statements: DataFrame, doc_ids: DataFrame | None = None, same_nil:
     """All rules in turn. doc_ids: (doc_id) of the corpus, none for any. same_nil: give every mention without a link
     the one link NILX0 instead of one of its own."""
     spark = statements.sparkSession
+    statements = checkpointed(statements)
     issues = [_issue(statements.filter("kind = 'bad'"), "E01", F.col("relation"))]
     s = statements.filter("kind <> 'bad'")
     lacking = s.filter("subject IS NULL")
@@ -70,7 +73,9 @@ def validate(statements: DataFrame, doc_ids: DataFrame | None = None, same_nil:
         issues.append(_issue(s.join(ids, F.col("subject.doc_id") == F.col("_d"), "left_anti"), "I31", _text("subject")))
         s = inside
 
+    s = checkpointed(s)
     mentions, more = _first_wins(s.filter("kind = 'mention'"), ["subject"], ["relation", "object"], {"relation": "E11", "object": "E12"})
+    mentions = checkpointed(mentions)
     issues += more
 
     c = s.filter("kind = 'canonical' AND object_prov IS NOT NULL")
@@ -99,6 +104,7 @@ def validate(statements: DataFrame, doc_ids: DataFrame | None = None, same_nil:
     cover = F.array(F.struct(F.col("subject.doc_id").alias("doc_id"), F.least("subject.lo", "object_prov.lo").alias("lo"), F.greatest("subject.hi", "object_prov.hi").alias("hi")).cast(PROV))
     relations = relations.withColumn("provenances", F.when(F.size("provenances") == 0, cover).otherwise(F.col("provenances")))
 
+    canonical, links, relations = map(checkpointed, (canonical, links, relations))
     # what refers to no mention goes; what a mention lacks is added
     known = mentions.select(F.col("subject").alias("_m"))
     semi = lambda df, column, how: df.join(known, F.col(column) == F.col("_m"), how)
@@ -128,6 +134,7 @@ def validate(statements: DataFrame, doc_ids: DataFrame | None = None, same_nil:
     checked = typed.withColumn("_r", F.when(stays | inv.isNull(), F.col("relation")).otherwise(inv)).withColumn("_flip", ~stays & inv.isNotNull())
     checked = checked.withColumns({"_st": F.when(F.col("_flip"), F.col("object_type")).otherwise(F.col("subject_type")), "_ot": F.when(F.col("_flip"), F.col("subject_type")).otherwise(F.col("object_type"))})
     admitted = F.broadcast(argument_types(spark).select(F.col("relation").alias("_r"), F.col("subject_type").alias("_st"), F.col("object_type").alias("_ot")))
+    checked = checkpointed(checked)
     issues.append(_issue(checked.join(admitted, ["_r", "_st", "_ot"], "left_anti"), "E04", F.concat_ws(" ", "relation", "subject_type", "object_type")))
     good = checked.join(admitted, ["_r", "_st", "_ot"], "left_semi")
 
@@ -136,7 +143,7 @@ def validate(statements: DataFrame, doc_ids: DataFrame | None = None, same_nil:
     back = good.filter(inv.isNotNull()).select("line", F.col("object_prov").alias("subject"), inv.alias("relation"), F.col("subject").alias("object_prov"), "provenances", "weight", F.lit(1).alias("_added"))
     both = forward.unionByName(back)
     best = both.groupBy("subject", "object_prov").agg(F.min(F.struct("line", "_added", "relation")).alias("_b"), F.min("_added").alias("_stated"))
-    j = both.join(best, ["subject", "object_prov"])
+    j = checkpointed(both.join(best, ["subject", "object_prov"]))
     issues.append(_issue(j.filter("relation <> _b.relation"), "E16", F.col("relation")))
     final = j.filter("line = _b.line AND _added = _b._added")
     issues.append(_issue(final.filter("_stated = 1"), "W28", F.concat_ws(" ", _text("subject"), F.col("relation"))))
@@ -148,6 +155,7 @@ def resolve_entities(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entity-centric statements as five-column ones, with issues. A mention claimed by several entities stays with
     the first; entities without a type go; a relation's arguments are the first mention of each entity at or after a
     provenance, in the order of the provenances."""
+    statements = checkpointed(statements)
     issues = [_issue(statements.filter("kind = 'bad'"), "E01", F.lit("columns"))]
     types = statements.filter("kind = 'type'").groupBy("entity").agg(F.min_by("object", "line").alias("type"))
     m = statements.filter("kind IN ('mention', 'canonical') AND size(provenances) > 0").withColumn("prov", F.get("provenances", F.lit(0)))
@@ -156,7 +164,7 @@ def resolve_entities(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
     j = _firsts(m, ["prov"], ["entity"])
     issues.append(_issue(j.filter("entity <> _f.entity"), "E11", F.col("entity")))
     owned = j.filter("entity = _f.entity")
-    mention = owned.groupBy("entity", "type", "prov").agg(F.min_by("object", "line").alias("gloss"), F.min("line").alias("line"))
+    mention = checkpointed(owned.groupBy("entity", "type", "prov").agg(F.min_by("object", "line").alias("gloss"), F.min("line").alias("line")))
     stated = owned.filter("kind = 'canonical'").groupBy("entity", F.col("prov.doc_id").alias("doc_id")).agg(F.min_by("prov", "line").alias("canon"))
     fallback = mention.groupBy("entity", F.col("prov.doc_id").alias("doc_id")).agg(F.min("prov").alias("least"))
     canon = fallback.join(stated, ["entity", "doc_id"], "left").select("entity", "doc_id", F.coalesce("canon", "least").alias("canon"))
@@ -170,6 +178,7 @@ def resolve_entities(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
         return found.groupBy("line").agg(F.min_by("prov", F.struct("pos", F.col("prov"))).alias(f"_{side}"))
 
     args = rel.select("line", "entity", "relation", F.col("object").alias("other"), "provenances", "weight").join(argument("entity"), "line", "left").join(argument("other"), "line", "left")
+    args = checkpointed(args)
     issues.append(_issue(args.filter("_entity IS NULL OR _other IS NULL"), "W26", F.concat_ws(" ", "entity", "other")))
     ok = args.filter("_entity IS NOT NULL AND _other IS NOT NULL")
     none = F.array().cast(f"array<{PROV}>")

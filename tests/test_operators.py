@@ -52,7 +52,7 @@ def test_proposal_and_merged_labels(spark):
 
 def test_estimates_recover_generated_precision_and_recall(spark):
     rng = random.Random(7)
-    true, false = [f"t{i}" for i in range(400)], [f"f{i}" for i in range(400)]
+    true, false = [f"t{i}" for i in range(400)], [f"f{i}" for i in range(800)]
     wanted = [(0.8, 0.5), (0.4, 0.7), (0.6, 0.3)]
     P, X, Y = [], [], []
     for i, (p, r) in enumerate(wanted):
