@@ -93,11 +93,13 @@ def draw_uniformly_with_replacement(df: DataFrame, ids: list[str], n: int, seed:
     return u.join(position, "position").select(*ids, "draw")
 
 
-def kl_divergence(p: DataFrame, q: DataFrame, keys: list[str]) -> DataFrame:
-    """One row: sum p ln(p/q); terms with p = 0 are 0; null where q lacks mass that p has."""
-    j = p.select(*keys, F.col("p").alias("_p")).join(q.select(*keys, F.col("p").alias("_q")), keys, "left")
+def kl_divergence(p: DataFrame, q: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:
+    """sum p ln(p/q), one row, or one for each value of the columns `by` of p; terms with p = 0 are 0; null where q
+    lacks mass that p has."""
+    by = by or []
+    j = p.select(*by, *keys, F.col("p").alias("_p")).join(q.select(*keys, F.col("p").alias("_q")), keys, "left")
     term = F.when(F.col("_p") == 0, 0.0).otherwise(F.col("_p") * F.log(F.try_divide(F.col("_p"), F.col("_q"))))
-    return j.agg(F.when(F.count_if(F.col("_p").isNotNull() & (F.col("_p") > 0) & F.coalesce(F.col("_q"), F.lit(0.0)).eqNullSafe(0.0)) == 0, F.sum(term)).alias("kl"))
+    return j.groupBy(*by).agg(F.when(F.count_if(F.col("_p").isNotNull() & (F.col("_p") > 0) & F.coalesce(F.col("_q"), F.lit(0.0)).eqNullSafe(0.0)) == 0, F.sum(term)).alias("kl"))
 
 
 def entropy(counts: DataFrame, keys: list[str], n: str) -> DataFrame:

@@ -118,7 +118,7 @@ def wsample_hash(s: SparkSession, d: str) -> DataFrame:
 @query()
 def wsample_with_replacement(s: SparkSession, d: str) -> DataFrame:
     ids = ["submission_id", "subject_entity", "relation", "object_entity"]
-    return dist.draw_with_replacement(_instances(s, d).filter("submission_id = 0").withColumn("p", F.col("n").cast("double")), ids, "p", 500, "r")
+    return dist.draw_with_replacement(_instances(s, d).withColumn("p", F.col("n").cast("double")), ids, "p", 500, "r")
 
 
 @query(f"""SELECT x.doc_id, draw FROM (SELECT g AS draw, least(floor({_U.format(key="'u|' || g")} * (SELECT count(*) FROM x0)), (SELECT count(*) - 1 FROM x0)) AS pos FROM range(1, 501) t(g)) JOIN x ON x.pos = t_pos""".replace("t_pos", "CAST(_.pos AS BIGINT)").replace("FROM range(1, 501) t(g))", "FROM range(1, 501) t(g)) _"),
@@ -127,12 +127,14 @@ def uniform_with_replacement(s: SparkSession, d: str) -> DataFrame:
     return dist.draw_uniformly_with_replacement(load(s, d, "documents"), ["doc_id"], 500, "u")
 
 
-@query("""SELECT round(sum(a.p * ln(a.p / b.p)), 9) AS kl FROM (SELECT relation, n / sum(n) OVER () AS p FROM (SELECT relation, count(*)::DOUBLE AS n FROM k_relation WHERE submission_id = 0 GROUP BY relation)) a
- JOIN (SELECT relation, n / sum(n) OVER () AS p FROM (SELECT relation, count(*)::DOUBLE AS n FROM k_relation WHERE submission_id = 1 GROUP BY relation)) b USING (relation)""", "k_relation")
+@query("""SELECT a.submission_id, round(sum(a.p * ln(a.p / b.p)), 9) AS kl FROM (SELECT submission_id, relation, n / sum(n) OVER (PARTITION BY submission_id) AS p FROM (SELECT submission_id, relation, count(*)::DOUBLE AS n FROM k_relation GROUP BY submission_id, relation)) a
+ JOIN (SELECT relation, n / sum(n) OVER () AS p FROM (SELECT relation, count(*)::DOUBLE AS n FROM k_relation GROUP BY relation)) b USING (relation) GROUP BY a.submission_id""", "k_relation")
 def kl_divergence(s: SparkSession, d: str) -> DataFrame:
-    p = k.relations(s, d).groupBy("submission_id", "relation").agg(F.count(F.lit(1)).alias("p"))
-    p = dist.normalised(p, ["submission_id"])
-    return dist.kl_divergence(p.filter("submission_id = 0"), p.filter("submission_id = 1"), ["relation"]).select(F.round("kl", 9).alias("kl"))
+    """Of each submission's relations from those of all submissions."""
+    n = k.relations(s, d).groupBy("submission_id", "relation").agg(F.count(F.lit(1)).alias("p"))
+    every = n.groupBy("relation").agg(F.sum("p").alias("p")).withColumn("all", F.lit(1))
+    q = dist.normalised(every, ["all"])
+    return dist.kl_divergence(dist.normalised(n, ["submission_id"]), q, ["relation"], ["submission_id"]).withColumn("kl", F.round("kl", 9))
 
 
 @query("SELECT submission_id, round(ln(sum(n)), 9) AS log_z, round(ln(sum(n)) - sum(n * ln(n)) / sum(n), 9) AS entropy FROM (SELECT submission_id, subject_entity, count(*)::DOUBLE AS n FROM k_relation GROUP BY ALL) GROUP BY submission_id", "k_relation")
