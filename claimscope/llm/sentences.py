@@ -7,7 +7,8 @@ closing quotes or brackets is a candidate, and so is every space between words o
 The classifier is trained without labels, on boundaries that are reliable: the end of one block joined to the
 beginning of the next is a boundary; an end mark before a small letter, a comma or the like is none; nor is one after
 a token (or before a word) that is common beside end marks but practically never ends (begins) a block. Those
-frequencies are counted over all documents, in hash tables of fixed size. Features are the neighbouring tokens (by
+frequencies are counted over all documents, in hash tables of fixed size. The words after a candidate
+are counted in a second pass, only where the token before it can end a sentence. Features are the neighbouring tokens (by
 the same frequencies), their case, length, digits and script, the marks and the white space between.
 
 Broadcast: the count tables (3 * 2^18 pairs of floats, 6 MB) and the weights of the features met in training.
@@ -109,6 +110,7 @@ def blocks(text: str) -> list[tuple[int, int]]:
             fits = word is not None and len(line) + 1 + len(word.group()) <= width
             first = text[nxt : nxt + 1]
             ended = line[-1:] in MARKS or line[-1:] in CLOSERS
+            item_next = item_next and (item_now or ended or fits or line.endswith(":"))
             if item_next or item_now and not first.islower() and fits or fits and not ended and not first.islower() and len(line) < 0.4 * width and not line.endswith((",", ":", "-", "–")):
                 out.append((start, nl))
                 start = nxt
@@ -206,8 +208,7 @@ def _keys(left: tuple[str, str, str, str], right: str) -> tuple[str, str, str]:
     b = b if len(b) < 4 else ("0" if b[-1:] == "0" else "w")
     tail = (marks if len(marks) < 3 else marks[:3]) + closers
     r = _shape(right.strip(",;:.!?"))
-    # words that follow a short token (often an abbreviation) are counted apart from those that follow others
-    return f"a{t}|{tail}", f"b{b}|{t}|{tail}", f"c{marks == 'space'}{len(t) < 4}|{r}"
+    return f"a{t}|{tail}", f"b{b}|{t}|{tail}", f"c{marks == 'space'}|{r}"
 
 
 def _bucket(key: str) -> int:
@@ -224,48 +225,41 @@ def _refuses(text: str, j: int, nxt: int, hi: int) -> bool:
     return kind == "l" or ch in _REFUSED and not _item(text, nxt, hi) or kind == "c" or nxt == j and kind in ("d", "p") and ch not in MARKS or ch in MARKS and ch != ""
 
 
-def _block_pairs(text: str, spans: list[tuple[int, int]]):
-    """(block, its last candidate if it ends the block, next block)."""
-    for k, (lo, hi) in enumerate(spans):
-        ends = _ends(text, lo, hi)
-        yield lo, hi, ends, spans[k + 1] if k + 1 < len(spans) else None
-
-
-def _count(batches):
+def _tally(batches, splitter: "Splitter | None"):
+    """Occurrences of each type beside candidates, and at block edges. Without a splitter those of the types before
+    a candidate; with one, which knows these, those of the words after a candidate that can be a boundary."""
     size = 1 << BUCKET_BITS
+    tables = (0, 1) if splitter is None else (2,)
     for b in batches:
         edge, every = np.zeros((3, size)), np.zeros((3, size))
+
+        def add(left, right: str, at_edge: bool) -> None:
+            keys = _keys(left, right)
+            if splitter is not None and min(splitter.ratio(t, keys[t]) for t in (0, 1)) < NEVER:
+                return
+            for t in tables:
+                h = _bucket(keys[t])
+                every[t, h] += 1
+                edge[t, h] += at_edge
+
         for text in b["gloss"]:
-            if not text:
-                continue
-            spans = blocks(text)
             before = None
-            for lo, hi, ends, _ in _block_pairs(text, spans):
+            for lo, hi in blocks(text or ""):
                 final = None
-                for i, j, nxt in ends:
+                for i, j, nxt in _ends(text, lo, hi):
                     left = _left(text, lo, i, j)
-                    if nxt >= hi:
-                        final = left
-                        keys = _keys(left, "")
-                        for t in (0, 1):
-                            h = _bucket(keys[t])
-                            edge[t, h] += 1
-                            every[t, h] += 1
+                    if nxt < hi:
+                        add(left, _right(text, nxt, hi), False)
                     else:
-                        for t, key in enumerate(_keys(left, _right(text, nxt, hi))):
-                            every[t, _bucket(key)] += 1
+                        final = left
                 if final is None and any(_script(c) in UNMARKED for c in text[max(lo, hi - 40) : hi]):
                     final = _left(text, lo, hi, hi)
-                    for t in (0, 1):
-                        h = _bucket(_keys(final, "")[t])
-                        edge[t, h] += 1
-                        every[t, h] += 1
-                if before is not None and not _item(text, lo, hi):
-                    h = _bucket(_keys(before, _right(text, lo, hi))[2])
-                    edge[2, h] += 1
-                    every[2, h] += 1
+                if final is not None and splitter is None:
+                    add(final, "", True)
+                if before is not None and splitter is not None and not _item(text, lo, hi):
+                    add(before, _right(text, lo, hi), True)
                 before = final
-        for t in range(3):
+        for t in tables:
             at = np.flatnonzero(every[t])
             if len(at):
                 yield pd.DataFrame({"t": t, "bucket": at, "edge": edge[t, at].astype(np.int64), "n": every[t, at].astype(np.int64)})
@@ -310,11 +304,10 @@ class Splitter:
         """Train on the reliable boundaries of some texts."""
         rows, labels = [], []
         for text in texts:
-            spans = blocks(text)
             last = None
-            for lo, hi, ends, _ in _block_pairs(text, spans):
+            for lo, hi in blocks(text):
                 final = None
-                for i, j, nxt in ends:
+                for i, j, nxt in _ends(text, lo, hi):
                     left = _left(text, lo, i, j)
                     if nxt >= hi:
                         final = left
@@ -373,12 +366,16 @@ class Splitter:
 def train(texts: DataFrame) -> Splitter:
     """The splitter of a corpus; texts has a column gloss."""
     size = 1 << BUCKET_BITS
-    counts = texts.select("gloss").mapInPandas(_count, "t int, bucket long, edge long, n long").groupBy("t", "bucket").agg(F.sum("edge").alias("edge"), F.sum("n").alias("n")).toPandas()  # at most 3 * 2^18 rows
     edge, every = np.zeros((3, size)), np.zeros((3, size))
-    if len(counts):
-        edge[counts["t"], counts["bucket"]] = counts["edge"]
-        every[counts["t"], counts["bucket"]] = counts["n"]
-    splitter = Splitter(edge, every)
+    splitter = None
+    for _ in range(2):
+        known = texts.sparkSession.sparkContext.broadcast(splitter)
+        counts = texts.select("gloss").mapInPandas(lambda batches, known=known: _tally(batches, known.value), "t int, bucket long, edge long, n long")
+        sums = counts.groupBy("t", "bucket").agg(F.sum("edge").alias("edge"), F.sum("n").alias("n")).toPandas()  # at most 2 * 2^18 rows
+        if len(sums):
+            edge[sums["t"], sums["bucket"]] = sums["edge"]
+            every[sums["t"], sums["bucket"]] = sums["n"]
+        splitter = Splitter(edge, every)
     sample = texts.select("gloss").filter(F.col("gloss") != "").orderBy(F.xxhash64("gloss"), "gloss").limit(TRAIN_DOCUMENTS).toPandas()["gloss"]
     splitter.fit(list(sample))
     return splitter
