@@ -41,7 +41,10 @@ def _depth(text: Column) -> Column:
 
 def documents(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys..., v): the readable JSON of each record, repeats once."""
-    unique = df.select(*keys, F.col(text).alias("_json")).filter(F.col("_json").isNotNull()).distinct()
+    # parsing costs far more than its bytes show, so the number of partitions is stated: adaptive execution would merge
+    # them by size. The removal of repeats needs no shuffle of its own.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    unique = df.select(*keys, F.col(text).alias("_json")).filter(F.col("_json").isNotNull()).repartition(parts, *keys).distinct()
     return unique.select(*keys, parsed(F.col("_json")).alias("v")).filter(F.col("v").isNotNull() & ~F.is_variant_null("v"))
 
 
