@@ -1,6 +1,7 @@
 """Readers, writers, validation and streams."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +120,13 @@ def test_upsert_and_insert_missing(spark):
     assert sinks.insert_missing(old, new, ["id"]).count() == 3
 
 
+def put(folder, k: int, lines: list[str]) -> None:
+    """A file of a stream; the source reads files in the order of their times, so these are set apart."""
+    path = folder / f"{k}.json"
+    path.write_text("\n".join(lines))
+    os.utime(path, (1_600_000_000 + 60 * k, 1_600_000_000 + 60 * k))
+
+
 def run_stream(spark, folder, schema, build, name, mode):
     q = build(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))).writeStream.format("memory").queryName(name).outputMode(mode).start()
     q.processAllAvailable()
@@ -129,7 +137,7 @@ def run_stream(spark, folder, schema, build, name, mode):
 def test_completion_stream_equals_batch(spark, tmp_path):
     rows = [{"assignment_id": f"a{i % 9}", "hit": f"h{(i % 9) % 3}"} for i in range(15)]
     for k in range(3):
-        (tmp_path / f"{k}.json").write_text("\n".join(json.dumps(r) for r in rows[5 * k : 5 * k + 5]))
+        put(tmp_path, k, [json.dumps(r) for r in rows[5 * k : 5 * k + 5]])
     got = run_stream(spark, tmp_path, "assignment_id string, hit string", lambda s: ingest.completed_units(ingest.once(s), "hit", 3), "done_units", "append")
     assert sorted((r.hit, r.n >= 3) for r in got) == [("h0", True), ("h1", True), ("h2", True)]
 
@@ -137,7 +145,7 @@ def test_completion_stream_equals_batch(spark, tmp_path):
 def test_windowed_counts_drop_late_rows(spark, tmp_path):
     days = ["2016-01-01", "2016-01-02", "2016-01-10", "2016-01-01", "2016-01-20"]
     for k, d in enumerate(days):
-        (tmp_path / f"{k}.json").write_text(json.dumps({"at": f"{d} 10:00:00", "kind": "x"}))
+        put(tmp_path, k, [json.dumps({"at": f"{d} 10:00:00", "kind": "x"})])
     got = run_stream(spark, tmp_path, "at timestamp, kind string", lambda s: ingest.windowed_counts(s, "at", "kind"), "windows", "append")
     assert sorted((str(r.start)[:10], r.n) for r in got) == [("2016-01-01", 1), ("2016-01-02", 1), ("2016-01-10", 1)]
 
