@@ -436,9 +436,11 @@ def rendered_examples(s: SparkSession, d: str) -> DataFrame:
        more="""t AS (SELECT submission_id, doc_id, lo, hi, unnest(string_split(lower(gloss), ' ')) AS t FROM m WHERE gloss IS NOT NULL AND regexp_full_match(gloss, '[ -~]+')),
 e AS (SELECT submission_id, doc_id, lo, hi, unnest(string_split(lower(replace(link_name, 'wiki:', '')), '_')) AS t FROM l WHERE regexp_full_match(link_name, '[ -~]+'))""")
 def token_levenshtein(s: SparkSession, d: str) -> DataFrame:
+    """The least distance in code points between a word of a mention's gloss and a word of its link's name, in any script.
+    The SQL has only mentions whose gloss and name are printable ASCII."""
     key = ["submission_id", "doc_id", "lo", "hi"]
-    a = k.latest_mentions(s, d).filter(F.col("gloss").rlike("^[ -~]+$")).select(*key, F.explode(F.split(F.lower("gloss"), " ")).alias("a"))
-    b = k.latest_links(s, d).filter(F.col("link_name").rlike("^[ -~]+$")).select(*key, F.explode(F.split(F.lower(F.replace("link_name", F.lit("wiki:"), F.lit(""))), "_")).alias("b"))
+    a = k.latest_mentions(s, d).filter("gloss <> ''").select(*key, F.explode(F.split(F.lower("gloss"), r"[\s\p{Z}]")).alias("a"))
+    b = k.latest_links(s, d).filter("link_name <> ''").select(*key, F.explode(F.split(F.lower(F.replace("link_name", F.lit("wiki:"), F.lit(""))), "_")).alias("b"))
     return a.join(b, key).groupBy(*key).agg(F.min(F.levenshtein("a", "b")).alias("distance"))
 
 
