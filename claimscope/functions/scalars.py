@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 _WIKI = " []'\"%+?=<>|/()"
 _ENTITY = _WIKI + "\\"
 #: Bracket and quote tokens of tokenised text.
+_WORD = r"[\p{L}\p{M}\p{N}]"
+#: Letters, marks and digits of the scripts that set no spaces between words, with the signs of length and voice they share.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\u30FC\u3099\u309A\uFF70\uFF9E\uFF9F&&" + _WORD + "]"
+_SPACED = rf"[\p{{L}}\p{{M}}\p{{N}}&&[^{UNSPACED}]]"
+
 TOKENS = {"-LRB-": "(", "-RRB-": ")", "-LSB-": "[", "-RSB-": "]", "-LCB-": "{", "-RCB-": "}", "``": '"', "''": '"', "`": "'"}
 
 
@@ -113,3 +118,16 @@ def histogram_bin(value: Column, edges: list[float]) -> Column:
         upper = value <= edges[i + 1] if i == len(edges) - 2 else value < edges[i + 1]
         out = F.when((value >= edges[i]) & upper, i).otherwise(out)
     return out
+
+
+def unspaced_runs(text: Column) -> Column:
+    """The longest runs of letters, marks and digits of scripts without spaces."""
+    return F.regexp_extract_all(text, F.lit(f"({UNSPACED}+)"), F.lit(1))
+
+
+def lexemes(text: Column, singles: bool = True) -> Column:
+    """Distinct runs of letters, marks and digits; of scripts without spaces, each two characters that follow each other
+    and each character (singles: False keeps only characters that are a run by themselves)."""
+    every = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(1))
+    one = every(f"({UNSPACED})") if singles else F.filter(unspaced_runs(text), lambda r: F.char_length(r) == 1)
+    return F.array_distinct(F.concat(every(f"({_SPACED}+)"), every(f"(?=({UNSPACED}{{2}}))"), one))

@@ -199,13 +199,19 @@ def corpus_listing(s: SparkSession, d: str) -> DataFrame:
 q AS (SELECT query, unnest(toks) AS token, len(toks) AS n FROM q0),
 t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents WHERE text IS NOT NULL)""")
 def text_match(s: SparkSession, d: str) -> DataFrame:
-    """Documents that hold every lexeme of an entity's name; only lexemes of some name are shuffled."""
+    """Documents that hold every lexeme of an entity's name, in any script; only lexemes of some name are shuffled.
+    A lexeme is a run of letters, marks and digits. Scripts written without spaces have no borders of words: there, a
+    run counts wherever the text holds it. Its pairs of characters find the documents, whose texts are then searched.
+    The SQL has only lexemes of a-z and 0-9."""
     t = load(s, d, "documents")
-    tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1)))
-    name = F.regexp_replace("query", r"^wiki:|_\([^)]*\)$", "")
-    q = t.select(F.col("kb_entity").alias("query")).dropna().distinct().withColumn("t", tokens(name)).select("query", F.size("t").alias("n"), F.explode("t").alias("token"))
-    w = t.filter(F.col("text").isNotNull()).select("doc_id", F.explode(tokens("text")).alias("token")).join(q.select("token").distinct(), "token", "left_semi").distinct()
-    return q.join(w, "token").groupBy("query", "doc_id", "n").agg(F.count(F.lit(1)).alias("hits")).filter("hits = n").select("query", "doc_id")
+    name = F.lower(F.regexp_replace("query", r"^wiki:|_\([^)]*\)$", ""))
+    q = t.select(F.col("kb_entity").alias("query")).dropna().distinct().select("query", sc.lexemes(name, singles=False).alias("t"), sc.unspaced_runs(name).alias("runs"))
+    q = q.select("query", F.size("t").alias("n"), F.filter("runs", lambda r: F.char_length(r) > 2).alias("runs"), F.explode("t").alias("token"))
+    texts = t.filter(F.col("text").isNotNull()).select("doc_id", F.lower("text").alias("text"))
+    w = texts.select("doc_id", F.explode(sc.lexemes(F.col("text"))).alias("token")).join(q.select("token").distinct(), "token", "left_semi").distinct()
+    hits = q.join(w, "token").groupBy("query", "doc_id", "n", "runs").agg(F.count(F.lit(1)).alias("hits")).filter("hits = n")
+    sure, doubtful = hits.filter("size(runs) = 0"), hits.filter("size(runs) > 0").join(texts.filter(F.col("text").rlike(sc.UNSPACED)), "doc_id").filter("forall(runs, r -> contains(text, r))")
+    return sure.select("query", "doc_id").union(doubtful.select("query", "doc_id"))
 
 
 _ASKED = """qs AS (SELECT DISTINCT json_extract_string(params, '$.doc_id') AS doc_id, TRY_CAST(json_extract_string(params, '$.subject.span[0]') AS INT) AS x, TRY_CAST(json_extract_string(params, '$.object.span[0]') AS INT) AS y

@@ -1,8 +1,11 @@
 """Queries whose SQL leaves out part of the rows: brute force on small tables, and the SQL on the part that it has."""
 
 import datetime as dt
+import re
+import unicodedata
 
 from claimscope.plans import relational as rel
+from claimscope.plans import sampling
 from tests.oracle import SMALL, connection, value
 
 T = dt.datetime(2016, 5, 1)
@@ -39,3 +42,43 @@ def test_token_levenshtein_equals_sql_where_it_has_rows(spark):
     got = {tuple(map(value, r)) for r in rel.token_levenshtein(spark, SMALL).collect()}
     want = {tuple(map(value, r)) for r in connection().execute(rel.SQL["token_levenshtein"]).fetchall()}
     assert want < got
+
+
+def unspaced(c):
+    return any(x in unicodedata.name(c, "") for x in ("CJK UNIFIED", "HIRAGANA", "KATAKANA", "THAI")) and unicodedata.category(c)[0] in "LMN"
+
+
+def runs(text):
+    """(runs of words set apart by spaces or marks, runs of scripts without spaces)."""
+    kinds = "".join("u" if unspaced(c) else "w" if unicodedata.category(c)[0] in "LMN" else " " for c in text)
+    return [{text[m.start():m.end()] for m in re.finditer(f"{k}+", kinds)} for k in "wu"]
+
+
+def matches(entities, texts):
+    out = set()
+    for e in entities:
+        words, inside = runs(re.sub(r"^wiki:|_\([^)]*\)$", "", e).lower())
+        out |= {(e, i) for i, t in texts.items() if words <= runs(t.lower())[0] and all(x in t.lower() for x in inside)} if words or inside else set()
+    return out
+
+
+def documents(spark, folder, texts, entities):
+    pad = [*entities, *[None] * len(texts)]
+    return tables(spark, folder, documents=("doc_id long, text string, kb_entity string", [(i, t, pad[i]) for i, t in texts.items()]))
+
+
+def test_text_match_has_every_script(spark, tmp_path):
+    entities = ["wiki:Joño_Vark_(1)", "wiki:Макитинбор_(5z)", "wiki:マガ銀行_(x)", "wiki:ナキダ・ケル", "wiki:玉", "wiki:तोररुन_(6)", "wiki:القابضة", "wiki:ธนาคาร_(7)", "wiki:No._4_Mill", "wiki:東京ABC"]
+    texts = dict(enumerate(["JOÑO, of the Vark.", "Jo o Vark", "В Макитинбор вошли", "昨日マガ銀行は", "銀行とガ銀、マガ", "ケルのナキダは", "铎朔玉·岚", "玉米", "द्रुस्क तोररुन।", "نان القابضة", "ที่ธนาคารมาน", "ธนา คาร", "Mill No. 4", "Mill 44 no", "東京のABC", None, "ABCD 東京", ""]))
+    folder = documents(spark, tmp_path, texts, entities)
+    got = {tuple(r) for r in rel.text_match(spark, folder).collect()}
+    want = matches(entities, {i: t for i, t in texts.items() if t})
+    assert got == want and {e for e, _ in want} == set(entities)
+    n = {i: sum(1 for _, x in want if x == i) for _, i in want}
+    assert {r.doc_id: r.p for r in sampling.document_entity(spark, folder).collect()} == {i: round(x / len(want), 9) for i, x in n.items()}
+
+
+def test_text_match_equals_brute_force(spark):
+    rows = connection().execute("SELECT doc_id, text, kb_entity FROM documents").fetchall()
+    got = [tuple(r) for r in rel.text_match(spark, SMALL).collect()]
+    assert len(got) == len(set(got)) and set(got) == matches({e for _, _, e in rows if e}, {i: t for i, t, _ in rows if t is not None})
