@@ -106,12 +106,14 @@ def sanitised(gloss: Column, text: Column, suggested: Column, s_lo: Column, s_hi
 
 
 def question_arguments(questions: DataFrame) -> DataFrame:
-    """(batch_id, id, role, lo, hi, gloss, mention_type, link) of selective questions, both payload versions: types as
-    text or as an object with a name, offsets as numbers or text. Unreadable JSON and empty spans give no rows."""
+    """(batch_id, id, role, lo, hi, gloss, mention_type, link) of selective questions, all payload versions: types as
+    text or as an object with a name, offsets as numbers or text; in the oldest one mention_1 and mention_2 are
+    [doc_id, lo, hi] of subject and object, and nothing else is known of them. Unreadable JSON and empty spans give no rows."""
     q = questions.select("batch_id", "id", "params").distinct()
     at = lambda p: F.get_json_object("params", p)
-    role = lambda r: F.struct(F.lit(r).alias("role"), at(f"$.{r}.span[0]").try_cast("int").alias("lo"), at(f"$.{r}.span[1]").try_cast("int").alias("hi"), at(f"$.{r}.gloss").alias("gloss"), F.coalesce(at(f"$.{r}.type.name"), at(f"$.{r}.type")).alias("mention_type"), at(f"$.{r}.entity.link").alias("link"))
-    x = q.select("batch_id", "id", F.explode(F.array(role("subject"), role("object"))).alias("x")).select("batch_id", "id", "x.*")
+    end = lambda r, old, i: F.coalesce(at(f"$.{r}.span[{i}]"), at(f"$.{old}[{i + 1}]")).try_cast("int")
+    role = lambda r, old: F.struct(F.lit(r).alias("role"), end(r, old, 0).alias("lo"), end(r, old, 1).alias("hi"), at(f"$.{r}.gloss").alias("gloss"), F.coalesce(at(f"$.{r}.type.name"), at(f"$.{r}.type")).alias("mention_type"), at(f"$.{r}.entity.link").alias("link"))
+    x = q.select("batch_id", "id", F.explode(F.array(role("subject", "mention_1"), role("object", "mention_2"))).alias("x")).select("batch_id", "id", "x.*")
     return x.filter("lo < hi")
 
 

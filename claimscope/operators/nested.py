@@ -30,6 +30,19 @@ def parsed(text: Column) -> Column:
     return v
 
 
+def opened(text: Column) -> Column:
+    """The JSON text itself, or the one that a JSON string holds; text that can't be read stays."""
+    for _ in range(UNWRAP):
+        v = F.try_parse_json(text)
+        text = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(text)
+    return text
+
+
+def with_object(df: DataFrame, text: str) -> DataFrame:
+    """The rows whose text is a JSON object, opened."""
+    return df.withColumn(text, opened(F.col(text))).filter(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"))
+
+
 def _depth(text: Column) -> Column:
     """An upper bound of the container depth of a JSON text: nesting of brackets outside of strings."""
     bare = F.regexp_replace(text, r'\\"', "")

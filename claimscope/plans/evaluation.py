@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimscope.functions import scalars as sc
 from claimscope.operators import annotation as ann
+from claimscope.operators import nested
 from claimscope.operators import slotfilling as sf
 from claimscope.sources import derived as k
 from claimscope.sources.derived import sql
@@ -189,14 +190,14 @@ def sanitised_glosses(s: SparkSession, d: str) -> DataFrame:
  json_extract_string(params, '$.' || role || '.gloss') AS gloss, coalesce(json_extract_string(params, '$.' || role || '.type.name'), json_extract_string(params, '$.' || role || '.type')) AS mention_type, json_extract_string(params, '$.' || role || '.entity.link') AS link
  FROM (SELECT * FROM evaluation_question WHERE json_valid(params) AND json_type(params) = 'OBJECT'), (VALUES ('subject'), ('object')) v(role)) WHERE lo < hi""")
 def question_arguments(s: SparkSession, d: str) -> DataFrame:
-    q = load(s, d, "evaluation_question").filter(F.schema_of_variant(F.try_parse_json("params")).startswith("OBJECT"))
+    q = nested.with_object(load(s, d, "evaluation_question"), "params")
     return ann.question_arguments(q)
 
 
 @query("""SELECT DISTINCT batch_id, id, lo, hi, gloss, mention_type, link FROM (SELECT batch_id, id, TRY_CAST(x ->> '$.doc_char_begin' AS INT) AS lo, TRY_CAST(x ->> '$.doc_char_end' AS INT) AS hi, x ->> '$.gloss' AS gloss, coalesce(x ->> '$.type.name', x ->> '$.type') AS mention_type, x ->> '$.entity.link' AS link
  FROM (SELECT batch_id, id, unnest(CAST(params AS JSON) -> '$.mentions[*]') AS x FROM evaluation_question WHERE json_valid(params) AND json_type(params) = 'OBJECT')) WHERE lo < hi""")
 def exhaustive_mentions(s: SparkSession, d: str) -> DataFrame:
-    q = load(s, d, "evaluation_question").filter(F.schema_of_variant(F.try_parse_json("params")).startswith("OBJECT"))
+    q = nested.with_object(load(s, d, "evaluation_question"), "params")
     return ann.exhaustive_mentions(q).distinct()
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from claimscope.functions import dictionaries as dic
 from claimscope.functions import scalars as sc
-from claimscope.operators import audits, ranges, views
+from claimscope.operators import audits, nested, ranges, views
 from claimscope.operators.ordering import distinct_on, keep_newest, latest, mode_with_nulls, top, unordered
 from claimscope.sources import derived as k
 from claimscope.sources.derived import sql
@@ -220,9 +220,11 @@ _ASKED = """qs AS (SELECT DISTINCT json_extract_string(params, '$.doc_id') AS do
 
 @query("""SELECT p.* FROM p WHERE NOT EXISTS (SELECT 1 FROM qs WHERE qs.doc_id = p.doc_id AND qs.x = p.s_lo AND qs.y = p.b_lo) AND NOT EXISTS (SELECT 1 FROM qs WHERE qs.doc_id = p.doc_id AND qs.x = p.b_lo AND qs.y = p.s_lo)""", more=_SAMPLE + ",\n" + _ASKED)
 def unasked_samples(s: SparkSession, d: str) -> DataFrame:
+    """Samples whose pair no question asks about in either direction, whatever the shape of its payload."""
     at = lambda p: F.get_json_object("params", p)
-    valid = load(s, d, "evaluation_question").filter(F.try_parse_json("params").isNotNull())
-    asked = valid.select(at("$.doc_id").alias("doc_id"), at("$.subject.span[0]").try_cast("int").alias("x"), at("$.object.span[0]").try_cast("int").alias("y")).dropna().distinct()
+    lo = lambda role, legacy: F.coalesce(at(f"$.{role}.span[0]"), at(f"$.{legacy}[1]")).try_cast("int")
+    valid = nested.with_object(load(s, d, "evaluation_question"), "params")
+    asked = valid.select(F.coalesce(at("$.doc_id"), at("$.mention_1[0]")).alias("doc_id"), lo("subject", "mention_1").alias("x"), lo("object", "mention_2").alias("y")).dropna().distinct()
     both = asked.unionByName(asked.select("doc_id", F.col("y").alias("x"), F.col("x").alias("y"))).select("doc_id", F.col("x").alias("s_lo"), F.col("y").alias("b_lo")).distinct()
     return _samples(s, d).join(both, ["doc_id", "s_lo", "b_lo"], "left_anti").select("submission_id", "doc_id", "s_lo", "s_hi", "b_lo", "b_hi")
 
@@ -387,7 +389,7 @@ def text_under_span(s: SparkSession, d: str) -> DataFrame:
  TRY_CAST(json_extract_string(params, '$.subject.span[0]') AS INT) AS subject_lo, json_extract_string(params, '$.mention_1[1]') AS legacy FROM evaluation_question WHERE json_valid(params) AND json_type(params) = 'OBJECT'""")
 def json_question(s: SparkSession, d: str) -> DataFrame:
     at = lambda p: F.get_json_object("params", p)
-    q = load(s, d, "evaluation_question").filter(F.schema_of_variant(F.try_parse_json("params")).startswith("OBJECT"))
+    q = nested.with_object(load(s, d, "evaluation_question"), "params")
     return q.select("batch_id", "id", at("$.batch_type").alias("batch_type"), at("$.doc_id").alias("doc_id"), at("$.subject.span[0]").try_cast("int").alias("subject_lo"), at("$.mention_1[1]").alias("legacy")).distinct()
 
 

@@ -1,9 +1,11 @@
 """Queries whose SQL leaves out part of the rows: brute force on small tables, and the SQL on the part that it has."""
 
 import datetime as dt
+import json
 import re
 import unicodedata
 
+from claimscope.plans import evaluation as ev
 from claimscope.plans import relational as rel
 from claimscope.plans import sampling
 from tests.oracle import SMALL, connection, value
@@ -82,3 +84,38 @@ def test_text_match_equals_brute_force(spark):
     rows = connection().execute("SELECT doc_id, text, kb_entity FROM documents").fetchall()
     got = [tuple(r) for r in rel.text_match(spark, SMALL).collect()]
     assert len(got) == len(set(got)) and set(got) == matches({e for _, _, e in rows if e}, {i: t for i, t, _ in rows if t is not None})
+
+
+def questions(spark, folder):
+    new = lambda a, b: {"batch_type": "selective_relations", "doc_id": "d", "subject": {"gloss": "A", "type": "PER", "span": [a, a + 2], "entity": {"link": "wiki:A"}}, "object": {"gloss": "B", "type": {"name": "ORG"}, "span": [b, b + 2]}}
+    old = lambda a, b: {"batch_type": "selective_relations", "doc_id": "d", "mention_1": ["d", str(a), str(a + 2)], "mention_2": ["d", str(b), str(b + 2)]}
+    every = {"batch_type": "exhaustive_entities", "doc_id": "d", "mentions": [{"gloss": "A", "type": {"name": "PER"}, "doc_char_begin": 0, "doc_char_end": 3, "entity": {"link": "wiki:A"}}]}
+    texts = [new(1, 10), json.dumps(new(2, 20)), json.dumps(json.dumps(new(3, 30))), old(4, 40), json.dumps(old(5, 50)), every, json.dumps(every), 7, "words"]
+    rows = [(1, str(i), T, "done", "", json.dumps(x)) for i, x in enumerate(texts)] + [(1, "cut", T, "done", "", json.dumps(new(1, 10))[:-4]), (1, "none", T, "done", "", None)]
+    span = "struct<lo:int,hi:int>"
+    pairs = [(a, 10 * a) for a in range(1, 7)] + [(10 * a, a) for a in range(1, 7)]
+    samples = [(1, 1, "d", (a, a + 2), (b, b + 2), T) for a, b in pairs]
+    return tables(spark, folder, evaluation_question=("batch_id int, id string, created timestamp, state string, message string, params string", rows),
+                  submission_sample=(f"batch_id int, submission_id int, doc_id string, subject {span}, object {span}, created timestamp", samples))
+
+
+def test_questions_count_in_every_shape(spark, tmp_path):
+    folder = questions(spark, tmp_path)
+    assert {(r.s_lo, r.b_lo) for r in rel.unasked_samples(spark, folder).collect()} == {(6, 60), (60, 6)}
+    got = {(r.id, r.role): (r.lo, r.hi, r.gloss, r.mention_type, r.link) for r in ev.question_arguments(spark, folder).collect()}
+    want = {(str(i), "subject"): (i + 1, i + 3, *(("A", "PER", "wiki:A") if i < 3 else [None] * 3)) for i in range(5)}
+    want |= {(str(i), "object"): (10 * i + 10, 10 * i + 12, *(("B", "ORG", None) if i < 3 else [None] * 3)) for i in range(5)}
+    assert got == want
+    assert sorted(tuple(r) for r in ev.exhaustive_mentions(spark, folder).collect()) == [(1, x, 0, 3, "A", "PER", "wiki:A") for x in "56"]
+    assert {(r.id, r.doc_id, r.subject_lo, r.legacy) for r in rel.json_question(spark, folder).collect()} == {*((str(i), "d", i + 1, None) for i in range(3)), *((str(i), "d", None, str(i + 1)) for i in (3, 4)), *((x, "d", None, None) for x in "56")}
+
+
+def test_questions_hold_what_their_sql_has(spark):
+    con = connection()
+    for plans, name in ((ev, "question_arguments"), (ev, "exhaustive_mentions"), (rel, "json_question"), (rel, "unasked_samples")):
+        df = plans.QUERIES[name](spark, SMALL)
+        got = {tuple(map(value, r)) for r in df.collect()}
+        cursor = con.execute(plans.SQL[name])
+        at = [[x[0] for x in cursor.description].index(c) for c in df.columns]
+        want = {tuple(value(r[i]) for i in at) for r in cursor.fetchall()}
+        assert got <= want if name == "unasked_samples" else want <= got, name
