@@ -118,6 +118,46 @@ def bootstrap_precision(X: DataFrame, epochs: int, seed: str, interval: float =
     return labelled.groupBy("j").agg(F.avg("f").alias("precision")).join(ci, "j")
 
 
+def variance_by_size(P: DataFrame, X: DataFrame, most: int) -> DataFrame:
+    """(i, n, variance) for n of 1..most: bound of the variance of i's joint precision if i were the newest system, with
+    n samples of its own yet to draw beside those that the others have. Weights and proposal are those of each n:
+    sum_{j != i} w_j^2 / n_j (mean[(pf/q)^2] - mean[pf/q]^2) + w_i^2 / n sum_x p^3 / q^2, the last term for labels not
+    known yet. Labels count in the weights, all samples in n_j, as in `weights` and `variance`."""
+    count = X.groupBy("j").agg(F.count("f").alias("labels"), F.count(F.lit(1)).alias("n_j"))
+    a, b = P.select("i", "x", F.col("p").alias("a")), P.select(F.col("i").alias("j"), "x", F.col("p").alias("b"))
+    S = a.join(b, "x").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s"))
+    raw = S.filter("i <> j").join(count.filter("labels > 0"), "j").select("i", "j", (F.col("s") * F.col("labels")).alias("r"), "labels", "n_j")
+    z = raw.groupBy("i").agg(F.sum("r").alias("z"))
+    systems = S.filter("i = j").select("i", F.col("s").alias("own")).join(z, "i", "left").select("i", "own", F.coalesce("z", F.lit(0.0)).alias("z"))  # one row per system
+    mixed = raw.select("i", "j", "r").join(P.select(F.col("i").alias("j"), "x", "p"), "j").groupBy("i", "x").agg(F.sum(F.col("r") * F.col("p")).alias("mix"))
+    base = P.filter("p > 0").join(mixed, ["i", "x"], "left").withColumn("mix", F.coalesce("mix", F.lit(0.0))).join(systems, "i")
+    total = F.col("z") + F.col("n") * F.col("own")
+    q = (F.col("mix") + F.col("n") * F.col("own") * F.col("p")) / total
+    sizes = lambda df: df.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(most))))
+    own = sizes(base).groupBy("i", "n").agg(F.sum(F.col("p") * (F.col("p") / q) * (F.col("p") / q)).alias("e"), F.max(F.col("own") / total).alias("w"))
+    own = own.select("i", "n", (F.col("w") * F.col("w") * F.col("n") * F.col("e")).alias("mine"))  # w_i = n own / total
+    t = F.col("p") * F.col("f") / q
+    drawn = sizes(X.filter("f <> 0").join(raw, "j").join(base, ["i", "x"]))  # others add nothing to the sums
+    per = drawn.groupBy("i", "j", "n").agg(F.sum(t * t).alias("s2"), F.sum(t).alias("s1"), F.max(F.col("r") / total).alias("w"), F.max("labels").alias("labels"), F.max("n_j").alias("n_j"))
+    m = F.col("s1") / F.col("labels")
+    rest = per.groupBy("i", "n").agg(F.sum(F.col("w") * F.col("w") / F.col("n_j") * (F.col("s2") / F.col("labels") - m * m)).alias("rest"))
+    return own.join(rest, ["i", "n"], "left").select("i", "n", (F.col("mine") + F.coalesce("rest", F.lit(0.0))).alias("variance"))
+
+
+def bisected(variance: dict[int, float], target: int, eps: float = 5e-4) -> int:
+    """The samples out of 1..target that bring a variance within eps of 1 / target, what `target` samples of a system
+    reach by themselves; `target` if fewer don't. The search ends at 2, as 1 is its lower bound."""
+    low, high = 1, target
+    if variance[target] >= 1 / target:
+        return target
+    while high - low > 1:
+        mid = (low + high) // 2
+        if abs(variance[mid] - 1 / target) <= eps:
+            return mid
+        low, high = (low, mid) if variance[mid] < 1 / target else (mid, high)
+    return high
+
+
 def sample_size(var_at_one: float, target_variance: float, most: int = 500, eps: float = 5e-4) -> int:
     """Samples needed so that var_at_one / n falls to the target, by the bisection on 1..most; `most` if it can't."""
     low, high = 1, max(most, 1)

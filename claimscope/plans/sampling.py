@@ -287,8 +287,10 @@ def macro_by_entity(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def sample_sizes(s: SparkSession, d: str) -> DataFrame:
-    """Samples each system needs to halve the variance of its joint precision; one number per system reaches the driver."""
+    """Samples each system needs as the newest one, so that its joint precision is as sure as from 500 samples of its
+    own; the variance of each system and number of samples reaches the driver, 500 numbers per system."""
     P, _, X, _, _ = _tables(s, d)
-    W = est.weights(P, X)
-    rows = [(r["i"], est.sample_size(r["variance"] * 400, r["variance"] / 2, 2000)) for r in est.variance(P, X, W, est.proposal(W, P)).collect()]
-    return s.createDataFrame(rows, "i long, n int")
+    by: dict[int, dict[int, float]] = {}
+    for r in est.variance_by_size(P, X, 500).collect():
+        by.setdefault(r["i"], {})[r["n"]] = r["variance"]
+    return s.createDataFrame([(i, est.bisected(v, 500)) for i, v in sorted(by.items())], "i long, n int")

@@ -5,6 +5,7 @@ import json
 import re
 import unicodedata
 
+from claimscope.operators import estimators as est
 from claimscope.plans import evaluation as ev
 from claimscope.plans import relational as rel
 from claimscope.plans import sampling
@@ -119,3 +120,30 @@ def test_questions_hold_what_their_sql_has(spark):
         at = [[x[0] for x in cursor.description].index(c) for c in df.columns]
         want = {tuple(value(r[i]) for i in at) for r in cursor.fetchall()}
         assert got <= want if name == "unasked_samples" else want <= got, name
+
+
+def variance_of_newest(P, X, i, n):
+    """By the formulas, with dictionaries: P[j][x], X[j] = [(x, f or None)]."""
+    others = [j for j in P if j != i and any(f is not None for _, f in X[j])]
+    raw = {j: sum(f is not None for _, f in X[j]) * sum(p * P[j].get(x, 0) for x, p in P[i].items()) for j in others} | {i: n * sum(p * p for p in P[i].values())}
+    w = {j: r / sum(raw.values()) for j, r in raw.items()}
+    q = lambda x: sum(w[j] * P[j].get(x, 0) for j in w)
+    out = w[i] ** 2 / n * sum(p * (p / q(x)) ** 2 for x, p in P[i].items())
+    for j in others:
+        if w[j]:
+            t = [P[i].get(x, 0) * f / q(x) for x, f in X[j] if f is not None]
+            m = sum(t) / len(t)
+            out += w[j] ** 2 / len(X[j]) * (sum(v * v for v in t) / len(t) - m * m)
+    return out
+
+
+def test_sample_sizes_follow_the_joint_variance(spark):
+    P = {1: {"a": 0.5, "b": 0.25, "c": 0.25}, 2: {"a": 0.5, "b": 0.25, "c": 0.25}, 3: {"a": 0.1, "c": 0.2, "d": 0.7}, 4: {"z": 1.0}}
+    X = {1: [("a", 1), ("b", 0), ("c", None)] * 60, 2: [("a", 1), ("b", 1), ("c", 0)] * 50, 3: [("d", 1), ("c", 0), ("a", 1)] * 5, 4: [("z", None)] * 3}
+    p = spark.createDataFrame([(i, x, v) for i, d in P.items() for x, v in d.items()], "i long, x string, p double")
+    x = spark.createDataFrame([(j, *r) for j, rows in X.items() for r in rows], "j long, x string, f int")
+    got = {(r.i, r.n): r.variance for r in est.variance_by_size(p, x, 40).collect()}
+    assert set(got) == {(i, n) for i in P for n in range(1, 41)}
+    assert all(abs(v - variance_of_newest(P, X, i, n)) < 1e-12 for (i, n), v in got.items())
+    sizes = {i: est.bisected({n: got[i, n] for n in range(1, 41)}, 40) for i in P}
+    assert sizes[4] == 40 and sizes[1] < 40 and sizes[1] != sizes[3]
