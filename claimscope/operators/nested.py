@@ -111,3 +111,44 @@ def child_table(nodes: DataFrame, source: str, key: Column, at: str, columns: di
         surrogate(source, key, F.col("path")).alias("row_id"), surrogate(source, key, F.col("parent_path")).alias("parent_id"), key.cast("string").alias("record_key"), "ordinal",
         *[F.try_variant_get("v", f'$["{c}"]', t).alias(c) for c, t in columns.items()],
     )
+
+
+_SCALARS = {"STRING": "string", "BIGINT": "bigint", "BOOLEAN": "boolean", "DOUBLE": "double", "FLOAT": "double", "DECIMAL": "double"}
+
+
+def _values(v: Column) -> Column:
+    """The fields of an object that are no rows themselves, as text: scalars, and arrays unless all they hold is objects."""
+    own = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda _, x: ~F.schema_of_variant(x).rlike("^(ARRAY<)*OBJECT"))
+    return F.transform_values(own, lambda _, x: F.when(F.schema_of_variant(x).startswith("ARRAY"), F.to_json(x)).otherwise(F.try_variant_get(x, "$", "string")))
+
+
+def rows(nodes: DataFrame, source: Column, key: Column) -> DataFrame:
+    """Every object as a row of the table of its structural path: source_table, record_key, pattern, path, row_id,
+    parent_id (null for the top-level object), ordinal in its array, the values by field as text."""
+    at = lambda p: F.when(p.isNotNull(), F.xxhash64(source, key.cast("string"), p))
+    return nodes.select(
+        source.alias("source_table"), key.cast("string").alias("record_key"), pattern(F.col("path")).alias("pattern"), "path",
+        at(F.col("path")).alias("row_id"), at(F.col("parent_path")).alias("parent_id"), "ordinal", _values(F.col("v")).alias("values"),
+    )
+
+
+def table_columns(nodes: DataFrame) -> dict[str, dict[str, str]]:
+    """The table of each structural path, from the merged schema: its columns with their types. Integers and other
+    numbers together are double, other mixtures and arrays text; fields that only hold objects are tables. One row
+    per structural path, field and kind reaches the driver."""
+    tables: dict[str, dict[str, set[str]]] = {r["p"]: {} for r in nodes.select(pattern(F.col("path")).alias("p")).distinct().collect()}
+    for r in merged_schema(nodes).collect():
+        tables[r["pattern"]].setdefault(r["field"], set()).add(r["kind"])
+
+    def kind(kinds: set[str]) -> str:
+        types = {_SCALARS.get(x, "string") for x in kinds - {"VOID"}} or {"string"}
+        return types.pop() if len(types) == 1 else "double" if types == {"bigint", "double"} else "string"
+
+    return {p: {f: kind(k - {"OBJECT"}) for f, k in sorted(fields.items()) if k - {"VOID"} != {"OBJECT"}} for p, fields in sorted(tables.items())}
+
+
+def child_tables(nodes: DataFrame, source: Column, key: Column) -> dict[str, DataFrame]:
+    """The flat table of each structural path that occurs, with the columns of `table_columns` beside the keys."""
+    every = rows(nodes, source, key)
+    cell = lambda f, t: F.col("values")[F.lit(f)].try_cast(t).alias(f"value.{f}")
+    return {p: every.filter(F.col("pattern") == p).select("source_table", "record_key", "row_id", "parent_id", "ordinal", *[cell(f, t) for f, t in fields.items()]) for p, fields in table_columns(nodes).items()}

@@ -61,7 +61,19 @@ def p4_candidates(spark: SparkSession, d: str) -> DataFrame:
     return nested.child_table(own, "evaluation_question", F.col("record_key"), "$.subject.entity.candidates[]", {"link": "string", "score": "double"})
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_schema, p4_candidates)}
+def p4_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Every object of both tables' params with its surrogate key, its parent's, its ordinal and its values; each
+    pattern is a flat table, the keys are those of `p4_candidates`."""
+    return nested.rows(_objects(spark, d), F.col("source_table"), F.col("record_key"))
+
+
+def p4_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The flat tables with their columns and types, as the merged schema has them."""
+    own = nested.table_columns(_objects(spark, d))
+    return spark.createDataFrame([(p, f, t) for p, fields in own.items() for f, t in (fields or {None: None}).items()], "pattern string, field string, type string")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_schema, p4_candidates, p4_objects, p4_tables)}
 
 _P3 = """
 WITH r AS (

@@ -5,8 +5,12 @@ import json
 import re
 import unicodedata
 
+from pyspark.sql import functions as F
+
 from claimscope.operators import estimators as est
+from claimscope.operators import nested
 from claimscope.plans import evaluation as ev
+from claimscope.plans import general
 from claimscope.plans import relational as rel
 from claimscope.plans import sampling
 from tests.oracle import SMALL, connection, value
@@ -147,3 +151,30 @@ def test_sample_sizes_follow_the_joint_variance(spark):
     assert all(abs(v - variance_of_newest(P, X, i, n)) < 1e-12 for (i, n), v in got.items())
     sizes = {i: est.bisected({n: got[i, n] for n in range(1, 41)}, 40) for i in P}
     assert sizes[4] == 40 and sizes[1] < 40 and sizes[1] != sizes[3]
+
+
+def test_every_object_is_a_row_of_its_table(spark):
+    v = {"id": 1, "span": [1, 2], "none": None, "who": {"list": [{"link": "l0", "score": 1, "ev": [{"d": "x"}]}, {"link": 'a"b', "score": 0.5, "mix": [1, {"k": 2}]}]}, "prov": [[{"d": "y"}, {"d": "z"}]], "per:title": {}, "a.b": {"c d": True}}
+    docs = nested.documents(spark.createDataFrame([("k", json.dumps(v))], "key string, params string"), ["key"], "params")
+    nodes = nested.objects(docs, ["key"])
+    got = {r.path: r for r in nested.rows(nodes, F.lit("t"), F.col("key")).collect()}
+    assert len(got) == 10 and len({r.row_id for r in got.values()}) == 10
+    parents = {p: next((q for q, x in got.items() if x.row_id == r.parent_id), None) for p, r in got.items()}
+    assert parents == {r.path: r.parent_path for r in nodes.collect()}
+    assert got["$"].parent_id is None and got["$"].values == {"id": "1", "span": "[1,2]", "none": None}
+    assert got["$.who.list[1]"].values == {"link": 'a"b', "score": "0.5", "mix": '[1,{"k":2}]'} and got["$.prov[0][1]"].ordinal == 1
+    tables = nested.child_tables(nodes, F.lit("t"), F.col("key"))
+    assert set(tables) == {r.pattern for r in got.values()}
+    items = tables["$.who.list[]"].orderBy("ordinal").collect()
+    assert [(r["value.link"], r["value.score"], r.parent_id) for r in items] == [("l0", 1.0, got["$.who"].row_id), ('a"b', 0.5, got["$.who"].row_id)]
+    assert [r["value.c d"] for r in tables["$.a.b"].collect()] == [True] and tables["$.per:title"].count() == 1
+
+
+def test_objects_of_both_tables_have_parents_and_candidates_are_among_them(spark):
+    rows = general.p4_objects(spark, SMALL).collect()
+    ids = {r.row_id for r in rows}
+    assert len(ids) == len(rows) and all(r.parent_id in ids for r in rows if r.path != "$")
+    assert {(r.source_table, r.record_key, r.path) for r in rows if r.path != "$"} == {tuple(r)[:3] for r in general.p4_found(spark, SMALL).collect()}
+    own = {(r.row_id, r.parent_id, r.ordinal, r.values["link"]) for r in rows if r.pattern == "$.subject.entity.candidates[]" and r.source_table == "evaluation_question"}
+    assert own == {(r.row_id, r.parent_id, r.ordinal, r.link) for r in general.p4_candidates(spark, SMALL).collect()}
+    assert {r.pattern for r in general.p4_tables(spark, SMALL).collect()} == {r.pattern for r in rows}
