@@ -215,6 +215,8 @@ def _bucket(key: str) -> int:
     return zlib.crc32(key.encode("utf-8", "surrogatepass")) & ((1 << BUCKET_BITS) - 1)
 
 
+#: Marks after which no space is usual, so that a digit right after them shows nothing.
+_WIDE = "。！？｡．"
 _REFUSED = {",", ";", ":", "-", "–", "—", "/", "&", "@", "%"}
 
 
@@ -222,7 +224,9 @@ def _refuses(text: str, j: int, nxt: int, hi: int) -> bool:
     """Whether what follows a candidate shows for certain that the sentence goes on."""
     ch = text[nxt : nxt + 1] if nxt < hi else ""
     kind = _kind(ch)
-    return kind == "l" or ch in _REFUSED and not _item(text, nxt, hi) or kind == "c" or nxt == j and kind in ("d", "p") and ch not in MARKS or ch in MARKS and ch != ""
+    at = next((x for x in range(j - 1, max(j - 8, -1), -1) if text[x] in MARKS), -1)
+    wide = kind == "d" and at >= 0 and text[at] in _WIDE and not (text[at] == "．" and _kind(text[at - 1 : at]) == "d")
+    return kind == "l" or ch in _REFUSED and not _item(text, nxt, hi) or kind == "c" or nxt == j and kind in ("d", "p") and not wide and ch not in MARKS or ch in MARKS and ch != ""
 
 
 def _tally(batches, splitter: "Splitter | None"):
