@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimscope.operators.ordering import mode_with_nulls
+from claimscope.operators.ranges import contained_in
+from claimscope.session import checkpointed
+from claimscope.sources.sinks import insert_missing
 
 
 def merge_votes(votes: DataFrame, keys: list[str], label: str, asked: DataFrame | None = None) -> DataFrame:
@@ -17,57 +19,107 @@ def merge_votes(votes: DataFrame, keys: list[str], label: str, asked: DataFrame
     return n.join(of, keys).filter(F.col("n") * 2 > F.col("of"))
 
 
-def span_clique_counts(mentions: DataFrame) -> DataFrame:
-    """(doc_id, mention_type, lo, hi, pairs, votes): per span the pairs of votes in which it holds or equals another
-    annotator's span of its type; votes = 0.5 + sqrt(0.25 + 2 pairs). Only weight 1 counts. Equal spans are counted
-    before the join, so that copies cost no pairs."""
+def expected_votes(responses: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, of, question_ids, batch_ids): the votes a key could get: over the questions that it occurs in, the sum of
+    their assignments, whether these gave the key or not; with the questions and their batches in order."""
+    question = ["question_batch_id", "question_id"]
+    asked = responses.groupBy(*question).agg(F.countDistinct("assignment_id").alias("n"))
+    per = responses.select(*keys, *question).distinct().join(asked, question)
+    return per.groupBy(*keys).agg(F.sum("n").cast("double").alias("of"), F.array_sort(F.collect_set("question_id")).alias("question_ids"), F.array_sort(F.collect_set("question_batch_id")).alias("batch_ids"))
+
+
+def _pairs(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(counted spans, pairs of a span with a longer one of its type around it). Only weight 1 counts. Equal spans are
+    counted before the join, so that copies cost no pairs, and the join runs in bins of the text."""
     spans = mentions.filter("weight = 1").groupBy("doc_id", "mention_type", "lo", "hi").agg(F.count(F.lit(1)).alias("k"))
-    other = spans.select("doc_id", "mention_type", F.col("lo").alias("i_lo"), F.col("hi").alias("i_hi"), F.col("k").alias("ik"))
-    inside = spans.join(other, ["doc_id", "mention_type"]).filter("lo <= i_lo AND i_hi <= hi AND NOT (lo = i_lo AND hi = i_hi)")
-    strict = inside.groupBy("doc_id", "mention_type", "lo", "hi").agg(F.sum(F.col("k") * F.col("ik")).alias("p"))
+    outer = spans.select("doc_id", "mention_type", F.col("lo").alias("o_lo"), F.col("hi").alias("o_hi"), F.col("k").alias("ok"))
+    return spans, contained_in(spans, outer, ["doc_id", "mention_type"]).filter("NOT (lo = o_lo AND hi = o_hi)")
+
+
+def span_clique_counts(mentions: DataFrame) -> DataFrame:
+    """(doc_id, mention_type, lo, hi, pairs, votes): per span the pairs of votes in which another span of its type
+    contains it, or another annotator gave the same span: the inner span gets the pair. votes = 0.5 + sqrt(0.25 + 2
+    pairs), the size of the clique with so many pairs. A span without a pair has no row."""
+    spans, inside = _pairs(mentions)
+    strict = inside.groupBy("doc_id", "mention_type", "lo", "hi").agg(F.sum(F.col("k") * F.col("ok")).alias("p"))
     j = spans.join(strict, ["doc_id", "mention_type", "lo", "hi"], "left")
     pairs = F.coalesce("p", F.lit(0)) + (F.col("k") * (F.col("k") - 1) / 2).cast("long")
     return j.select("doc_id", "mention_type", "lo", "hi", pairs.alias("pairs")).filter("pairs > 0").withColumn("votes", 0.5 + F.sqrt(0.25 + 2 * F.col("pairs")))
 
 
 def winning_spans(counted: DataFrame) -> DataFrame:
-    """(doc_id, lo, hi, win_lo, win_hi, votes, of): the span each counted span is merged into. counted: doc_id,
-    lo, hi, votes, of. Within a document the spans are scanned in order; those that begin before the current winner
-    ends form a window, in which a longer span with more than half of the expected votes takes over; a window counts
-    if its winner has more than half. The window's extent depends on the winner so far, so this is one pass per
-    document in Python; a document's distinct spans are bounded by its text."""
+    """(doc_id, lo, hi, win_lo, win_hi, win_type, votes, of): the span each counted span is merged into. counted: doc_id,
+    lo, hi, mention_type, votes, of. Within a document the rows are scanned by (lo, hi, votes, type); those that begin
+    before the current winner ends form a window, in which a longer span with more than half of its expected votes
+    takes over; a window counts if its winner has more than half. The window's extent depends on the winner so far, so
+    this is one pass per document in Python; a document's distinct spans are bounded by its text."""
 
     def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(pdf[["lo", "hi", "votes", "of"]].itertuples(index=False), key=lambda r: (r.lo, r.hi, r.votes))
+        rows = sorted(pdf[["lo", "hi", "votes", "of", "mention_type"]].itertuples(index=False), key=lambda r: (r.lo, r.hi, r.votes, r.mention_type))
         doc, out, window, win = pdf["doc_id"].iloc[0], [], [], None
 
         def close():
             if win is not None and win.votes > win.of / 2:
-                out.extend((doc, r.lo, r.hi, win.lo, win.hi, win.votes, win.of) for r in window)
+                out.extend((doc, lo, hi, win.lo, win.hi, win.mention_type, win.votes, win.of) for lo, hi in sorted(set(window)))
 
         for r in rows:
             if win is None or r.lo >= win.hi:
                 close()
-                window, win = [r], r
+                window, win = [(r.lo, r.hi)], r
                 continue
-            window.append(r)
-            if r.hi - r.lo > win.hi - win.lo and r.votes > r.of / 2 or win.votes <= win.of / 2 < r.votes:
+            window.append((r.lo, r.hi))
+            if r.hi - r.lo > win.hi - win.lo and r.votes > r.of / 2:
                 win = r
         close()
-        return pd.DataFrame(out, columns=["doc_id", "lo", "hi", "win_lo", "win_hi", "votes", "of"])
+        return pd.DataFrame(out, columns=["doc_id", "lo", "hi", "win_lo", "win_hi", "win_type", "votes", "of"])
 
-    return counted.groupBy("doc_id").applyInPandas(sweep, "doc_id string, lo int, hi int, win_lo int, win_hi int, votes double, of double")
+    return counted.groupBy("doc_id").applyInPandas(sweep, "doc_id string, lo int, hi int, win_lo int, win_hi int, win_type string, votes double, of double")
 
 
 def merge_mentions(mentions: DataFrame) -> DataFrame:
-    """(doc_id, lo, hi, mention_type, weight): merged mentions of a document; expected votes are its distinct assignments."""
+    """(doc_id, lo, hi, mention_type, gloss, c_lo, c_hi, weight): merged mentions of a document. Type and votes are the
+    winner's, weight its votes over the expected ones. The gloss is the most frequent of its pairs' inner votes (nulls
+    don't count), the canonical span the most frequent of its pairs' votes on both sides, each mapped to the winner of
+    its window; where most of these have no winner, it is the span itself. Ties go to the smallest, null last."""
+    key = ["doc_id", "mention_type", "lo", "hi"]
     counted = span_clique_counts(mentions)
-    of = mentions.groupBy("doc_id").agg(F.countDistinct("assignment_id").cast("double").alias("of"))
-    best = counted.groupBy("doc_id", "lo", "hi").agg(F.max("votes").alias("votes")).join(of, "doc_id")
-    won = winning_spans(best.select("doc_id", "lo", "hi", "votes", "of"))
-    kinds = counted.join(won, ["doc_id", "lo", "hi"]).select("doc_id", F.col("win_lo").alias("lo"), F.col("win_hi").alias("hi"), "mention_type", F.least(F.lit(1.0), won["votes"] / won["of"]).alias("weight"))
-    weight = kinds.groupBy("doc_id", "lo", "hi").agg(F.max("weight").alias("weight"))
-    return mode_with_nulls(kinds, ["doc_id", "lo", "hi"], "mention_type", "mention_type").join(weight, ["doc_id", "lo", "hi"])
+    of = expected_votes(mentions, ["doc_id", "lo", "hi"]).select("doc_id", "lo", "hi", "of")
+    won = checkpointed(winning_spans(counted.join(of, ["doc_id", "lo", "hi"]).select("doc_id", "lo", "hi", "mention_type", "votes", "of")))
+    best = won.select("doc_id", F.col("win_lo").alias("lo"), F.col("win_hi").alias("hi"), F.col("win_type").alias("mention_type"), (F.col("votes") / F.col("of")).alias("weight")).distinct()
+
+    # how often each vote takes part in a pair: beside its equals, and inside or around other spans
+    spans, inside = _pairs(mentions)
+    around = inside.groupBy(*key).agg(F.sum("ok").alias("around"))
+    order = Window.partitionBy(*key).orderBy("assignment_id", "gloss", "c_lo", "c_hi")
+    votes = mentions.filter("weight = 1").withColumn("before", F.row_number().over(order) - 1)
+    votes = votes.join(best.select(*key), key, "left_semi").join(spans, key).join(around, key, "left").withColumn("around", F.coalesce("around", F.lit(0)))
+    glosses = votes.filter(F.col("gloss").isNotNull()).groupBy(*key, "gloss").agg(F.sum(F.col("k") - 1 - F.col("before") + F.col("around")).alias("n"))
+    gloss = glosses.filter("n > 0").groupBy(*key).agg(F.min_by("gloss", F.struct(-F.col("n"), "gloss")).alias("gloss"))
+
+    own = votes.groupBy(*key, "c_lo", "c_hi").agg(F.sum(F.col("k") - 1 + F.col("around")).alias("n"))
+    held = mentions.filter("weight = 1").groupBy("doc_id", "mention_type", F.col("lo").alias("o_lo"), F.col("hi").alias("o_hi"), "c_lo", "c_hi").agg(F.count(F.lit(1)).alias("m"))
+    outer = inside.join(best.select(*key), key, "left_semi").join(held, ["doc_id", "mention_type", "o_lo", "o_hi"]).groupBy(*key, "c_lo", "c_hi").agg(F.sum(F.col("k") * F.col("m")).alias("n"))
+    mapped = won.select("doc_id", F.col("lo").alias("c_lo"), F.col("hi").alias("c_hi"), F.struct(F.col("win_lo").alias("lo"), F.col("win_hi").alias("hi")).alias("canon"))
+    canon = own.unionByName(outer).join(mapped, ["doc_id", "c_lo", "c_hi"], "left").groupBy(*key, "canon").agg(F.sum("n").alias("n")).filter("n > 0")
+    chosen = canon.groupBy(*key).agg(F.min_by("canon", F.struct(-F.col("n"), F.col("canon").isNull(), F.col("canon"))).alias("canon"))
+    j = best.join(gloss, key, "left").join(chosen, key, "left")
+    return j.select("doc_id", "lo", "hi", "mention_type", "gloss", F.coalesce("canon.lo", "lo").alias("c_lo"), F.coalesce("canon.hi", "hi").alias("c_hi"), "weight")
+
+
+def merge_facts(votes: DataFrame, keys: list[str], facts: list[str], asked: DataFrame) -> DataFrame:
+    """(keys, facts, weight): links or relations that hold more than half of their key's expected votes. votes: keys,
+    facts, weight; asked: (keys, of). The weight is the sum of the votes' weights over the expected votes."""
+    n = votes.groupBy(*keys, *facts).agg(F.sum("weight").alias("n"))
+    j = n.join(asked.select(*keys, "of"), keys).withColumn("weight", F.try_divide(F.col("n"), F.col("of")))
+    return j.filter("weight > 0.5").select(*keys, *facts, "weight")
+
+
+def with_canonical_links(links: DataFrame, merged: DataFrame) -> DataFrame:
+    """links (doc_id, lo, hi, link_name, correct, weight) and, where it lacks the key (doc_id, lo, hi, link_name), a true
+    link to the gloss of each merged mention's canonical mention with that mention's weight."""
+    canon = merged.select("doc_id", F.col("lo").alias("c_lo"), F.col("hi").alias("c_hi"), F.concat(F.lit("gloss:"), "gloss").alias("link_name"), F.lit(True).alias("correct"), "weight")
+    new = merged.select("doc_id", "lo", "hi", "c_lo", "c_hi").join(canon, ["doc_id", "c_lo", "c_hi"]).filter(F.col("link_name").isNotNull())
+    return insert_missing(links, new.select(*links.columns), ["doc_id", "lo", "hi", "link_name"])
 
 
 def worker_agreement(votes: DataFrame, item: list[str], label: str) -> DataFrame:
@@ -85,14 +137,23 @@ def mention_counts_check(mentions: DataFrame) -> DataFrame:
     return n.join(q, ["question_batch_id", "question_id"]).select("question_batch_id", "question_id", "assignment_id", "n", (F.col("n") / F.col("_m")).alias("z"), (F.col("n") / F.col("_m") > 0.5).alias("ok"))
 
 
-def fleiss_kappa(votes: DataFrame, item: list[str], label: str, raters: int) -> DataFrame:
-    """One row: Fleiss' kappa over the items with exactly `raters` votes."""
+def fleiss_kappa(votes: DataFrame, item: list[str], label: str, raters: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """(by, raters, n_items, kappa): Fleiss' kappa over the items with each number of votes, or only those with `raters`;
+    by: columns of the item to split by."""
+    by = by or []
     n = votes.groupBy(*item, label).agg(F.count(F.lit(1)).alias("n"))
-    full = n.groupBy(*item).agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.col("n")).alias("sq")).filter(F.col("t") == raters)
-    share = n.join(full.select(*item), item, "left_semi").groupBy(label).agg(F.sum("n").alias("c"))
-    e = share.agg(F.sum("c").alias("_t"), F.sum(F.col("c").cast("double") * F.col("c")).alias("_s")).select(F.try_divide("_s", F.col("_t").cast("double") * F.col("_t")).alias("pe"))
-    o = full.agg(F.count(F.lit(1)).alias("n_items"), F.avg((F.col("sq") - raters) / (raters * (raters - 1))).alias("pa"))
-    return o.crossJoin(e).select("n_items", F.try_divide(F.col("pa") - F.col("pe"), 1 - F.col("pe")).alias("kappa"))  # one row each
+    full = n.groupBy(*item).agg(F.sum("n").alias("raters"), F.sum(F.col("n") * F.col("n")).alias("sq")).filter(F.col("raters") == raters if raters else F.col("raters") > 1)
+    group = [*by, "raters"]
+    share = n.join(full.select(*item, "raters"), item).groupBy(*group, label).agg(F.sum("n").alias("c"))
+    e = share.groupBy(*group).agg(F.sum("c").alias("_t"), F.sum(F.col("c").cast("double") * F.col("c")).alias("_s")).select(*group, F.try_divide("_s", F.col("_t").cast("double") * F.col("_t")).alias("pe"))
+    o = full.groupBy(*group).agg(F.count(F.lit(1)).alias("n_items"), F.avg((F.col("sq") - F.col("raters")) / (F.col("raters") * (F.col("raters") - 1))).alias("pa"))
+    return o.join(e, group).select(*group, "n_items", F.try_divide(F.col("pa") - F.col("pe"), 1 - F.col("pe")).alias("kappa"))
+
+
+def pooled_kappa(kappas: DataFrame) -> DataFrame:
+    """One row: the mean of the kappas of odd numbers of raters, weighted by their items; null kappas don't count."""
+    odd = kappas.filter("raters % 2 = 1 AND kappa IS NOT NULL")
+    return odd.agg(F.sum("n_items").alias("n_items"), F.try_divide(F.sum(F.col("kappa") * F.col("n_items")), F.sum("n_items")).alias("kappa"))
 
 
 def sanitised(gloss: Column, text: Column, suggested: Column, s_lo: Column, s_hi: Column) -> Column:

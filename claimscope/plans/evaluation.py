@@ -109,12 +109,14 @@ def ranked_trend(s: SparkSession, d: str) -> DataFrame:
 # annotation
 
 
-@query("SELECT question_id, relation, n, of FROM (SELECT question_id, relation, count(*) AS n FROM k_vote GROUP BY ALL) JOIN (SELECT question_id, count(*) AS of FROM k_vote GROUP BY ALL) USING (question_id) WHERE n * 4 > of", "k_vote")
+@query("""SELECT v.doc_id, v.subject_lo, v.object_lo, v.relation, round(sum(v.weight) / a.of, 8) AS weight FROM k_relvote v JOIN (SELECT doc_id, subject_lo, object_lo, count(DISTINCT assignment_id)::DOUBLE AS of FROM k_relvote GROUP BY ALL) a
+ ON v.doc_id = a.doc_id AND v.subject_lo = a.subject_lo AND v.object_lo = a.object_lo GROUP BY v.doc_id, v.subject_lo, v.object_lo, v.relation, a.of HAVING sum(v.weight) / a.of > 0.5""", "k_relvote")
 def majority_relation(s: SparkSession, d: str) -> DataFrame:
-    v = k.votes(s, d)
-    of = v.groupBy("question_id").agg(F.count(F.lit(1)).alias("of"))
-    n = v.groupBy("question_id", "relation").agg(F.count(F.lit(1)).alias("n"))
-    return n.join(of, "question_id").filter("n * 4 > of")
+    """Relations that more than half of the expected votes on their arguments hold."""
+    v = k.relation_votes(s, d)
+    key = ["doc_id", "subject_lo", "object_lo"]
+    asked = v.groupBy(*key).agg(F.countDistinct("assignment_id").cast("double").alias("of"))
+    return ann.merge_facts(v, key, ["relation"], asked).withColumn("weight", F.round("weight", 8))
 
 
 @query("SELECT doc_id, lo, hi, mention_type, n, of FROM (SELECT doc_id, lo, hi, mention_type, count(*) AS n FROM r GROUP BY ALL) JOIN (SELECT doc_id, lo, hi, count(*) AS of FROM r GROUP BY ALL) USING (doc_id, lo, hi) WHERE n * 2 > of", "r")
@@ -128,15 +130,55 @@ def majority_canonical(s: SparkSession, d: str) -> DataFrame:
     return ann.merge_votes(r, ["doc_id", "lo", "hi"], "canon").select("doc_id", "lo", "hi", "canon.c_lo", "canon.c_hi", "n", "of").filter("c_lo IS NOT NULL")
 
 
-@query("""SELECT a.doc_id, a.mention_type, a.lo, a.hi, count(*) AS pairs, round(0.5 + sqrt(0.25 + 2 * count(*)), 6) AS votes FROM (SELECT * FROM r WHERE weight = 1) a JOIN (SELECT * FROM r WHERE weight = 1) b ON a.doc_id = b.doc_id AND a.mention_type = b.mention_type
- AND ((a.lo <= b.lo AND b.hi <= a.hi AND NOT (a.lo = b.lo AND a.hi = b.hi)) OR (a.lo = b.lo AND a.hi = b.hi AND a.assignment_id < b.assignment_id)) GROUP BY ALL""", "r")
+_ONES = "(SELECT * FROM r WHERE weight = 1)"
+_HOLDS = "a.doc_id = b.doc_id AND a.mention_type = b.mention_type AND ((b.lo <= a.lo AND a.hi <= b.hi AND a.lo < a.hi AND NOT (a.lo = b.lo AND a.hi = b.hi)) OR (a.lo = b.lo AND a.hi = b.hi AND a.assignment_id < b.assignment_id))"
+
+
+@query(f"SELECT a.doc_id, a.mention_type, a.lo, a.hi, count(*) AS pairs, round(0.5 + sqrt(0.25 + 2 * count(*)), 6) AS votes FROM {_ONES} a JOIN {_ONES} b ON {_HOLDS} GROUP BY ALL", "r")
 def span_clique_counts(s: SparkSession, d: str) -> DataFrame:
     return ann.span_clique_counts(k.responses(s, d)).withColumn("votes", F.round("votes", 6))
 
 
-@query()
+_EXPECTED = """aq AS (SELECT question_batch_id, question_id, count(DISTINCT assignment_id) AS n FROM r GROUP BY ALL),
+ev AS (SELECT doc_id, lo, hi, sum(n)::DOUBLE AS of, list_sort(list(DISTINCT question_id)) AS qs, list_sort(list(DISTINCT question_batch_id)) AS bs FROM (SELECT DISTINCT doc_id, lo, hi, question_batch_id, question_id FROM r) JOIN aq USING (question_batch_id, question_id) GROUP BY doc_id, lo, hi)"""
+_MERGED = _EXPECTED + f""",
+pr AS (SELECT a.doc_id, a.mention_type, a.lo, a.hi, a.gloss, row(a.c_lo, a.c_hi) AS ca, row(b.c_lo, b.c_hi) AS cb FROM {_ONES} a JOIN {_ONES} b ON {_HOLDS}),
+pc AS (SELECT doc_id, mention_type, lo, hi, 0.5 + sqrt(0.25 + 2 * count(*)) AS votes FROM pr GROUP BY ALL),
+oc AS (SELECT pc.*, of, row_number() OVER (PARTITION BY doc_id ORDER BY lo, hi, votes, mention_type) AS rn FROM pc JOIN ev USING (doc_id, lo, hi)),
+st(doc_id, rn, lo, hi, w_lo, w_hi, w_type, w_votes, w_of, win) AS (
+ SELECT doc_id, rn, lo, hi, lo, hi, mention_type, votes, of, 1 FROM oc WHERE rn = 1
+ UNION ALL SELECT o.doc_id, o.rn, o.lo, o.hi, CASE WHEN t THEN o.lo ELSE w_lo END, CASE WHEN t THEN o.hi ELSE w_hi END, CASE WHEN t THEN o.mention_type ELSE w_type END, CASE WHEN t THEN o.votes ELSE w_votes END, CASE WHEN t THEN o.of ELSE w_of END, CASE WHEN o.lo >= w_hi THEN win + 1 ELSE win END
+ FROM (SELECT st.*, o, o.lo >= w_hi OR (o.votes > o.of / 2 AND o.hi - o.lo > w_hi - w_lo) AS t FROM st JOIN oc o ON o.doc_id = st.doc_id AND o.rn = st.rn + 1)),
+fw AS (SELECT doc_id, win, max_by(row(w_lo, w_hi, w_type, w_votes, w_of), rn) AS w FROM st GROUP BY doc_id, win),
+wn AS (SELECT doc_id, win, w[1] AS lo, w[2] AS hi, w[3] AS mention_type, w[4] / w[5] AS weight FROM fw WHERE w[4] > w[5] / 2),
+mp AS (SELECT DISTINCT st.doc_id, row(st.lo, st.hi) AS c, row(wn.lo, wn.hi) AS canon FROM st JOIN wn USING (doc_id, win)),
+gl AS (SELECT doc_id, mention_type, lo, hi, gloss FROM (SELECT doc_id, mention_type, lo, hi, gloss, count(*) AS n FROM pr WHERE gloss IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id, mention_type, lo, hi ORDER BY n DESC, gloss) = 1),
+cc AS (SELECT doc_id, mention_type, lo, hi, unnest([ca, cb]) AS c FROM pr),
+cn AS (SELECT doc_id, mention_type, lo, hi, canon FROM (SELECT cc.doc_id, mention_type, lo, hi, canon, count(*) AS n FROM cc LEFT JOIN mp ON mp.doc_id = cc.doc_id AND mp.c = cc.c GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id, mention_type, lo, hi ORDER BY n DESC, canon NULLS LAST) = 1),
+mm AS (SELECT wn.doc_id, wn.lo, wn.hi, mention_type, gloss, coalesce(canon[1], wn.lo) AS c_lo, coalesce(canon[2], wn.hi) AS c_hi, weight FROM wn LEFT JOIN gl USING (doc_id, mention_type, lo, hi) LEFT JOIN cn USING (doc_id, mention_type, lo, hi))"""
+
+
+@query("SELECT doc_id, lo, hi, mention_type, gloss, c_lo, c_hi, round(weight, 8) AS weight FROM mm", "r", more=_MERGED)
 def merged_mentions(s: SparkSession, d: str) -> DataFrame:
-    return ann.merge_mentions(k.responses(s, d))
+    return ann.merge_mentions(k.responses(s, d)).withColumn("weight", F.round("weight", 8))
+
+
+_LINKS = """lv AS (SELECT doc_id, lo, hi, 'gloss:' || gloss AS link_name, weight >= 0.5 AS correct, assignment_id, question_batch_id, question_id FROM r WHERE gloss IS NOT NULL),
+le AS (SELECT doc_id, lo, hi, link_name, sum(n)::DOUBLE AS of FROM (SELECT DISTINCT doc_id, lo, hi, link_name, question_batch_id, question_id FROM lv) JOIN aq USING (question_batch_id, question_id) GROUP BY ALL),
+ml AS (SELECT lv.doc_id, lv.lo, lv.hi, lv.link_name, correct, count(*) / of AS weight FROM lv JOIN le ON lv.doc_id = le.doc_id AND lv.lo = le.lo AND lv.hi = le.hi AND lv.link_name = le.link_name GROUP BY lv.doc_id, lv.lo, lv.hi, lv.link_name, correct, of HAVING count(*) / of > 0.5)"""
+
+
+@query("""SELECT doc_id, lo, hi, link_name, correct, round(weight, 8) AS weight FROM (SELECT * FROM ml UNION ALL SELECT x.doc_id, x.lo, x.hi, 'gloss:' || y.gloss, true, y.weight FROM mm x JOIN mm y ON x.doc_id = y.doc_id AND x.c_lo = y.lo AND x.c_hi = y.hi
+ WHERE y.gloss IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ml WHERE ml.doc_id = x.doc_id AND ml.lo = x.lo AND ml.hi = x.hi AND ml.link_name = 'gloss:' || y.gloss))""", "r", more=_MERGED + ",\n" + _LINKS)
+def merged_links(s: SparkSession, d: str) -> DataFrame:
+    """Links by majority (each answer's gloss as a link), then those to the gloss of the merged canonical mention."""
+    r = k.responses(s, d)
+    votes = r.filter(F.col("gloss").isNotNull()).select("doc_id", "lo", "hi", F.concat(F.lit("gloss:"), "gloss").alias("link_name"), (F.col("weight") >= 0.5).alias("correct"), "assignment_id", "question_batch_id", "question_id")
+    key = ["doc_id", "lo", "hi", "link_name"]
+    asked = r.groupBy("question_batch_id", "question_id").agg(F.countDistinct("assignment_id").alias("n"))
+    of = votes.select(*key, "question_batch_id", "question_id").distinct().join(asked, ["question_batch_id", "question_id"]).groupBy(*key).agg(F.sum("n").cast("double").alias("of"))
+    links = ann.merge_facts(votes.withColumn("weight", F.lit(1.0)), key, ["correct"], of)
+    return ann.with_canonical_links(links, ann.merge_mentions(r)).withColumn("weight", F.round("weight", 8))
 
 
 _MAJ = "mj AS (SELECT doc_id, lo, hi, mention_type AS g FROM (SELECT doc_id, lo, hi, mention_type, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id, lo, hi) AS of FROM r GROUP BY doc_id, lo, hi, mention_type) WHERE n * 2 > of)"
@@ -152,10 +194,21 @@ def mention_qc(s: SparkSession, d: str) -> DataFrame:
     return ann.mention_counts_check(k.responses(s, d)).withColumn("z", F.round("z", 6))
 
 
-@query("SELECT count(*) AS n_items, round((avg((sq - 3) / 6.0) - max(pe)) / (1 - max(pe)), 8) AS kappa FROM f, (SELECT sum(c * c)::DOUBLE / (sum(c) * sum(c))::DOUBLE AS pe FROM (SELECT mention_type, sum(n) AS c FROM n SEMI JOIN f USING (doc_id, lo, hi) GROUP BY mention_type))", "r",
-       more="n AS (SELECT doc_id, lo, hi, mention_type, count(*) AS n FROM r GROUP BY ALL), f AS (SELECT doc_id, lo, hi, sum(n * n)::DOUBLE AS sq FROM n GROUP BY ALL HAVING sum(n) = 3)")
+_KAPPA = """n AS (SELECT doc_id, lo, hi, mention_type, count(*) AS n FROM r GROUP BY ALL), f AS (SELECT doc_id, lo, hi, sum(n) AS raters, sum(n * n)::DOUBLE AS sq FROM n GROUP BY ALL HAVING sum(n) > 1),
+pe AS (SELECT raters, sum(c * c)::DOUBLE / (sum(c) * sum(c))::DOUBLE AS pe FROM (SELECT raters, mention_type, sum(n)::DOUBLE AS c FROM n JOIN f USING (doc_id, lo, hi) GROUP BY ALL) GROUP BY raters),
+kp AS (SELECT CAST(raters AS BIGINT) AS raters, count(*) AS n_items, (avg((sq - raters) / (raters * (raters - 1))) - max(pe)) / nullif(1 - max(pe), 0) AS kappa FROM f JOIN pe USING (raters) GROUP BY raters)"""
+
+
+@query("SELECT raters, n_items, round(kappa, 8) AS kappa FROM kp", "r", more=_KAPPA)
 def fleiss_kappa(s: SparkSession, d: str) -> DataFrame:
-    return ann.fleiss_kappa(k.responses(s, d), ["doc_id", "lo", "hi"], "mention_type", 3).withColumn("kappa", F.round("kappa", 8))
+    """Agreement on types, for each number of votes that items have."""
+    return ann.fleiss_kappa(k.responses(s, d), ["doc_id", "lo", "hi"], "mention_type").withColumn("kappa", F.round("kappa", 8))
+
+
+@query("SELECT CAST(sum(n_items) AS BIGINT) AS n_items, round(sum(kappa * n_items) / sum(n_items), 8) AS kappa FROM kp WHERE raters % 2 = 1 AND kappa IS NOT NULL", "r", more=_KAPPA)
+def fleiss_kappa_odd(s: SparkSession, d: str) -> DataFrame:
+    """Over all odd numbers of raters, weighted by items."""
+    return ann.pooled_kappa(ann.fleiss_kappa(k.responses(s, d), ["doc_id", "lo", "hi"], "mention_type")).withColumn("kappa", F.round("kappa", 8))
 
 
 @query("SELECT batch_id, count(*) FILTER (WHERE state = 'done') AS n, count(*) FILTER (WHERE state = 'done') >= count(*) FILTER (WHERE state NOT IN ('revoked', 'deleted', 'error')) AS complete FROM (SELECT DISTINCT batch_id, id, state FROM evaluation_question) GROUP BY batch_id")

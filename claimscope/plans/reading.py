@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimscope.operators import annotation as ann
 from claimscope.operators import slotfilling as sf
 from claimscope.operators import states
+from claimscope.plans.evaluation import _EXPECTED
 from claimscope.sources import derived as k
 from claimscope.sources.derived import sql
 from claimscope.tables import load
@@ -56,11 +58,11 @@ def answered_batches(s: SparkSession, d: str) -> DataFrame:
     return x.join(b, "batch_id").join(sb, F.col("_sb") == F.col("sample_batch_id"), "left").select("batch_id", "batch_type", "sample_batch_id").distinct()
 
 
-@query("""SELECT doc_id, lo, hi, CAST(sum(n) AS BIGINT) AS expected, count(*) AS n_questions FROM (SELECT doc_id, lo, hi, question_batch_id, question_id, count(DISTINCT assignment_id) AS n FROM r GROUP BY ALL) GROUP BY doc_id, lo, hi""", "r")
+@query("SELECT doc_id, lo, hi, of AS expected, array_to_string(qs, ' ') AS question_ids, array_to_string(bs, ' ') AS batch_ids FROM ev", "r", more=_EXPECTED)
 def denominators(s: SparkSession, d: str) -> DataFrame:
-    """Expected votes of each span: assignments of each question it was part of, summed."""
-    n = k.responses(s, d).groupBy("doc_id", "lo", "hi", "question_batch_id", "question_id").agg(F.countDistinct("assignment_id").alias("n"))
-    return n.groupBy("doc_id", "lo", "hi").agg(F.sum("n").alias("expected"), F.count(F.lit(1)).alias("n_questions"))
+    """Expected votes of each span, with the questions and batches that it was part of."""
+    e = ann.expected_votes(k.responses(s, d), ["doc_id", "lo", "hi"])
+    return e.select("doc_id", "lo", "hi", F.col("of").alias("expected"), F.array_join("question_ids", " ").alias("question_ids"), F.array_join(F.transform("batch_ids", lambda x: x.cast("string")), " ").alias("batch_ids"))
 
 
 @query("""SELECT submission_id, link_name, doc_id, n_mentions, type_name FROM (SELECT m.submission_id, l.link_name, m.doc_id, count(*) AS n_mentions FROM m JOIN l USING (submission_id, doc_id, lo, hi) GROUP BY ALL)

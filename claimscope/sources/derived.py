@@ -55,6 +55,11 @@ def votes(spark: SparkSession, d: str) -> DataFrame:
     return e.selectExpr("event_id AS assignment_id", "user_id AS worker_id", "CAST(get_json_object(props, '$.k') AS INT) AS question_id", "event_type AS relation", "CASE WHEN value >= 10 THEN 1 ELSE 0 END AS weight", "ts AS created")
 
 
+def relation_votes(spark: SparkSession, d: str) -> DataFrame:
+    """Votes on the relation between two arguments: three of four annotators follow the question, the rest their own mind."""
+    return votes(spark, d).selectExpr("assignment_id", "worker_id", "question_id % 11 AS doc_id", "question_id AS subject_lo", "question_id + 40 AS object_lo", "CASE WHEN worker_id % 4 < 3 THEN concat('rel:', question_id % 6) ELSE relation END AS relation", "CASE WHEN weight = 1 THEN 1.0D ELSE 0.75D END AS weight")
+
+
 def runs(spark: SparkSession, d: str) -> DataFrame:
     """Slot-filling runs: run, entity, provenance, value and its equivalence class (0: wrong)."""
     li, o = load(spark, d, "lineitem"), load(spark, d, "orders")
@@ -97,6 +102,8 @@ SQL_VIEWS = {
  CASE WHEN (doc_id + subject_lo) % 7 = 0 THEN NULL ELSE (doc_id + subject_lo) % 3 = 0 END AS correct FROM k_relation WHERE submission_id IN (0, 1) GROUP BY doc_id, subject_lo, object_lo""",
     "k_vote": """SELECT event_id AS assignment_id, user_id AS worker_id, CAST(json_extract_string(props, '$.k') AS INT) AS question_id, event_type AS relation,
  CASE WHEN value >= 10 THEN 1 ELSE 0 END AS weight, ts AS created FROM events""",
+    "k_relvote": """SELECT assignment_id, worker_id, question_id % 11 AS doc_id, question_id AS subject_lo, question_id + 40 AS object_lo,
+ CASE WHEN worker_id % 4 < 3 THEN 'rel:' || (question_id % 6) ELSE relation END AS relation, CASE WHEN weight = 1 THEN 1.0 ELSE 0.75 END::DOUBLE AS weight FROM k_vote""",
     "k_run": """SELECT o_custkey % 7 AS run_id, l_partkey % 50 AS entity, l_orderkey % 200 AS prov, l_suppkey AS slot_value,
  CASE WHEN (l_partkey + l_suppkey) % 3 = 0 THEN 0 ELSE 1 + (l_suppkey % 4) END AS eq FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "m": """SELECT submission_id, doc_id, lo, hi, c_lo, c_hi, mention_type, gloss, updated FROM (
@@ -109,7 +116,7 @@ SQL_VIEWS = {
  question_batch_id, question_id, mention_type, gloss, weight FROM evaluation_mention_response""",
     "s": "SELECT DISTINCT doc_id, span.lo AS lo, span.hi AS hi, sentence_index FROM sentence",
 }
-_NEEDS = {"k_mention": ["k_relation"], "k_link": ["k_relation", "k_mention"], "k_gold": ["k_relation"]}
+_NEEDS = {"k_relvote": ["k_vote"], "k_mention": ["k_relation"], "k_link": ["k_relation", "k_mention"], "k_gold": ["k_relation"]}
 
 
 def sql(body: str, *views: str, more: str = "") -> str:
@@ -118,4 +125,4 @@ def sql(body: str, *views: str, more: str = "") -> str:
     ctes = [f"{n} AS ({SQL_VIEWS[n]})" for n in dict.fromkeys(names)]
     if more:
         ctes.append(more.strip().rstrip(","))
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + body

@@ -205,13 +205,25 @@ def test_fleiss_example(spark):
     table = [[0, 0, 0, 0, 14], [0, 2, 6, 4, 2], [0, 0, 3, 5, 6], [0, 3, 9, 2, 0], [2, 2, 8, 1, 1], [7, 7, 0, 0, 0], [3, 2, 6, 3, 0], [2, 5, 3, 2, 2], [6, 5, 2, 1, 0], [0, 2, 2, 3, 7]]
     votes = [(i, c) for i, row in enumerate(table) for c, n in enumerate(row) for _ in range(n)]
     k = annotation.fleiss_kappa(spark.createDataFrame(votes, "item int, label int"), ["item"], "label", 14).first()
-    assert k.n_items == 10 and k.kappa == pytest.approx(0.2099, abs=1e-3)
+    assert (k.n_items, k.raters) == (10, 14) and k.kappa == pytest.approx(0.2099, abs=1e-3)
 
 
 def test_winning_spans(spark):
-    rows = [("d", 0, 5, 3.0, 4.0), ("d", 0, 8, 3.0, 4.0), ("d", 6, 7, 1.0, 4.0), ("d", 20, 22, 1.0, 4.0), ("d", 30, 31, 4.0, 4.0)]
-    got = {(r.lo, r.hi): (r.win_lo, r.win_hi) for r in annotation.winning_spans(spark.createDataFrame(rows, "doc_id string, lo int, hi int, votes double, of double")).collect()}
-    assert got == {(0, 5): (0, 8), (0, 8): (0, 8), (6, 7): (0, 8), (30, 31): (30, 31)}
+    rows = [("d", 0, 5, "PER", 3.0, 4.0), ("d", 0, 8, "ORG", 3.0, 4.0), ("d", 6, 7, "PER", 1.0, 4.0), ("d", 20, 22, "PER", 1.0, 4.0), ("d", 30, 31, "PER", 4.0, 4.0)]
+    # a winner without majority is not replaced by a shorter span that has it, and its window is lost
+    rows += [("e", 0, 9, "PER", 1.0, 4.0), ("e", 2, 4, "PER", 4.0, 4.0), ("e", 9, 12, "PER", 4.0, 4.0)]
+    df = spark.createDataFrame(rows, "doc_id string, lo int, hi int, mention_type string, votes double, of double")
+    got = {(r.doc_id, r.lo, r.hi): (r.win_lo, r.win_hi, r.win_type) for r in annotation.winning_spans(df).collect()}
+    assert got == {("d", 0, 5): (0, 8, "ORG"), ("d", 0, 8): (0, 8, "ORG"), ("d", 6, 7): (0, 8, "ORG"), ("d", 30, 31): (30, 31, "PER"), ("e", 9, 12): (9, 12, "PER")}
+
+
+VOTE = "assignment_id string, doc_id string, mention_type string, lo int, hi int, weight double, gloss string, c_lo int, c_hi int, question_batch_id int, question_id string"
+
+
+def test_the_inner_span_gets_the_pair(spark):
+    rows = [("a1", "d", "PER", 0, 10, 1.0), ("a2", "d", "PER", 2, 5, 1.0), ("a3", "d", "ORG", 1, 4, 1.0), ("a4", "d", "PER", 3, 4, 0.5)]
+    got = {(r.lo, r.hi): (r.pairs, r.votes) for r in annotation.span_clique_counts(spark.createDataFrame(rows, "assignment_id string, doc_id string, mention_type string, lo int, hi int, weight double")).collect()}
+    assert got == {(2, 5): (1, 2.0)}
 
 
 def test_span_cliques_equal_the_self_join(spark):
@@ -221,11 +233,28 @@ def test_span_cliques_equal_the_self_join(spark):
     want: dict = {}
     for a in rows:
         for b in rows:
-            if a[3] <= b[3] and b[4] <= a[4] and (a[3:5] != b[3:5]) or a[3:5] == b[3:5] and a[0] < b[0]:
+            if b[3] <= a[3] and a[4] <= b[4] and a[3:5] != b[3:5] or a[3:5] == b[3:5] and a[0] < b[0]:
                 want[a[3:5]] = want.get(a[3:5], 0) + 1
     assert got == want
 
 
+def test_merged_mentions_by_hand(spark):
+    """Question q has three assignments. [0, 4) is given by two and lies in the [0, 9) of the third: three pairs, three
+    votes of three; [0, 9) has no pair. [20, 25) is given twice with another canonical span each, of which only that at
+    [0, 4) has a winner."""
+    vote = lambda a, lo, hi, gloss, c: (a, "d", "PER", lo, hi, 1.0, gloss, *c, 1, "q")
+    rows = [vote("a1", 0, 4, "Mara", (0, 4)), vote("a2", 0, 4, "Mara", (0, 4)), vote("a3", 0, 9, "Mara Velt", (0, 9)), vote("a1", 20, 25, "she", (0, 4)), vote("a2", 20, 25, None, (0, 4)), vote("a3", 40, 41, "x", (40, 41))]
+    got = {(r.lo, r.hi): (r.mention_type, r.gloss, r.c_lo, r.c_hi, round(r.weight, 6)) for r in annotation.merge_mentions(spark.createDataFrame(rows, VOTE)).collect()}
+    assert got == {(0, 4): ("PER", "Mara", 0, 4, 1.0), (20, 25): ("PER", "she", 0, 4, round(2 / 3, 6))}
+    assert annotation.merge_mentions(spark.createDataFrame([], VOTE)).count() == 0
+
+
+def test_facts_need_more_than_half_of_the_expected_votes(spark):
+    v = spark.createDataFrame([("k", "x", 1.0), ("k", "x", 1.0), ("k", "y", 1.0), ("j", "x", 1.0), ("j", "y", 1.0), (None, "x", 1.0)], "key string, fact string, weight double")
+    asked = spark.createDataFrame([("k", 3.0), ("j", 2.0)], "key string, of double")
+    assert [(r.key, r.fact, round(r.weight, 3)) for r in annotation.merge_facts(v, ["key"], ["fact"], asked).collect()] == [("k", "x", 0.667)]
+
+
 def test_selective_payload_versions(spark):
     new = '{"subject": {"gloss": "A", "type": "PER", "span": [1, 3], "entity": {"link": "wiki:A"}}, "object": {"gloss": "B", "type": "ORG", "span": ["5", "9"]}}'
     old = '{"subject": {"gloss": "A", "type": {"name": "PER"}, "span": [1, 3]}, "object": {"gloss": "B", "type": {"name": "ORG"}, "span": [9, 9]}}'
