@@ -1,14 +1,15 @@
 """Deeply nested JSON as related flat tables.
 
-Texts become VARIANT values in the JVM. One pass over all records infers the merged schema: every structural path
-(array positions replaced by []) with the kinds of value met there. The objects themselves come from one chain of
-explodes, one per level of the deepest record: each step replaces a container by itself (once, if it is an object)
-and its child containers, so every array level becomes rows that carry the parent's surrogate key and the ordinal.
-Nothing is shuffled; only the optional schema and child tables aggregate.
+Texts become VARIANT values in the JVM. A record is walked inside its row, level by level: each step replaces the open
+containers by their child containers and adds the objects met to those found, so that scalars and finished objects
+are touched once and nothing is copied between rows. One explode at the end gives every object with its path, the
+path of the object around it, and its ordinals in the arrays between the two. The merged schema (every structural path,
+array positions replaced by [], with the kinds of value met there) decides which flat tables there are and which
+columns they have: one table per structural path, each with the surrogate keys of row and parent and the ordinals.
 
 Defined results: null, empty, cut-off or otherwise unreadable JSON gives no rows; a JSON string that holds JSON
-counts as the JSON it holds (to any depth up to `UNWRAP`); empty objects are rows, empty arrays are not; a
-top-level array or scalar has no objects of its own but its objects hang on `$`. Repeated records count once.
+counts as the JSON it holds, however often it was wrapped; empty objects are rows, empty arrays are not; a top-level
+array or scalar has no objects of its own but its objects hang on `$`. Repeated records count once.
 """
 
 from __future__ import annotations
@@ -16,26 +17,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: How often a JSON string is taken as the JSON text it holds.
-UNWRAP = 3
-_NODE = "struct<path:string,parent_path:string,ordinal:int,v:variant,done:boolean>"
+_NODE = "struct<path:string,parent_path:string,ordinals:array<int>,v:variant>"
+_FOUND = "struct<path:string,parent_path:string,ordinals:array<int>>"
 
 
-def parsed(text: Column) -> Column:
-    """VARIANT of a JSON text, null where it can't be read; strings that hold JSON are opened."""
-    v = F.try_parse_json(text)
-    for _ in range(UNWRAP):
-        inner = F.try_variant_get(v, "$", "string")
-        v = F.when(F.schema_of_variant(v) == "STRING", F.try_parse_json(inner)).otherwise(v)
-    return v
+def opened(text: Column) -> Column:
+    """The JSON text itself, or the one that a JSON string holds, null where such a string can't be read. Each wrapping
+    doubles the escapes, so the logarithm of the length bounds their number."""
+    wrapped = lambda t: t.rlike(r'^[ \t\r\n]*"')
+    times = F.sequence(F.lit(1), F.ceil(F.log2(F.char_length(text) + 1)).cast("int") + 1)
+    inner = F.aggregate(times, text, lambda t, _: F.when(wrapped(t), F.try_variant_get(F.try_parse_json(t), "$", "string")).otherwise(t))
+    return F.when(wrapped(text), inner).otherwise(text)
 
 
-def opened(text: Column) -> Column:
-    """The JSON text itself, or the one that a JSON string holds; text that can't be read stays."""
-    for _ in range(UNWRAP):
-        v = F.try_parse_json(text)
-        text = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(text)
-    return text
+def parsed(text: Column) -> Column:
+    """VARIANT of a JSON text, null where it can't be read; strings that hold JSON are opened."""
+    return F.try_parse_json(opened(text))
 
 
 def with_object(df: DataFrame, text: str) -> DataFrame:
@@ -43,46 +40,44 @@ def with_object(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn(text, opened(F.col(text))).filter(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"))
 
 
-def _depth(text: Column) -> Column:
-    """An upper bound of the container depth of a JSON text: nesting of brackets outside of strings."""
-    bare = F.regexp_replace(text, r'\\"', "")
-    bare = F.regexp_replace(bare, r'"[^"]*+"', "")
-    marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
-    step = lambda acc, c: F.when(c.isin("[", "{"), F.struct((acc.now + 1).alias("now"), F.greatest(acc.most, acc.now + 1).alias("most"))).when(c.isin("]", "}"), F.struct((acc.now - 1).alias("now"), acc.most.alias("most"))).otherwise(acc)
-    return F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda acc: acc.most)
-
-
 def documents(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys..., v): the readable JSON of each record, repeats once."""
+    """(keys..., v, containers): the readable JSON of each record, repeats once; containers: at most so many levels."""
     # parsing costs far more than its bytes show, so the number of partitions is stated: adaptive execution would merge
-    # them by size. The removal of repeats needs no shuffle of its own.
+    # them by size. Every later removal of repeats by these keys needs no shuffle of its own.
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     unique = df.select(*keys, F.col(text).alias("_json")).filter(F.col("_json").isNotNull()).repartition(parts, *keys).distinct()
-    return unique.select(*keys, parsed(F.col("_json")).alias("v")).filter(F.col("v").isNotNull() & ~F.is_variant_null("v"))
-
-
-def max_depth(docs: DataFrame) -> int:
-    """The deepest nesting over all records."""
-    return docs.select(F.max(_depth(F.to_json("v"))).alias("d")).first()["d"] or 0
-
-
-def objects(docs: DataFrame, keys: list[str], depth: int | None = None) -> DataFrame:
-    """One row per JSON object: keys..., path, parent_path (null for the top level), ordinal in its array (null
-    outside arrays), v. depth: levels to descend, by default those of the deepest record."""
-    levels = max_depth(docs) if depth is None else depth
-    nodes = docs.select(*keys, F.lit("$").alias("path"), F.lit(None).cast("string").alias("parent_path"), F.lit(None).cast("int").alias("ordinal"), "v", F.lit(False).alias("done"))
-    for _ in range(levels + 1):
-        nodes = nodes.withColumns({"_o": F.when(~F.col("done"), F.try_variant_get("v", "$", "map<string,variant>")), "_a": F.when(~F.col("done"), F.try_variant_get("v", "$", "array<variant>"))})
-        step = F.expr(f"""
-            CASE WHEN done THEN array(CAST(struct(path, parent_path, ordinal, v, true) AS {_NODE}))
-                 WHEN _o IS NOT NULL THEN concat(
-                    array(CAST(struct(path, parent_path, ordinal, v, true) AS {_NODE})),
-                    transform(map_entries(_o), e -> CAST(struct(concat(path, '.', e.key), path, CAST(NULL AS int), e.value, false) AS {_NODE})))
-                 WHEN _a IS NOT NULL THEN
-                    transform(_a, (e, i) -> CAST(struct(concat(path, '[', CAST(i AS string), ']'), CASE WHEN path = '$' THEN path ELSE parent_path END, i, e, false) AS {_NODE}))
-            END""")
-        nodes = nodes.select(*keys, F.explode(step).alias("n")).select(*keys, "n.path", "n.parent_path", "n.ordinal", "n.v", "n.done")
-    return nodes.filter("done").drop("done")
+    plain = unique.select(*keys, opened(F.col("_json")).alias("_json"))
+    n = F.char_length("_json") - F.char_length(F.translate("_json", "{[", ""))
+    return plain.select(*keys, F.try_parse_json("_json").alias("v"), n.alias("containers")).filter(F.col("v").isNotNull() & ~F.is_variant_null("v"))
+
+
+def _walk(carry: bool) -> str:
+    """The objects of `v` as an array, by an aggregate over the levels. carry: with their values."""
+    own, kind = ("e.path, e.parent_path, e.ordinals" + (", e.v" if carry else "")), (_NODE if carry else _FOUND)
+    return f"""aggregate(
+        sequence(0, containers),
+        CAST(struct(array(struct('$', CAST(NULL AS string), CAST(array() AS array<int>), v)), array()) AS struct<open:array<{_NODE}>,found:array<{kind}>>),
+        (acc, level) -> CASE WHEN size(acc.open) = 0 THEN acc ELSE aggregate(array(0),
+            struct(transform(acc.open, n -> struct(n.path AS path, n.parent_path AS parent_path, n.ordinals AS ordinals, n.v AS v,
+                try_variant_get(n.v, '$', 'map<string,variant>') AS o, try_variant_get(n.v, '$', 'array<variant>') AS a)) AS nodes,
+                CAST(NULL AS struct<open:array<{_NODE}>,found:array<{kind}>>) AS next),
+            (s, one) -> struct(s.nodes AS nodes, CAST(struct(
+                flatten(transform(s.nodes, e -> CASE
+                    WHEN e.o IS NOT NULL THEN transform(map_entries(e.o), x -> CAST(struct(concat(e.path, '.', x.key), e.path, array(), x.value) AS {_NODE}))
+                    WHEN e.a IS NOT NULL THEN transform(e.a, (x, i) -> CAST(struct(concat(e.path, '[', CAST(i AS string), ']'), CASE WHEN e.path = '$' THEN e.path ELSE e.parent_path END, concat(e.ordinals, array(i)), x) AS {_NODE}))
+                    ELSE CAST(array() AS array<{_NODE}>) END)),
+                concat(acc.found, transform(filter(s.nodes, e -> e.o IS NOT NULL), e -> CAST(struct({own}) AS {kind})))
+            ) AS struct<open:array<{_NODE}>,found:array<{kind}>>) AS next),
+            s -> s.next) END,
+        acc -> acc.found)"""
+
+
+def objects(docs: DataFrame, keys: list[str], values: bool = True) -> DataFrame:
+    """One row per JSON object of `documents`: keys..., path, parent_path (null for the top level), ordinals in the
+    arrays between parent and object, outermost first, the last one as ordinal (null outside arrays), and v."""
+    found = docs.select(*keys, F.explode(F.expr(_walk(values))).alias("n"))
+    last = F.when(F.size("n.ordinals") > 0, F.element_at("n.ordinals", -1))
+    return found.select(*keys, "n.path", "n.parent_path", "n.ordinals", last.alias("ordinal"), *(["n.v"] if values else []))
 
 
 def pattern(path: Column) -> Column:
@@ -90,9 +85,9 @@ def pattern(path: Column) -> Column:
     return F.regexp_replace(path, r"\[\d+\]", "[]")
 
 
-def surrogate(source: str, key: Column, path: Column) -> Column:
-    """A stable 64-bit key of an object in its record."""
-    return F.xxhash64(F.lit(source), key.cast("string"), path)
+def surrogate(source: Column, key: Column, path: Column) -> Column:
+    """A stable 128-bit key of an object in its record, null where it has no path."""
+    return F.md5(F.concat(source, F.lit("|"), key.cast("string"), F.lit("|"), path))
 
 
 def merged_schema(nodes: DataFrame) -> DataFrame:
@@ -108,7 +103,7 @@ def child_table(nodes: DataFrame, source: str, key: Column, at: str, columns: di
     A column whose value has another type, or is missing, is null."""
     rows = nodes.filter(pattern(F.col("path")) == at)
     return rows.select(
-        surrogate(source, key, F.col("path")).alias("row_id"), surrogate(source, key, F.col("parent_path")).alias("parent_id"), key.cast("string").alias("record_key"), "ordinal",
+        surrogate(F.lit(source), key, F.col("path")).alias("row_id"), surrogate(F.lit(source), key, F.col("parent_path")).alias("parent_id"), key.cast("string").alias("record_key"), "ordinal",
         *[F.try_variant_get("v", f'$["{c}"]', t).alias(c) for c, t in columns.items()],
     )
 
@@ -124,11 +119,11 @@ def _values(v: Column) -> Column:
 
 def rows(nodes: DataFrame, source: Column, key: Column) -> DataFrame:
     """Every object as a row of the table of its structural path: source_table, record_key, pattern, path, row_id,
-    parent_id (null for the top-level object), ordinal in its array, the values by field as text."""
-    at = lambda p: F.when(p.isNotNull(), F.xxhash64(source, key.cast("string"), p))
+    parent_id (null for the top-level object), its ordinals in the arrays below the parent, the values by field as text."""
+    at = lambda p: surrogate(source, key, p)
     return nodes.select(
         source.alias("source_table"), key.cast("string").alias("record_key"), pattern(F.col("path")).alias("pattern"), "path",
-        at(F.col("path")).alias("row_id"), at(F.col("parent_path")).alias("parent_id"), "ordinal", _values(F.col("v")).alias("values"),
+        at(F.col("path")).alias("row_id"), at(F.col("parent_path")).alias("parent_id"), "ordinals", "ordinal", _values(F.col("v")).alias("values"),
     )
 
 
@@ -151,4 +146,4 @@ def child_tables(nodes: DataFrame, source: Column, key: Column) -> dict[str, Dat
     """The flat table of each structural path that occurs, with the columns of `table_columns` beside the keys."""
     every = rows(nodes, source, key)
     cell = lambda f, t: F.col("values")[F.lit(f)].try_cast(t).alias(f"value.{f}")
-    return {p: every.filter(F.col("pattern") == p).select("source_table", "record_key", "row_id", "parent_id", "ordinal", *[cell(f, t) for f, t in fields.items()]) for p, fields in table_columns(nodes).items()}
+    return {p: every.filter(F.col("pattern") == p).select("source_table", "record_key", "row_id", "parent_id", "ordinals", "ordinal", *[cell(f, t) for f, t in fields.items()]) for p, fields in table_columns(nodes).items()}

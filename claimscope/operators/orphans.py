@@ -1,9 +1,10 @@
 """References whose parent record is missing, deleted or only came later.
 
 All references of all tables and all parent keys go through one sort-merge join: both sides are
-hash-partitioned by (parent table, key), sorted, and merged in one linear pass. A key that holds a large part of
-the references is split by adaptive execution (skew join on the left side of the outer join); parents are reduced
-to one validity interval per key before that, so no key multiplies rows.
+hash-partitioned by (parent table, key), sorted, and merged in one linear pass. Parents are reduced to one validity
+interval per key before that, so no key multiplies rows. The intervals are written to the shared folder: both sides then
+enter the join through an exchange of their own, which is what lets adaptive execution split a key that holds a
+large part of the references (skew join on the left side of the outer join).
 
 Defined results: a null reference (any part null) is no case. A null time on either side can't show lateness, so
 such a reference fails only if its parent is missing or deleted; its period is null where the child's time is.
@@ -19,6 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimscope.session import written
+
 
 @dataclass(frozen=True)
 class Reference:
@@ -71,10 +74,13 @@ def orphans(references: list[Reference], parents: list[Parent]) -> DataFrame:
             for r in references
         ],
     )
-    merged = refs.join(validity(parents).withColumn("found", F.lit(True)).hint("merge"), ["parent_table", "key"], "left")
+    intervals = written(validity(parents), "validity").withColumn("found", F.lit(True))
+    merged = refs.join(intervals.hint("merge"), ["parent_table", "key"], "left")
     kind = F.when(F.col("found").isNull(), "missing").when(F.col("deleted"), "deleted").when(F.col("since") > F.col("at"), "late")
+    # the failing rows, which are few, are made distinct through an exchange of their own: one that reused the key's
+    # partitioning would keep a hot key together. concat hides from the planner that the key is the same.
     return (
-        merged.select("child_table", "record_key", F.col("key").alias("missing_key"), F.date_format("at", "yyyy-MM").alias("period"), kind.alias("kind"))
+        merged.select("child_table", "record_key", F.concat("key", F.lit("")).alias("missing_key"), F.date_format("at", "yyyy-MM").alias("period"), kind.alias("kind"))
         .filter(F.col("kind").isNotNull())
         .distinct()
     )

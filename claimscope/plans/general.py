@@ -41,13 +41,13 @@ def _params(spark: SparkSession, d: str) -> DataFrame:
     return nested.documents(q.unionByName(b), ["source_table", "record_key"], "params")
 
 
-def _objects(spark: SparkSession, d: str) -> DataFrame:
-    return nested.objects(_params(spark, d), ["source_table", "record_key"])
+def _objects(spark: SparkSession, d: str, values: bool = True) -> DataFrame:
+    return nested.objects(_params(spark, d), ["source_table", "record_key"], values)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Every JSON object below the top-level one, with the path of the object around it."""
-    return _objects(spark, d).filter(F.col("parent_path").isNotNull()).select("source_table", "record_key", "path", "parent_path").distinct()
+    return _objects(spark, d, values=False).filter(F.col("parent_path").isNotNull()).select("source_table", "record_key", "path", "parent_path").distinct()
 
 
 def p4_schema(spark: SparkSession, d: str) -> DataFrame:
@@ -67,13 +67,20 @@ def p4_objects(spark: SparkSession, d: str) -> DataFrame:
     return nested.rows(_objects(spark, d), F.col("source_table"), F.col("record_key"))
 
 
+def p4_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The keys of `p4_objects`: the row and the parent of each object, and its ordinals in the arrays between them."""
+    o = _objects(spark, d, values=False)
+    at = lambda p: nested.surrogate(F.col("source_table"), F.col("record_key"), F.col(p))
+    return o.select("source_table", "record_key", nested.pattern(F.col("path")).alias("pattern"), at("path").alias("row_id"), at("parent_path").alias("parent_id"), F.array_join(F.transform("ordinals", lambda x: x.cast("string")), ".").alias("ordinals"))
+
+
 def p4_tables(spark: SparkSession, d: str) -> DataFrame:
     """The flat tables with their columns and types, as the merged schema has them."""
     own = nested.table_columns(_objects(spark, d))
     return spark.createDataFrame([(p, f, t) for p, fields in own.items() for f, t in (fields or {None: None}).items()], "pattern string, field string, type string")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_schema, p4_candidates, p4_objects, p4_tables)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_schema, p4_candidates, p4_objects, p4_rows, p4_tables)}
 
 _P3 = """
 WITH r AS (
@@ -112,5 +119,11 @@ n(source_table, record_key, path, parent_path, j) AS (
 SQL = {
     "p3_found": _P3 + "SELECT * FROM f WHERE kind IS NOT NULL",
     "p3_report": _P3 + "SELECT child_table, period, kind, count(*) AS n_records, count(DISTINCT missing_key) AS n_keys FROM f WHERE kind IS NOT NULL GROUP BY ALL",
+    "p4_schema": _P4 + """SELECT regexp_replace(path, '\\[\\d+\\]', '[]', 'g') AS pattern, f AS field, CASE json_type(x) WHEN 'VARCHAR' THEN 'STRING' WHEN 'UBIGINT' THEN 'BIGINT' WHEN 'DOUBLE' THEN 'DECIMAL' WHEN 'NULL' THEN 'VOID' ELSE json_type(x) END AS kind, count(*) AS n
+ FROM (SELECT path, f, json_extract(j, '$."' || f || '"') AS x FROM (SELECT path, j, unnest(json_keys(j)) AS f FROM n WHERE json_type(j) = 'OBJECT')) GROUP BY ALL""",
+    "p4_candidates": _P4 + """SELECT md5('evaluation_question|' || record_key || '|' || path) AS row_id, md5('evaluation_question|' || record_key || '|' || parent_path) AS parent_id, record_key, CAST(regexp_extract(path, '\\[(\\d+)\\]$', 1) AS INT) AS ordinal,
+ j ->> '$.link' AS link, TRY_CAST(j ->> '$.score' AS DOUBLE) AS score FROM n WHERE source_table = 'evaluation_question' AND json_type(j) = 'OBJECT' AND regexp_full_match(path, '\\$\\.subject\\.entity\\.candidates\\[\\d+\\]')""",
+    "p4_rows": _P4 + """SELECT source_table, record_key, regexp_replace(path, '\\[\\d+\\]', '[]', 'g') AS pattern, md5(source_table || '|' || record_key || '|' || path) AS row_id,
+ CASE WHEN path <> '$' THEN md5(source_table || '|' || record_key || '|' || parent_path) END AS parent_id, CASE WHEN path <> '$' THEN array_to_string(regexp_extract_all(substr(path, length(parent_path) + 1), '\\[(\\d+)\\]', 1), '.') ELSE '' END AS ordinals FROM n WHERE json_type(j) = 'OBJECT'""",
     "p4_found": _P4 + "SELECT DISTINCT source_table, record_key, path, parent_path FROM n WHERE path <> '$' AND json_type(j) = 'OBJECT'",
 }

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -15,6 +18,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -34,11 +38,15 @@ def build_session(app: str = "claimscope", **extra: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session may lack it (tests) and gets a folder
+    of its own; on a cluster a local folder would scatter the tables over the machines, so that is an error."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="claimscope-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return spark.conf.get("spark.checkpoint.dir", None) or folder
@@ -50,9 +58,32 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tables of this process that nothing has discarded yet.
+_WRITTEN: set[str] = set()
+
+
 def written(df: DataFrame, label: str = "table") -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage and gives the optimizer true sizes."""
+    return written_at(df, label)[0]
+
+
+def written_at(df: DataFrame, label: str = "table") -> tuple[DataFrame, str]:
+    """As `written`, with the path, which `discard` takes once nothing reads the table any more."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN.add(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a written table."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+    _WRITTEN.discard(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table this process has written and not discarded; results that read them must be done."""
+    for path in list(_WRITTEN):
+        discard(spark, path)

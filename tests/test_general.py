@@ -30,6 +30,25 @@ def test_orphans_merge_join_not_broadcast(spark):
     assert "SortMergeJoin" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_a_hot_reference_is_split(spark, tmp_path):
+    """Four of five references have one key; after the run its plan holds a split join."""
+    lower = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    spark.range(40000).selectExpr("CAST(id AS string) AS id", "IF(id % 5 < 4, 'hot', CAST(id % 97 AS string)) AS ref", "TIMESTAMP'2016-05-05' AS at").repartition(8).write.parquet(str(tmp_path / "c"))
+    child = spark.read.parquet(str(tmp_path / "c"))
+    parent = spark.range(97).selectExpr("CAST(id AS string) AS ref", "TIMESTAMP'2016-05-01' AS at")
+    before = {k: spark.conf.get(k, None) for k in lower}
+    try:
+        for k, v in lower.items():
+            spark.conf.set(k, v)
+        out = orphans([Reference("child", child, F.col("id"), F.col("ref"), F.col("at"), "parent")], [Parent("parent", parent, F.col("ref"), F.col("at"))])
+        rows = out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(rows) == 32000 and {r.missing_key for r in rows} == {"hot"}
+
+
 def test_joined_key_is_null_if_any_part_is(spark):
     assert [r[0] for r in spark.createDataFrame([(1, "a"), (None, "a"), (1, None)], "x int, y string").select(joined_key(F.col("x"), F.col("y"))).collect()] == ["1|a", None, None]
 
@@ -63,12 +82,12 @@ def deep(n):
 def test_objects_match_recursion(spark):
     cases = NESTED | {"deep": deep(25)}
     rows = [(k, json.dumps(v)) for k, v in cases.items()]
-    rows += [("twice", json.dumps(json.dumps(NESTED["plain"]))), ("thrice", json.dumps(json.dumps(json.dumps({"a": {}})))), ("cut", json.dumps(NESTED["plain"])[:-5]), ("none", None), ("blank", ""), ("words", "not json"), ("plain", json.dumps(NESTED["plain"]))]
+    rows += [("twice", json.dumps(json.dumps(NESTED["plain"]))), ("thrice", json.dumps(json.dumps(json.dumps({"a": {}})))), ("often", json.dumps(json.dumps(json.dumps(json.dumps(json.dumps({"a": {"b": {}}})))))), ("cut", json.dumps(NESTED["plain"])[:-5]), ("none", None), ("blank", ""), ("words", "not json"), ("plain", json.dumps(NESTED["plain"]))]
     docs = nested.documents(spark.createDataFrame(rows, "key string, params string"), ["key"], "params")
     got = {(r.key, r.path, r.parent_path) for r in nested.objects(docs, ["key"]).filter("parent_path IS NOT NULL").collect()}
-    want = {(k, *p) for k, v in (cases | {"twice": NESTED["plain"], "thrice": {"a": {}}}).items() for p in brute(v)}
+    want = {(k, *p) for k, v in (cases | {"twice": NESTED["plain"], "thrice": {"a": {}}, "often": {"a": {"b": {}}}}).items() for p in brute(v)}
     assert got == want
-    assert nested.objects(docs.limit(0), ["key"], 3).count() == 0
+    assert nested.objects(docs.limit(0), ["key"]).count() == 0
 
 
 def test_child_tables_keep_parents_and_ordinals(spark):
@@ -76,7 +95,7 @@ def test_child_tables_keep_parents_and_ordinals(spark):
     docs = nested.documents(spark.createDataFrame([("k", json.dumps(v), "x")], "key string, params string, path string"), ["key"], "params")
     nodes = nested.objects(docs, ["key"])
     rows = nested.child_table(nodes, "t", F.col("key"), "$.who.list[]", {"link": "string", "score": "double"}).orderBy("ordinal").collect()
-    parent = nodes.filter("path = '$.who'").select(nested.surrogate("t", F.col("key"), F.col("path"))).first()[0]
+    parent = nodes.filter("path = '$.who'").select(nested.surrogate(F.lit("t"), F.col("key"), F.col("path"))).first()[0]
     assert [(r.parent_id, r.ordinal, r.link, r.score) for r in rows] == [(parent, 0, "l0", 0.5), (parent, 1, "3", None)]
     kinds = {(r.pattern, r.field, r.kind): r.n for r in nested.merged_schema(nodes).collect()}
     assert kinds[("$.who.list[]", "link", "STRING")] == 1 and kinds[("$", "who", "OBJECT")] == 1
