@@ -6,7 +6,9 @@ WITH a AS (SELECT DISTINCT doc_id, span.lo AS lo, span.hi AS hi, worker_id, assi
                   CASE WHEN weight = 0 THEN 'NONE' ELSE mention_type END AS label
            FROM evaluation_mention_response
            WHERE doc_id IS NOT NULL AND span.lo IS NOT NULL AND span.hi IS NOT NULL AND worker_id IS NOT NULL),
-l AS (SELECT doc_id, lo, hi, label, count(*) AS n FROM a WHERE label IS NOT NULL GROUP BY ALL),
+w AS (SELECT doc_id, lo, hi, worker_id, label FROM (SELECT doc_id, lo, hi, worker_id, label, count(*) AS n FROM a WHERE label IS NOT NULL GROUP BY ALL)
+      QUALIFY row_number() OVER (PARTITION BY doc_id, lo, hi, worker_id ORDER BY n DESC, label) = 1),
+l AS (SELECT doc_id, lo, hi, label, count(*) AS n FROM w GROUP BY ALL),
 i AS (SELECT doc_id, lo, hi, sum(n) AS s, sum(n * (n - 1)) AS same FROM l GROUP BY ALL HAVING sum(n) > 1),
 c AS (SELECT label, sum(n) AS c FROM l SEMI JOIN i USING (doc_id, lo, hi) GROUP BY label),
 o AS (SELECT count(*) AS n_items, sum(s) AS n_answers, sum((s * (s - 1) - same) / (s - 1)::DOUBLE) / sum(s)::DOUBLE AS od FROM i),

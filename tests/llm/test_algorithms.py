@@ -57,6 +57,25 @@ def test_consensus_defined_results(spark):
     assert consensus.krippendorff(consensus.answers(spark.createDataFrame([], RESPONSE))).first()["alpha"] is None
 
 
+def test_weights_as_a_table_give_the_same_consensus(spark):
+    votes = consensus.answers(spark.createDataFrame(judged()[1], RESPONSE))
+    here, joined = consensus.Consensus(votes), consensus.Consensus(votes, broadcast_cells=0)
+    assert here.small and not joined.small and here.rounds == joined.rounds
+    rounded = lambda c: {(r.doc_id, r.label, r.n_workers, round(r.agreement, 9), round(r.margin, 9)) for r in c.items().collect()}
+    assert rounded(here) == rounded(joined)
+    people = lambda c: {(r.worker_id, r.n_answers, r.n_judged, round(r.reliability, 9)) for r in c.workers().collect()}
+    assert people(here) == people(joined)
+
+
+def test_agreement_is_between_different_annotators(spark):
+    rows = [("1", "w1", "d", (0, 1), None, "ORG", 1.0, ""), ("2", "w1", "d", (0, 1), None, "ORG", 1.0, ""), ("3", "w2", "d", (0, 1), None, "PER", 1.0, "")]
+    votes = consensus.answers(spark.createDataFrame(rows, RESPONSE))
+    r = consensus.Consensus(votes).items().first()
+    assert (r.n_workers, r.n_answers, r.agreement) == (2, 3.0, 0.0)
+    alpha = consensus.krippendorff(votes).first()
+    assert alpha.n_answers == 2 and alpha.observed_disagreement == 1.0
+
+
 def test_alpha_of_perfect_agreement(spark):
     rows = [(f"{i}{w}", w, f"d{i}", (0, 1), None, "ORG" if i % 2 else "PER", 1.0, "") for i in range(10) for w in ("a", "b")]
     assert consensus.krippendorff(consensus.answers(spark.createDataFrame(rows, RESPONSE))).first()["alpha"] == pytest.approx(1.0)
