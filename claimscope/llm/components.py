@@ -1,60 +1,83 @@
 """Consolidating pairwise matches: connected components by alternating large-star and small-star.
 
-Large-star links every larger neighbour of a node to the least node around it, small-star links a node and its
-smaller neighbours to the least of them; both are joins of the edge table with one minimum per node. They alternate
-until the edge table no longer changes; then every node hangs directly on its component's least identifier.
-
-Scale: minima are pre-aggregated before the shuffle, so a node with a third of all edges costs one row per task;
-the join back splits such a node's edges over tasks by adaptive skew join. Each round is checkpointed. Nothing is
-collected but a count and a checksum per round. Identifiers are longs given by one distributed sort of the
-records, so the least identifier is the least record in the wanted order.
+Edges run from the larger node to the smaller. Large-star links every larger neighbour of a node to the least node
+around it; since that is the node's own least smaller neighbour, or itself, an edge (u, v) becomes (u, least of v).
+Small-star links a node and its smaller neighbours to the least of them, which moves edges only of nodes that have
+several. The two alternate until a round moves no edge; then every node hangs directly on its component's least
+identifier.
+
+Scale: minima are combined before their shuffle, so a node with a third of all edges costs one row per task. They
+are written to the shared folder before they are joined back: both sides then enter the join through an exchange of
+their own, and adaptive execution splits such a node's edges over tasks. The tables of a round are deleted once the
+next one stands. Nothing is collected but two counts a round, taken while the round is written. Identifiers are longs
+given by one distributed sort of the records, so the least identifier is the least record in the wanted order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from claimscope.session import checkpointed, written
-
-MAX_ROUNDS = 60
-
-
-def _oriented(pairs: DataFrame) -> DataFrame:
-    return pairs.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-
-
-def _state(edges: DataFrame) -> tuple:
-    # a bounded hash per edge: its sum can't overflow under ANSI arithmetic
-    r = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 30)).alias("h")).first()
-    return r["n"], r["h"]
+from claimscope.session import discard, written, written_at
+
+#: The number of rounds grows with the logarithm of the largest component; more are an error.
+MAX_ROUNDS = 100
+
+
+class _Stars:
+    """The edge table between rounds."""
+
+    def __init__(self, pairs: DataFrame):
+        self.spark, self.paths = pairs.sparkSession, []
+        edges = pairs.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        self.edges = self._keep(edges, "edges")
+
+    def _keep(self, df: DataFrame, label: str) -> DataFrame:
+        table, path = written_at(df, label)
+        self.paths.append(path)
+        return table
+
+    def large_star(self) -> tuple[DataFrame, int]:
+        """(edges moved to the least node around their smaller end, how many did move)."""
+        least = self._keep(self.edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+        seen = Observation()
+        around = self.edges.join(least.select(F.col("u").alias("v"), "m"), "v", "left").select("u", F.coalesce("m", "v").alias("v"), F.col("m").isNotNull().alias("moved"))
+        out = self._keep(around.observe(seen, F.count_if("moved").alias("moved")).select("u", "v"), "large")
+        return out, seen.get.get("moved", 0)
+
+    def small_star(self, edges: DataFrame) -> tuple[DataFrame, int]:
+        """(edges of each node and its smaller neighbours to the least of them, how many nodes had several)."""
+        seen = Observation()
+        least = edges.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most"))
+        least = self._keep(least.observe(seen, F.count_if(F.col("m") < F.col("most")).alias("several")), "least")
+        direct = least.select("u", F.col("m").alias("v"))
+        several = seen.get.get("several", 0)
+        if not several:
+            return direct, 0
+        moved = edges.join(least.filter("m < most").select("u", "m"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return direct.unionByName(moved).distinct(), several
+
+    def round(self) -> int:
+        """Both stars; how many edges and nodes moved."""
+        old, self.paths = self.paths, []
+        large, moved = self.large_star()
+        small, several = self.small_star(large)
+        self.edges = self._keep(small, "edges") if several else small
+        for path in old:
+            discard(self.spark, path)
+        return moved + several
 
 
 def components(pairs: DataFrame) -> DataFrame:
     """(u, v) of long -> (id, root): every node that occurs in a pair of two different nodes, with the least node of
     its component. Nulls and self pairs tie nothing, repeated pairs count once, no pairs give no rows."""
-    edges = checkpointed(_oriented(pairs.dropna()))
-    state = _state(edges)
+    stars = _Stars(pairs.dropna())
     for _ in range(MAX_ROUNDS):
-        edges = checkpointed(_small_star(_large_star(edges)))
-        now = _state(edges)
-        if now == state:
+        if not stars.round():
             break
-        state = now
     else:
         raise RuntimeError("components did not settle")
+    edges = stars.edges
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
@@ -76,14 +99,16 @@ def mention_pairs(mentions: DataFrame, links: DataFrame) -> tuple[DataFrame, Dat
     claims = m.filter(F.col("c_lo").isNotNull() & F.col("c_hi").isNotNull() & ((F.col("c_lo") != F.col("span_lo")) | (F.col("c_hi") != F.col("span_hi")))).distinct()
     target = nodes.select("submission_id", "doc_id", F.col("span_lo").alias("c_lo"), F.col("span_hi").alias("c_hi"), F.col("id").alias("v"))
     canonical = claims.join(nodes.withColumnRenamed("id", "u"), MENTION).join(target, ["submission_id", "doc_id", "c_lo", "c_hi"]).select("u", "v")
-    named = (
+    named = written(
         links.select("submission_id", "doc_id", F.col("span.lo").alias("span_lo"), F.col("span.hi").alias("span_hi"), "link_name")
         .filter((F.col("link_name") != "") & (F.upper("link_name") != "WIKI:NULL"))
         .distinct()
         .join(nodes, MENTION)
-        .select("submission_id", "link_name", "id")
+        .select("submission_id", "link_name", "id"),
+        "named",
     )
-    least = named.groupBy("submission_id", "link_name").agg(F.min("id").alias("v"))
+    # written, so that a name with very many links is split when its least mention is joined
+    least = written(named.groupBy("submission_id", "link_name").agg(F.min("id").alias("v")), "least")
     linked = named.join(least, ["submission_id", "link_name"]).select(F.col("id").alias("u"), "v")
     return nodes, canonical.unionByName(linked)
 

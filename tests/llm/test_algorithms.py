@@ -110,6 +110,28 @@ def test_components_match_union_find(spark, shape):
     assert len(got) == len(want) and {r.id: r.root for r in got} == want
 
 
+def test_hot_nodes_are_split(spark):
+    """Stars around a least and around a greatest node: the joins of both rounds split the hot node."""
+    lower = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.files.maxPartitionBytes": "16k"}
+    before = {k: spark.conf.get(k, None) for k in lower}
+    rest = spark.range(3000).selectExpr("200000 + 3 * id AS u", "200000 + 3 * id + 1 AS v")
+    least = spark.range(1, 40000).selectExpr("id AS u", "0L AS v").union(rest).union(rest.selectExpr("u + 2", "v")).repartition(8)
+    greatest = spark.range(1, 40000).selectExpr("100000L AS u", "id AS v").union(rest).union(rest.selectExpr("u + 2", "v")).repartition(8)
+    plan = lambda df: (df.collect(), df._jdf.queryExecution().executedPlan().toString())[1]
+    try:
+        for k, v in lower.items():
+            spark.conf.set(k, v)
+        stars = components._Stars(least)
+        low = stars.edges.groupBy("u").agg(components.F.min("v").alias("m"))
+        around = stars.edges.join(stars._keep(low, "least").select(components.F.col("u").alias("v"), "m"), "v", "left")
+        assert "skew=true" in plan(around)
+        small, several = components._Stars(greatest).small_star(greatest)
+        assert several == 1 and "skew=true" in plan(small)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_mention_groups(spark):
     m = [
         (1, "d", (0, 1), (5, 6), "x"), (1, "d", (5, 6), (5, 6), "x"), (1, "e", (2, 3), (9, 10), "x"), (1, "e", (4, 5), None, "x"), (1, "c", (7, 8), (7, 8), "x"),
