@@ -21,10 +21,12 @@ from collections import Counter
 from functools import lru_cache, reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimscope.session import written
+
 # Letters of one shape, Latin first in each pair.
 LATIN_CYRILLIC = "AА BВ CС EЕ HН IІ JЈ KК MМ OО PР SЅ TТ XХ YУ aа cс dԁ eе hһ iі jј lӏ oо pр qԛ sѕ vѵ wԝ xх yу"
 LATIN_GREEK = "AΑ BΒ EΕ HΗ IΙ KΚ MΜ NΝ OΟ PΡ TΤ XΧ YΥ ZΖ oο vν"
@@ -66,12 +68,25 @@ def _folded(ch: str) -> str:
     return ch
 
 
+class _Folds(dict):
+    """Code point -> its folded form, made as characters are met."""
+
+    def __init__(self, keep: str = ""):
+        super().__init__({ord(c): c for c in keep})
+
+    def __missing__(self, code: int) -> str:
+        self[code] = form = _folded(chr(code))
+        return form
+
+
+_ALL, _IN_LINES = _Folds(), _Folds("\n")
+
+
 def fold(text: str, breaks: bool = True) -> str:
     """The form of a text that needs no context. breaks: line breaks become spaces."""
     if text.isascii():
         return text if not breaks else re.sub(r"[\t\n\r\x0b\x0c]", " ", text)
-    keep = "" if breaks else "\n"
-    return unicodedata.normalize("NFC", "".join(c if c in keep else _folded(c) for c in text))
+    return unicodedata.normalize("NFC", text.translate(_ALL if breaks else _IN_LINES))
 
 
 @lru_cache(65536)
@@ -127,20 +142,28 @@ def _fold_udf(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"folded": folded, "doubtful": [[] if t is None else doubtful(t) for t in folded]})
 
 
+@F.pandas_udf(T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("doubtful", T.ArrayType(T.StringType()))]))
+def _pair_udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Both folded, and the doubtful tokens of both where they still differ."""
+    rows = [(fold(x), fold(y)) for x, y in zip(a, b)]
+    return pd.DataFrame({"a": [x for x, _ in rows], "b": [y for _, y in rows], "doubtful": [[] if x == y else sorted({*doubtful(x), *doubtful(y)}) for x, y in rows]})
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _readings_udf(tokens: pd.Series) -> pd.Series:
     return tokens.map(readings)
 
 
-@F.pandas_udf(T.StringType())
-def _repair_udf(folded: pd.Series, keys: pd.Series, values: pd.Series) -> pd.Series:
-    def one(text, ks, vs):
-        if text is None or ks is None or len(ks) == 0:
-            return text
-        table = dict(zip(ks, vs))
-        return _TOKEN.sub(lambda m: table.get(m.group(), m.group()), text)
+def _repaired(text: str, doubts: list[str], forms: list[str]) -> str:
+    """A folded text with its doubtful tokens in their reading; a doubt counts under the text's own main script."""
+    main = _main(text)
+    table = {d.split("\t")[1]: f for d, f in zip(doubts, forms) if d.split("\t")[0] == main}
+    return _TOKEN.sub(lambda m: table.get(m.group(), m.group()), text)
 
-    return pd.Series([one(*x) for x in zip(folded, keys, values)], dtype=object)
+
+@F.pandas_udf(T.StringType())
+def _repair_udf(folded: pd.Series, doubts: pd.Series, forms: pd.Series) -> pd.Series:
+    return pd.Series([t if t is None or d is None or len(d) == 0 else _repaired(t, d, f) for t, d, f in zip(folded, doubts, forms)], dtype=object)
 
 
 def vocabulary(texts: list[DataFrame]) -> DataFrame:
@@ -161,37 +184,45 @@ def vocabulary(texts: list[DataFrame]) -> DataFrame:
 
 
 def repairs(doubts: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(doubt, token, reading) for each doubtful token with a reading in the vocabulary: the best rank, then the most
+    """(doubt, reading) for each doubtful token with another reading in the vocabulary: the best rank, then the most
     frequent, then the least reading."""
     each = doubts.select("doubt").distinct().select("doubt", F.explode(_readings_udf("doubt")).alias("r"))
     each = each.select("doubt", F.substring_index("r", "\t", 1).cast("int").alias("rank"), F.substring_index("r", "\t", -1).alias("reading"))
-    known = each.join(vocab.withColumnRenamed("token", "reading"), "reading")
+    known = written(each, "readings").join(vocab.withColumnRenamed("token", "reading"), "reading")
     best = known.groupBy("doubt").agg(F.min_by("reading", F.struct("rank", -F.col("n"), "reading")).alias("reading"))
-    return best.withColumn("token", F.substring_index("doubt", "\t", -1)).filter("token <> reading")
+    return best.filter(F.substring_index("doubt", "\t", -1) != F.col("reading"))
+
+
+def _with_repairs(rows: DataFrame, key: list[str], doubtful_tokens: str, vocab: DataFrame) -> DataFrame:
+    """rows with _r: the repairs of the doubtful tokens of each row, null where it has none. A row has no more
+    repairs than tokens."""
+    doubt = rows.filter(F.size(doubtful_tokens) > 0).select(*key, F.explode(doubtful_tokens).alias("doubt"))
+    own = doubt.join(repairs(doubt, vocab), "doubt").groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("doubt", "reading"))).alias("_r"))
+    return rows.join(own, key, "left")
 
 
-def one_form(texts: DataFrame, key: list[str], text: str, vocab: DataFrame) -> DataFrame:
-    """texts with `form` added. key: columns that identify a row of texts (they must be unique and not null)."""
-    folded = texts.withColumn("_f", _fold_udf(text))
-    doubt = folded.select(*key, F.explode("_f.doubtful").alias("doubt"))
-    per_row = doubt.join(repairs(doubt, vocab), "doubt").groupBy(*key).agg(F.collect_list(F.struct("token", "reading")).alias("_r"))
-    return folded.join(per_row, key, "left").withColumn("form", _repair_udf(F.col("_f.folded"), F.col("_r.token"), F.col("_r.reading"))).drop("_f", "_r")
+def one_form(texts: DataFrame, text: str, vocab: DataFrame) -> DataFrame:
+    """texts with `form` added. Each text is folded once; repairs come back by a 128-bit hash of the folded text."""
+    folded = written(texts.withColumn("_f", _fold_udf(text)).select(*texts.columns, F.col("_f.folded").alias("_folded"), F.col("_f.doubtful").alias("_doubts"), F.md5("_f.folded").alias("_key")), "folded")
+    whole = _with_repairs(folded.filter(F.size("_doubts") > 0).select("_key", "_doubts").dropDuplicates(["_key"]), ["_key"], "_doubts", vocab).select("_key", "_r")
+    return folded.join(whole, "_key", "left").withColumn("form", _repair_udf(F.col("_folded"), F.col("_r.doubt"), F.col("_r.reading"))).select(*texts.columns, "form")
 
 
 def slices(responses: DataFrame, documents: DataFrame) -> DataFrame:
-    """Each answer's gloss beside the document's text under its span (in code points), whole rows once. Answers with
-    a null or a span outside of the text have no slice and are left out."""
-    r = responses.select("assignment_id", "doc_id", F.col("span.lo").alias("span_lo"), F.col("span.hi").alias("span_hi"), "gloss").dropna().distinct()
+    """Each answer's gloss beside the document's text under its span (in code points); repeated answers repeat. Answers
+    with a null or a span outside of the text have no slice and are left out."""
+    r = responses.select("assignment_id", "doc_id", F.col("span.lo").alias("span_lo"), F.col("span.hi").alias("span_hi"), "gloss").dropna()
     d = documents.select(F.col("id").alias("doc_id"), F.col("gloss").alias("doc_gloss")).dropna().distinct()
     inside = (F.col("span_lo") >= 0) & (F.col("span_hi") > F.col("span_lo")) & (F.col("span_hi") <= F.char_length("doc_gloss"))
     return r.join(d, "doc_id").filter(inside).withColumn("under", F.substring("doc_gloss", F.col("span_lo") + 1, F.col("span_hi") - F.col("span_lo"))).drop("doc_gloss")
 
 
 def same_reading(pairs: DataFrame, a: str, b: str, vocab: DataFrame) -> DataFrame:
-    """Rows of pairs whose two texts differ and have one form. Forms are made once per distinct text."""
-    differing = pairs.filter(F.col(a) != F.col(b))
-    texts = differing.select(F.col(a).alias("text")).unionByName(differing.select(F.col(b).alias("text"))).distinct()
-    forms = one_form(texts, ["text"], "text", vocab).select("text", "form")
-    left = forms.select(F.col("text").alias(a), F.col("form").alias("_fa"))
-    right = forms.select(F.col("text").alias(b), F.col("form").alias("_fb"))
-    return differing.join(left, a).join(right, b).filter("_fa = _fb").drop("_fa", "_fb")
+    """Distinct rows of pairs whose two texts differ and have one form. Both are folded beside each other and written
+    once; only pairs that still differ and hold doubtful tokens meet the vocabulary."""
+    differing = pairs.filter(F.col(a) != F.col(b)).distinct().withColumn("_f", _pair_udf(a, b))
+    folded = written(differing.select(*pairs.columns, "_f.*", F.md5(F.to_json(F.struct(*pairs.columns))).alias("_key")), "differing")
+    equal = folded.filter("a = b")
+    open_pairs = _with_repairs(folded.filter("a <> b AND size(doubtful) > 0"), ["_key"], "doubtful", vocab).filter("_r IS NOT NULL")
+    repaired = open_pairs.filter(_repair_udf(F.col("a"), F.col("_r.doubt"), F.col("_r.reading")) == _repair_udf(F.col("b"), F.col("_r.doubt"), F.col("_r.reading")))
+    return equal.select(*pairs.columns).unionByName(repaired.select(*pairs.columns))

@@ -55,7 +55,7 @@ def p5_documents(spark: SparkSession, d: str) -> DataFrame:
 
     documents = load(spark, d, "document").select("id", "gloss").dropna().distinct()
     vocab = vocabulary([documents.select("gloss"), load(spark, d, "evaluation_mention_response").select("gloss")])
-    return one_form(documents, ["id", "gloss"], "gloss", vocab).select(F.col("id").alias("doc_id"), "form", (F.col("form") != F.col("gloss")).alias("changed"))
+    return one_form(documents, "gloss", vocab).select(F.col("id").alias("doc_id"), "form", (F.col("form") != F.col("gloss")).alias("changed"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
