@@ -2,13 +2,19 @@
 
 A smoothed character trigram model is counted over all presumed-clean records (one distributed pass; each task
 counts whole batches into hash buckets, so the model has a fixed size whatever the corpus). A second pass scores
-every text; pieces that hold an unlikely non-ASCII character try every chain "encode as A, decode as B" (and a second
-round of it), and the chain whose result gains most in log-likelihood is taken if it gains more than a margin. The
-margin is validated: it is set above what any chain gains on a bounded sample of clean records, and no lower than
-`LEAST_MARGIN`.
+every text, a batch at a time; pieces that hold an unlikely non-ASCII character try every chain "encode as A, decode
+as B", and after a decoding from UTF-8 every chain again, and keep the likeliest reading. A third pass, over the texts
+with such pieces only, accepts readings that gain more than a margin in log-likelihood, also for parts of a piece, and
+goes on with the result as long as it gains, for text that was garbled several times.
+
+The margin is validated on held-out text: the gains of all such pieces of all presumed-clean records, where each record's
+own text is scored by the model without its own counts; the margin lies above all but one in two hundred of these
+gains, and no lower than `LEAST_MARGIN`.
 
 A text is garbled if a piece gains more than the margin, or holds U+FFFD (bytes were lost; such text is found but
-can't be restored). `restored` is the whole text with every such piece repaired, null where bytes were lost.
+can't be restored). `restored` is the whole text with every such piece repaired, null where bytes were lost. Within a
+text the chain that repaired most pieces also serves pieces for which it is merely likelier; that changes what is
+restored, not what is found.
 
 Broadcast: three count tables of fixed size (2^16 + 2^20 + 2^21 floats, 12 MB), never growing with the data.
 
@@ -18,6 +24,7 @@ result per doc_id and text; other columns don't matter.
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections import Counter
 from functools import lru_cache
@@ -27,17 +34,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimscope.session import written
+
 BITS = (16, 20, 21)
 #: Weight of the shorter context, as a share of all characters: rare contexts (garbled rows that slipped into the
 #: training) fall back to the rarity of their characters. Behaves alike at every corpus size.
 BACKOFF = 2e-6
 #: A non-ASCII character less likely than this (log) makes its piece worth trying.
 DOUBT = -7.0
-#: Rounds of repair of one piece, for text garbled several times.
-ROUNDS = 4
 LEAST_MARGIN = 4.0
-#: Clean records on which the margin is validated.
-SAMPLE = 2000
+#: Unlikely characters that make the part of a piece they span worth trying by itself: fewer are too little to tell a
+#: rare name from garbled text (the margin is validated on whole pieces).
+LEAST_UNLIKELY = 4
+#: Share of the held-out gains below the margin.
+VALIDATED = 0.995
 
 # Encodings a text may wrongly have been read as, and encodings its bytes may really be in.
 READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "cp866", "koi8-r", "mac-roman", "cp1253", "cp1254", "cp1256", "cp874", "iso8859-2", "iso8859-5", "iso8859-7", "gbk", "gb18030", "cp932", "big5", "euc-jp", "euc-kr")
@@ -67,11 +77,8 @@ def _table(codec: str) -> dict[int, int]:
 
 def _encode(text: str, codec: str) -> bytes | None:
     try:
-        if codec in _MULTI:
-            return text.encode(codec)
-        table = _table(codec)
-        return bytes([table[ord(c)] for c in text])
-    except (UnicodeEncodeError, KeyError):
+        return text.encode(codec) if codec in _MULTI else codecs.charmap_encode(text, "strict", _table(codec))[0]
+    except UnicodeEncodeError:
         return None
 
 
@@ -82,10 +89,8 @@ def _decoded(raw: bytes, codec: str) -> str | None:
         return None
 
 
-@lru_cache(20_000)
-def readings(piece: str) -> dict[str, str]:
-    """What each chain makes of a piece: result -> name of its chain."""
-    out: dict[str, str] = {}
+def _steps(piece: str):
+    """(result, encoding, decoding) of every chain of one step that can be applied, equal bytes once."""
     seen: set[bytes] = set()
     for a in READ_AS:
         raw = _encode(piece, a)
@@ -93,19 +98,24 @@ def readings(piece: str) -> dict[str, str]:
             continue
         seen.add(raw)
         for b in TRUE:
-            if b == a:
-                continue
-            text = _decoded(raw, b)
-            if text is None or text == piece:
-                continue
-            if b == "utf-8" and _FOREIGN.search(text):
-                for a2 in READ_AS[:9]:
-                    again = _encode(text, a2)
-                    second = again and _decoded(again, "utf-8")
-                    if second and second != text and not _BAD.search(second):
-                        out.setdefault(second, f"{a}>utf-8,{a2}>utf-8")
-            if not _BAD.search(text):
-                out.setdefault(text, f"{a}>{b}")
+            if b != a:
+                text = _decoded(raw, b)
+                if text is not None and text != piece:
+                    yield text, a, b
+
+
+@lru_cache(50_000)
+def readings(piece: str) -> dict[str, str]:
+    """What each chain makes of a piece: result -> name of its chain. Text that decodes from UTF-8 goes through every
+    chain once more."""
+    out: dict[str, str] = {}
+    for text, a, b in _steps(piece):
+        if b == "utf-8" and _FOREIGN.search(text):
+            for second, a2, b2 in _steps(text):
+                if second != piece and not _BAD.search(second):
+                    out.setdefault(second, f"{a}>utf-8,{a2}>{b2}")
+        if not _BAD.search(text):
+            out[text] = f"{a}>{b}"
     return out
 
 
@@ -126,15 +136,34 @@ def _codes(text: str) -> np.ndarray:
     return np.where((c >= 48) & (c <= 57), np.uint64(48), c)
 
 
-def _buckets(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of each character, of it and the one before, of it and the two before; texts begin after two spaces."""
-    b = np.concatenate(([np.uint64(32)], c[:-1])) if len(c) else c
-    a = np.concatenate(([np.uint64(32)], b[:-1])) if len(c) else c
-    mul = np.uint64(0x9E3779B97F4A7C15)
-    h1 = (c * mul) >> np.uint64(64 - BITS[0])
-    h2 = ((c + (b << np.uint64(21))) * mul) >> np.uint64(64 - BITS[1])
-    h3 = ((c + (b << np.uint64(21)) + (a << np.uint64(42))) * mul) >> np.uint64(64 - BITS[2])
-    return h1, h2, h3
+_FIRST = np.zeros(1, dtype=np.int64)
+_MUL = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = np.uint64(32)
+
+
+def _buckets(c: np.ndarray, starts: np.ndarray = _FIRST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of each character, of it and the one before, of it and the two before; texts begin after two spaces.
+    starts: where texts begin in c."""
+    if not len(c):
+        return c.astype(np.int64), c.astype(np.int64), c.astype(np.int64)
+    b = np.concatenate(([_SPACE], c[:-1]))
+    b[starts] = _SPACE
+    a = np.concatenate(([_SPACE], b[:-1]))
+    a[starts] = _SPACE
+    two = c + (b << np.uint64(21))
+    return tuple(((x * _MUL) >> np.uint64(64 - bits)).astype(np.int64) for x, bits in zip((c, two, two + (a << np.uint64(42))), BITS))
+
+
+def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of all texts, where each begins); no text may be empty."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    return _codes("".join(texts)), np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
+
+
+def _own(h: np.ndarray) -> np.ndarray:
+    """How often each bucket occurs in h itself."""
+    _, at, n = np.unique(h, return_inverse=True, return_counts=True)
+    return n[at]
 
 
 def presumed_clean(text: str) -> bool:
@@ -163,127 +192,168 @@ class Model:
     def __init__(self, n1: np.ndarray, n2: np.ndarray, n3: np.ndarray, margin: float = LEAST_MARGIN):
         self.n1, self.n2, self.n3, self.margin = n1, n2, n3, margin
         self.total = float(n1.sum()) or 1.0
-        self.cache: dict[tuple[str, str, str], tuple[str, list[str]] | None] = {}
+        self.space = float(self.n1[int((32 * int(_MUL) % (1 << 64)) >> (64 - BITS[0]))])
+        self.cache: dict[tuple[str, str, str], tuple[float, str, str]] = {}
+
+    def load(self) -> list[float]:
+        """The filled share of each table."""
+        return [float((n > 0).mean()) for n in (self.n1, self.n2, self.n3)]
 
-    def logs(self, c: np.ndarray) -> np.ndarray:
-        """log p of each character after the two before it."""
+    def logs(self, c: np.ndarray, starts: np.ndarray = _FIRST, held_out: bool = False) -> np.ndarray:
+        """log p of each character after the two before it. held_out: by the counts of all texts but this one."""
         if not len(c):
             return np.zeros(0)
-        h1, h2, h3 = _buckets(c)
-        k = BACKOFF * self.total + 1.0
-        p1 = (self.n1[h1] + 0.1) / (self.total + 0.1 * (1 << BITS[0]))
-        before1 = np.concatenate(([self.n1[int((32 * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - BITS[0]))]], self.n1[h1[:-1]]))
-        p2 = (self.n2[h2] + k * p1) / (before1 + k)
-        before2 = np.concatenate(([0.0], self.n2[h2[:-1]]))
-        p3 = (self.n3[h3] + k * p2) / (before2 + k)
-        return np.log(np.minimum(p3, 1.0))
+        h1, h2, h3 = _buckets(c, starts)
+        n1, n2, n3, total = self.n1[h1], self.n2[h2], self.n3[h3], self.total
+        if held_out:
+            n1, n2, n3, total = n1 - _own(h1), n2 - _own(h2), n3 - _own(h3), total - len(c)
+        k = BACKOFF * total + 1.0
+        p1 = (n1 + 0.1) / (total + 0.1 * (1 << BITS[0]))
+        before1 = np.concatenate(([self.space], n1[:-1]))
+        before1[starts] = self.space
+        p2 = (n2 + k * p1) / (before1 + k)
+        before2 = np.concatenate(([0.0], n2[:-1]))
+        before2[starts] = 0.0
+        return np.log(np.minimum((n3 + k * p2) / (before2 + k), 1.0))
 
     def score(self, text: str) -> float:
         return float(self.logs(_codes(text)).sum())
 
     def best(self, left: str, piece: str, right: str) -> tuple[float, str, str]:
-        """(gain, restored, chain) of the best reading of a piece between the two characters on each side; all
-        readings are scored in one pass."""
-        options = readings(piece)
-        if not options:
-            return -1e9, piece, ""
-        left, right = left[-2:].rjust(2), right[:2]
-        texts = [piece, *options]
-        parts = [left + t + right for t in texts]
-        logs = self.logs(_codes("".join(parts)))
-        ends = np.cumsum([len(p) for p in parts])
-        sums = np.concatenate(([0.0], np.cumsum(logs)))
-        # the two characters of context before a piece don't count: their own context is the text before
-        scores = sums[ends] - sums[np.concatenate(([0], ends[:-1])) + 2]
-        at = int(np.argmax(scores[1:])) + 1
-        return float(scores[at] - scores[0]), texts[at], options[texts[at]]
-
-    def repair(self, left: str, piece: str, right: str, logs: np.ndarray) -> tuple[str, list[str]] | None:
-        """Best repair of a doubtful piece in its surroundings: whole, by its runs, or its unlikely middle; again as
-        long as a round gains, for text that was garbled more than once."""
+        """(score, reading, chain) of the best reading of a piece between the two characters on each side, with the
+        characters on the right counted; all readings are scored in one pass."""
         key = (left[-2:], piece, right[:2])
-        if key in self.cache:
-            return self.cache[key]
+        found = self.cache.get(key)
+        if found is None:
+            options = list(readings(piece))
+            if options:
+                left, right = left[-2:].rjust(2), right[:2]
+                parts = [left + t + right for t in options]
+                logs = self.logs(_codes("".join(parts)))
+                ends = np.cumsum([len(p) for p in parts])
+                sums = np.concatenate(([0.0], np.cumsum(logs)))
+                # the two characters of context before a piece don't count: their own context is the text before
+                scores = sums[ends] - sums[np.concatenate(([0], ends[:-1])) + 2]
+                at = int(np.argmax(scores))
+                found = (float(scores[at]), options[at], readings(piece)[options[at]])
+            else:
+                found = (-np.inf, piece, "")
+            if len(self.cache) < 200_000:  # a cache only: a full one costs time, not results
+                self.cache[key] = found
+        return found
+
+    def repair(self, left: str, piece: str, right: str, logs: np.ndarray, first: tuple[float, str, str]) -> tuple[str, list[str]] | None:
+        """Best repair of a doubtful piece in its surroundings: whole, by its runs, or its unlikely middle; again as
+        long as a round gains, for text that was garbled more than once. logs: those of piece and right; first: its
+        best reading as a whole."""
         chains: list[str] = []
         text = piece
-        for _ in range(ROUNDS):
-            step = self._once(left, text, right, logs)
-            if step is None:
-                break
-            if chains and "utf-8" not in step[1]:  # only UTF-8 shows for certain that text was garbled again
+        while True:
+            step = self._once(left, text, right, logs, first)
+            # only UTF-8 shows for certain that text was garbled again, and decoding from it shortens the text
+            if step is None or chains and ("utf-8" not in step[1] or len(step[0]) >= len(text)):
                 break
             text, chain = step
             chains.append(chain)
             if text.isascii():
                 break
-            logs = self.logs(_codes(left[-2:].rjust(2) + text))[2:]
-        result = (text, chains) if chains else None
-        if len(self.cache) < 100_000:  # a cache only: a full one costs time, not results
-            self.cache[key] = result
-        return result
-
-    def _once(self, left: str, piece: str, right: str, logs: np.ndarray) -> tuple[str, str] | None:
-        gain, text, chain = self.best(left, piece, right)
-        if gain > self.margin:
-            return text, chain
+            logs, first = self.logs(_codes(left[-2:].rjust(2) + text + right[:2]))[2:], self.best(left, text, right)
+        return (text, chains) if chains else None
+
+    def _once(self, left: str, piece: str, right: str, logs: np.ndarray, first: tuple[float, str, str]) -> tuple[str, str] | None:
+        if first[0] - logs.sum() > self.margin:
+            return first[1:]
         whole = left[-2:] + piece + right[:2]
         shift = len(left[-2:])
-        around = lambda i, j: (whole[max(0, i + shift - 2) : i + shift], piece[i:j], whole[j + shift : j + shift + 2])
+
+        def part(i: int, j: int) -> tuple[float, str, str]:
+            score, text, chain = self.best(whole[max(0, i + shift - 2) : i + shift], piece[i:j], whole[j + shift : j + shift + 2])
+            return score - logs[i : j + 2].sum(), text, chain
+
         out, at, chains = [], 0, []
         for m in _PLAIN_RUN.finditer(piece):
             if (m.start(), m.end()) == (0, len(piece)):
                 break
-            gain, text, chain = self.best(*around(m.start(), m.end()))
+            gain, text, chain = part(m.start(), m.end())
             if gain > self.margin:
                 out += [piece[at : m.start()], text]
                 at = m.end()
                 chains.append(chain)
         if chains:
             return "".join([*out, piece[at:]]), chains[0]
-        low = np.flatnonzero(logs < DOUBT)
-        if len(low) > 3:
+        low = np.flatnonzero(logs[: len(piece)] < DOUBT)
+        if len(low) >= LEAST_UNLIKELY:
             lo, hi = int(low[0]), min(int(low[-1]) + 1, len(piece))
             for i, j in ((lo, hi), (max(0, lo - 1), hi), (lo, min(len(piece), hi + 1)), (max(0, lo - 1), min(len(piece), hi + 1))):
                 if (i, j) != (0, len(piece)):
-                    gain, text, chain = self.best(*around(i, j))
+                    gain, text, chain = part(i, j)
                     if gain > self.margin:
                         return piece[:i] + text + piece[j:], chain
         return None
 
-    def examine(self, text: str | None) -> tuple[str | None, list[str]] | None:
-        """None for a clean text, else (restored text or None, chains)."""
-        if not text or text.isascii():
-            return None
-        codes = _codes(text)
-        logs = self.logs(codes)
+    def _doubtful(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(logs, doubt, starts) of texts end to end; none may be empty."""
+        codes, starts = _joined(texts)
+        logs = self.logs(codes, starts)
         foreign = codes > 127
-        doubt = (logs < DOUBT) & (foreign | np.concatenate(([False], foreign[:-1])))
-        lost = "\ufffd" in text
-        if not lost and not doubt.any():
-            return None
+        near = foreign | np.concatenate(([False], foreign[:-1]))
+        near[starts] = foreign[starts]
+        return logs, (logs < DOUBT) & near, starts
+
+    def doubts(self, texts: list[str]) -> list[tuple[int, list[float], list[tuple[int, float, str, str]]]]:
+        """For each text (not empty, not ASCII) with doubtful pieces or lost bytes: its number; what the best readings of
+        its pieces gain by the counts of all other texts, if it is presumed clean; and of each doubtful piece where it
+        begins, and score, reading and chain of its best reading."""
+        if not texts:
+            return []
+        logs, doubt, starts = self._doubtful(texts)
+        out = []
+        for i in np.flatnonzero(np.logical_or.reduceat(doubt, starts) | np.fromiter(("\ufffd" in t for t in texts), bool, len(texts))).tolist():
+            text, at = texts[i], int(starts[i])
+            before = np.concatenate(([0], np.cumsum(doubt[at : at + len(text)]))).tolist()
+            pieces = []
+            for m in _PIECE.finditer(text):
+                lo, hi = m.span()
+                if before[hi] > before[lo] and not m.group().isascii():
+                    pieces.append((lo, *self.best(text[max(0, lo - 2) : lo], m.group(), text[hi : hi + 2]), hi))
+            gains = []
+            if pieces and presumed_clean(text):
+                own = np.concatenate(([0.0], np.cumsum(self.logs(_codes(text), held_out=True))))
+                gains = [float(p[1] - own[min(p[4] + 2, len(text))] + own[p[0]]) for p in pieces]
+            out.append((i, gains, [p[:4] for p in pieces]))
+        return out
+
+    def examined(self, texts: list[str], pieces: list[list[tuple[int, float, str, str]]]) -> list[tuple[str | None, list[str]] | None]:
+        """Per text None if it isn't garbled, else (restored text or None, chains); arguments as `doubts` gives them."""
+        if not texts:
+            return []
+        logs, _, starts = self._doubtful(texts)
+        return [self._examined(t, logs[a : a + len(t)], p) for t, a, p in zip(texts, starts.tolist(), pieces)]
+
+    def _examined(self, text: str, logs: np.ndarray, pieces: list[tuple[int, float, str, str]]) -> tuple[str | None, list[str]] | None:
+        known = {p[0]: p[1:] for p in pieces}
         found: list[tuple[int, int, str, list[str]]] = []
         others: list[tuple[int, int]] = []
         for m in _PIECE.finditer(text):
-            piece = m.group()
-            if piece.isascii():
+            lo, hi = m.span()
+            if m.group().isascii():
                 continue
-            repaired = None
-            if doubt[m.start() : m.end()].any():
-                repaired = self.repair(text[max(0, m.start() - 2) : m.start()], piece, text[m.end() : m.end() + 2], logs[m.start() : m.end()])
+            repaired = self.repair(text[max(0, lo - 2) : lo], m.group(), text[hi : hi + 2], logs[lo : hi + 2], known[lo]) if lo in known else None
             if repaired:
-                found.append((m.start(), m.end(), *repaired))
+                found.append((lo, hi, *repaired))
             else:
-                others.append((m.start(), m.end()))
-        if not found and not lost:
+                others.append((lo, hi))
+        chains = sorted({c for *_, own in found for c in own})
+        if "\ufffd" in text:
+            return None, chains
+        if not found:
             return None
-        if lost:
-            return None, sorted({c for *_, chains in found for c in chains})
         found = self._agreed(text, found, others)
         out, at = [], 0
         for lo, hi, new, _ in found:
             out += [text[at:lo], new]
             at = hi
-        return "".join([*out, text[at:]]), sorted({c for *_, chains in found for c in chains})
+        return "".join([*out, text[at:]]), sorted({c for *_, own in found for c in own})
 
     def _agreed(self, text: str, found: list, others: list) -> list:
         """Repairs in the light of the whole text: the chain that repaired most of it also serves the pieces for which
@@ -308,20 +378,16 @@ class Model:
 def _count(batches):
     size = [1 << b for b in BITS]
     for b in batches:
-        parts: list[list[np.ndarray]] = [[], [], []]
-        for t in b["text"]:
-            if t and presumed_clean(t):
-                for own, h in zip(parts, _buckets(_codes(t))):
-                    own.append(h)
-        for order, own in enumerate(parts):
-            if own:
-                n = np.bincount(np.concatenate(own).astype(np.int64), minlength=size[order])
+        clean = [t for t in b["text"] if t and presumed_clean(t)]
+        if clean:
+            for order, h in enumerate(_buckets(*_joined(clean))):
+                n = np.bincount(h, minlength=size[order])
                 at = np.flatnonzero(n)
                 yield pd.DataFrame({"order": order, "bucket": at, "n": n[at]})
 
 
 def train(texts: DataFrame) -> Model:
-    """The model of all presumed-clean records of `texts` (column text), with its validated margin."""
+    """The model of all presumed-clean records of `texts` (column text)."""
     # the sums have at most 2^16 + 2^20 + 2^21 rows, whatever the corpus
     counts = texts.select("text").mapInPandas(_count, "order int, bucket long, n long").groupBy("order", "bucket").agg(F.sum("n").alias("n")).toPandas()
     tables = []
@@ -330,35 +396,33 @@ def train(texts: DataFrame) -> Model:
         table = np.zeros(1 << bits, dtype=np.float32)
         table[own["bucket"].to_numpy()] = own["n"].to_numpy()
         tables.append(table)
-    model = Model(*tables)
-    sample = texts.select("text").filter(F.col("text") != "").orderBy(F.xxhash64("text")).limit(SAMPLE).toPandas()["text"]
-    model.margin = validated_margin(model, [t for t in sample if presumed_clean(t)])
-    model.cache = {}
-    return model
-
-
-def validated_margin(model: Model, clean: list[str]) -> float:
-    """Above what the best chain gains on all but one in two hundred doubtful pieces of texts
-    presumed clean (which still hold a few garbled ones)."""
-    gains = []
-    for text in clean:
-        logs = model.logs(_codes(text))
-        for m in _PIECE.finditer(text):
-            if not m.group().isascii() and logs[m.start() : m.end()].min() < DOUBT:
-                gains.append(model.best(text[max(0, m.start() - 2) : m.start()], m.group(), text[m.end() : m.end() + 2])[0])
-    return max(LEAST_MARGIN, 1.0 + float(np.quantile(gains, 0.995))) if gains else LEAST_MARGIN
+    return Model(*tables)
+
+
+_PIECES = "array<struct<at:int,score:double,text:string,chain:string>>"
 
 
 def examine(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, restored, chains) of every garbled text."""
     texts = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").isNotNull() & F.col("text").rlike(r"[^\x00-\x7f]"))
-    model = texts.sparkSession.sparkContext.broadcast(train(documents.select(F.col(text).alias("text"))))
+    spark, kind = texts.sparkSession, dict(documents.dtypes)[key]
+    shared = spark.sparkContext.broadcast(train(documents.select(F.col(text).alias("text"))))
+
+    def doubts(batches):
+        for b in batches:
+            keys, own = b["key"].tolist(), b["text"].tolist()
+            yield pd.DataFrame([(keys[i], own[i], gains, pieces) for i, gains, pieces in shared.value.doubts(own)], columns=["key", "text", "gains", "pieces"])
+
+    doubtful = written(texts.mapInPandas(doubts, f"key {kind}, text string, gains array<double>, pieces {_PIECES}"), "doubtful")
+    bound = doubtful.select(F.explode("gains").alias("gain")).agg(F.percentile_approx("gain", F.lit(VALIDATED), F.lit(10_000)).alias("g")).first()["g"]
+    margin = max(LEAST_MARGIN, 1.0 + bound) if bound is not None else LEAST_MARGIN
 
     def run(batches):
-        m = model.value
+        m = shared.value
+        m.margin = margin
         for b in batches:
-            rows = [(k, *found) for k, t in zip(b["key"], b["text"]) for found in [m.examine(t)] if found]
-            yield pd.DataFrame(rows, columns=["key", "restored", "chains"])
+            pieces = [[(p["at"], p["score"], p["text"], p["chain"]) for p in own] for own in b["pieces"]]
+            found = m.examined(b["text"].tolist(), pieces)
+            yield pd.DataFrame([(k, *x) for k, x in zip(b["key"], found) if x], columns=["key", "restored", "chains"])
 
-    kind = dict(documents.dtypes)[key]
-    return texts.mapInPandas(run, f"key {kind}, restored string, chains array<string>").withColumnRenamed("key", key)
+    return doubtful.select("key", "text", "pieces").mapInPandas(run, f"key {kind}, restored string, chains array<string>").withColumnRenamed("key", key)
