@@ -104,7 +104,7 @@ def _steps(piece: str):
                     yield text, a, b
 
 
-@lru_cache(50_000)
+@lru_cache(2_000)
 def readings(piece: str) -> dict[str, str]:
     """What each chain makes of a piece: result -> name of its chain. Text that decodes from UTF-8 goes through every
     chain once more."""
@@ -154,6 +154,22 @@ def _buckets(c: np.ndarray, starts: np.ndarray = _FIRST) -> tuple[np.ndarray, np
     return tuple(((x * _MUL) >> np.uint64(64 - bits)).astype(np.int64) for x, bits in zip((c, two, two + (a << np.uint64(42))), BITS))
 
 
+#: Characters scored at a time: enough for array operations to pay, few enough for their temporaries.
+CHUNK = 1 << 17
+
+
+def _chunks(texts: list[str]):
+    """(first, end) of runs of texts of about CHUNK characters; a longer text is a run of its own."""
+    first = size = 0
+    for i, t in enumerate(texts):
+        if i > first and size + len(t) > CHUNK:
+            yield first, i
+            first, size = i, 0
+        size += len(t)
+    if texts:
+        yield first, len(texts)
+
+
 def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(codes of all texts, where each begins); no text may be empty."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -175,10 +191,22 @@ def presumed_clean(text: str) -> bool:
     return not any(_reads_as_utf8(run) for run in set(_RUN.findall(text)) if len(run) > 1)
 
 
-@lru_cache(100_000)
+@lru_cache(1)
+def _leads() -> dict[int, list[str]]:
+    """Character -> the single-byte encodings in which it is a byte that may begin a UTF-8 character."""
+    out: dict[int, list[str]] = {}
+    for codec in READ_AS:
+        if codec not in _MULTI:
+            for ch, byte in _table(codec).items():
+                if 0xC2 <= byte <= 0xF4:
+                    out.setdefault(ch, []).append(codec)
+    return out
+
+
+@lru_cache(20_000)
 def _reads_as_utf8(run: str) -> bool:
     """Whether the bytes of a run of non-ASCII characters in some single-byte encoding are UTF-8."""
-    for codec in READ_AS:
+    for codec in _leads().get(ord(run[0]), ()):
         if codec not in _MULTI:
             raw = _encode(run, codec)
             if raw and _decoded(raw, "utf-8"):
@@ -304,8 +332,9 @@ class Model:
         """For each text (not empty, not ASCII) with doubtful pieces or lost bytes: its number; what the best readings of
         its pieces gain by the counts of all other texts, if it is presumed clean; and of each doubtful piece where it
         begins, and score, reading and chain of its best reading."""
-        if not texts:
-            return []
+        return [(lo + i, gains, pieces) for lo, hi in _chunks(texts) for i, gains, pieces in self._doubts(texts[lo:hi])]
+
+    def _doubts(self, texts: list[str]) -> list[tuple[int, list[float], list[tuple[int, float, str, str]]]]:
         logs, doubt, starts = self._doubtful(texts)
         out = []
         for i in np.flatnonzero(np.logical_or.reduceat(doubt, starts) | np.fromiter(("\ufffd" in t for t in texts), bool, len(texts))).tolist():
@@ -325,29 +354,26 @@ class Model:
 
     def examined(self, texts: list[str], pieces: list[list[tuple[int, float, str, str]]]) -> list[tuple[str | None, list[str]] | None]:
         """Per text None if it isn't garbled, else (restored text or None, chains); arguments as `doubts` gives them."""
-        if not texts:
-            return []
-        logs, _, starts = self._doubtful(texts)
-        return [self._examined(t, logs[a : a + len(t)], p) for t, a, p in zip(texts, starts.tolist(), pieces)]
+        out = []
+        for lo, hi in _chunks(texts):
+            logs, _, starts = self._doubtful(texts[lo:hi])
+            out += [self._examined(t, logs[a : a + len(t)], p) for t, a, p in zip(texts[lo:hi], starts.tolist(), pieces[lo:hi])]
+        return out
 
     def _examined(self, text: str, logs: np.ndarray, pieces: list[tuple[int, float, str, str]]) -> tuple[str | None, list[str]] | None:
-        known = {p[0]: p[1:] for p in pieces}
         found: list[tuple[int, int, str, list[str]]] = []
-        others: list[tuple[int, int]] = []
-        for m in _PIECE.finditer(text):
-            lo, hi = m.span()
-            if m.group().isascii():
-                continue
-            repaired = self.repair(text[max(0, lo - 2) : lo], m.group(), text[hi : hi + 2], logs[lo : hi + 2], known[lo]) if lo in known else None
+        for lo, *first in pieces:
+            m = _PIECE.match(text, lo)
+            repaired = self.repair(text[max(0, lo - 2) : lo], m.group(), text[m.end() : m.end() + 2], logs[lo : m.end() + 2], tuple(first))
             if repaired:
-                found.append((lo, hi, *repaired))
-            else:
-                others.append((lo, hi))
+                found.append((lo, m.end(), *repaired))
         chains = sorted({c for *_, own in found for c in own})
         if "\ufffd" in text:
             return None, chains
         if not found:
             return None
+        done = {f[0] for f in found}
+        others = [m.span() for m in _PIECE.finditer(text) if m.start() not in done and not m.group().isascii()]
         found = self._agreed(text, found, others)
         out, at = [], 0
         for lo, hi, new, _ in found:
@@ -379,11 +405,14 @@ def _count(batches):
     size = [1 << b for b in BITS]
     for b in batches:
         clean = [t for t in b["text"] if t and presumed_clean(t)]
-        if clean:
-            for order, h in enumerate(_buckets(*_joined(clean))):
-                n = np.bincount(h, minlength=size[order])
-                at = np.flatnonzero(n)
-                yield pd.DataFrame({"order": order, "bucket": at, "n": n[at]})
+        sums = [np.zeros(n, dtype=np.int64) for n in size]
+        for lo, hi in _chunks(clean):
+            for n, h in zip(sums, _buckets(*_joined(clean[lo:hi]))):
+                at, times = np.unique(h, return_counts=True)
+                n[at] += times
+        for order, n in enumerate(sums):
+            at = np.flatnonzero(n)
+            yield pd.DataFrame({"order": order, "bucket": at, "n": n[at]})
 
 
 def train(texts: DataFrame) -> Model:

@@ -9,10 +9,11 @@ Size of the mixture: by default the largest in which every source that has texts
 repeats (shares of sources without texts fall to the others in proportion); `total_tokens` sets another, and a
 source that can't fill its share then gives all it may.
 
-Scale: nothing is sorted as a whole. Keys fall into `BUCKETS` ranges of a monotone transform, prefix sums run within
-(source, range) and over the small table of range totals, so a source with a third of all texts is spread over
-tasks. Equal texts count as one text (the least id stands for all, so no text exceeds its repeats under other ids):
-texts are grouped by a 128-bit fingerprint with a partial minimum before the shuffle.
+Scale: texts are measured where they are read; only fingerprint, size and weight are shuffled. Equal texts count as one
+text (the least id stands for all, so no text exceeds its repeats under other ids): they are grouped by a 128-bit
+fingerprint with a partial minimum before the shuffle. Keys are range-partitioned by (source, key), whose borders
+Spark draws from the keys themselves, so a source with a third of all texts is spread evenly over tasks; prefix sums
+run within (source, range) and over the small table of range totals.
 
 Defined results: null and empty texts and null sources are in no mixture; sources without a target are left out;
 targets without texts are reported with share 0; a null or negative share counts as 0, max_repeats below 1 as 0.
@@ -26,7 +27,6 @@ from pyspark.sql import functions as F
 from claimscope.llm.tokens import FOLDER, count_tokens
 from claimscope.session import written
 
-BUCKETS = 1024
 MAX_SOURCES = 10_000
 
 
@@ -48,15 +48,17 @@ def candidates(documents: DataFrame, targets: DataFrame, folder: str = FOLDER) -
     """(source, doc_id, n_tokens, weight): each distinct text of a source with a target."""
     wanted = targets.select("source").dropna().distinct()
     d = documents.select("doc_id", "text", "source").filter(F.col("text") != "").join(wanted, "source", "left_semi")
-    marked = d.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit("second"), "text")})
-    first = marked.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    kept = d.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select("source", "doc_id", count_tokens("text", folder).alias("n_tokens"), quality(F.col("text")).alias("weight")).filter("n_tokens > 0")
+    measured = d.select(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"), "doc_id", "source", count_tokens("text", folder).alias("n_tokens"), quality(F.col("text")).alias("weight"))
+    first = measured.filter("n_tokens > 0").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "source", "n_tokens", "weight")).alias("x"))
+    return first.select("x.source", "x.doc_id", "x.n_tokens", "x.weight")
 
 
 def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: str = "mix", folder: str = FOLDER) -> tuple[DataFrame, DataFrame]:
     """(chosen: source, doc_id, n_tokens, repeats; shares: one row per target)."""
-    texts = written(candidates(documents, targets, folder), "texts")
+    keyed = candidates(documents, targets, folder).withColumn("k", -F.log(uniform(seed, F.col("doc_id"))) / F.col("weight"))
+    keyed = written(keyed, "texts")
+    # ranges depend on drawn borders, so they are written down before use
+    texts = written(keyed.repartitionByRange("source", "k", "doc_id").withColumn("part", F.spark_partition_id()), "ranges")
     goal = targets.select("source", F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("target_share"), F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).alias("max_repeats")).dropna(subset=["source"]).groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     have = texts.groupBy("source").agg(F.sum("n_tokens").alias("available"), F.count(F.lit(1)).alias("n_texts"))
     rows = [r.asDict() for r in goal.join(have, "source", "left").orderBy("source").limit(MAX_SOURCES + 1).collect()]
@@ -75,12 +77,10 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     spark = documents.sparkSession
     budgets = spark.createDataFrame(plan, "source string, epochs long, rest long, target_share double, max_repeats long, available long")
 
-    keyed = texts.withColumn("k", -F.log(uniform(seed, F.col("doc_id"))) / F.col("weight"))
-    keyed = keyed.withColumn("bucket", F.floor((1 - F.exp(-F.col("k") * 0.7)) * BUCKETS).cast("int"))
-    ranges = keyed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("t")).selectExpr("source", "bucket", "sum(t) OVER (PARTITION BY source ORDER BY bucket) - t AS before")
-    # each source is one row of `budgets` (at most MAX_SOURCES), each (source, bucket) one of `ranges`
-    running = keyed.selectExpr("*", "sum(n_tokens) OVER (PARTITION BY source, bucket ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) AS inside")
-    chosen = running.join(ranges, ["source", "bucket"]).join(budgets.select("source", "epochs", "rest"), "source")
+    ranges = texts.groupBy("source", "part").agg(F.sum("n_tokens").alias("t")).selectExpr("source", "part", "sum(t) OVER (PARTITION BY source ORDER BY part) - t AS before")
+    # each source is one row of `budgets` (at most MAX_SOURCES), each (source, part) one of `ranges`
+    running = texts.selectExpr("*", "sum(n_tokens) OVER (PARTITION BY source, part ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) AS inside")
+    chosen = running.join(ranges, ["source", "part"]).join(budgets.select("source", "epochs", "rest"), "source")
     repeats = F.col("epochs") + F.when(F.col("before") + F.col("inside") <= F.col("rest"), 1).otherwise(0)
     chosen = chosen.select("source", "doc_id", "n_tokens", repeats.alias("repeats")).filter("repeats > 0")
 

@@ -79,7 +79,7 @@ class _Stock:
         if pair:
             return list(pair)
         first = np.arange(gap - 2, 0, -1)
-        for a in first[(free[first] > 0) & self.pairs[gap - first]][:32]:  # the index may be older than the stock
+        for a in first[(free[first] > 0) & self.pairs[gap - first]]:  # the index may be older than the stock
             free[a] -= 1
             pair = self._pair(gap - int(a), free)
             free[a] += 1
