@@ -73,7 +73,8 @@ def winning_spans(counted: DataFrame) -> DataFrame:
         close()
         return pd.DataFrame(out, columns=["doc_id", "lo", "hi", "win_lo", "win_hi", "win_type", "votes", "of"])
 
-    return counted.groupBy("doc_id").applyInPandas(sweep, "doc_id string, lo int, hi int, win_lo int, win_hi int, win_type string, votes double, of double")
+    kind = dict(counted.dtypes)["doc_id"]
+    return counted.groupBy("doc_id").applyInPandas(sweep, f"doc_id {kind}, lo int, hi int, win_lo int, win_hi int, win_type string, votes double, of double")
 
 
 def merge_mentions(mentions: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimscope.plans import evaluation, general, reading, relational, sampling
+from claimscope.plans import answers, evaluation, general, reading, relational, sampling
 
-QUERIES = {**general.QUERIES, **relational.QUERIES, **sampling.QUERIES, **evaluation.QUERIES, **reading.QUERIES}
-SQL = {**general.SQL, **relational.SQL, **sampling.SQL, **evaluation.SQL, **reading.SQL}
+QUERIES = {**general.QUERIES, **relational.QUERIES, **sampling.QUERIES, **evaluation.QUERIES, **reading.QUERIES, **answers.QUERIES}
+SQL = {**general.SQL, **relational.SQL, **sampling.SQL, **evaluation.SQL, **reading.SQL, **answers.SQL}

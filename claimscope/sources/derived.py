@@ -60,6 +60,33 @@ def relation_votes(spark: SparkSession, d: str) -> DataFrame:
     return votes(spark, d).selectExpr("assignment_id", "worker_id", "question_id % 11 AS doc_id", "question_id AS subject_lo", "question_id + 40 AS object_lo", "CASE WHEN worker_id % 4 < 3 THEN concat('rel:', question_id % 6) ELSE relation END AS relation", "CASE WHEN weight = 1 THEN 1.0D ELSE 0.75D END AS weight")
 
 
+def answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers with their JSON: each stated relation as the answer of an assignment. By document, these are selective
+    answers of both payload versions, exhaustive relations, or exhaustive entities."""
+    r = relations(spark, d).selectExpr(
+        "concat_ws('-', doc_id, subject_lo, subject_hi, object_lo, object_hi, relation, confidence * 100) AS assignment_id", "CAST(doc_id % 50 % 7 AS INT) AS question_batch_id", "CAST(doc_id % 50 * 10 + subject_lo DIV 100 AS INT) AS question_id", "CAST(doc_id % 50 AS INT) AS doc_id", "CAST(CASE WHEN doc_id % 8 < 3 THEN 0 WHEN doc_id % 8 < 5 THEN 1 WHEN doc_id % 8 < 7 THEN 2 ELSE 3 END AS INT) AS kind",
+        "CAST(subject_lo AS INT) AS subject_lo", "CAST(subject_lo + 12 AS INT) AS subject_hi", "CAST(subject_lo + IF(doc_id % 13 = 0, 45, 30) AS INT) AS object_lo", "CAST(subject_lo + IF(doc_id % 13 = 0, 30, 45) AS INT) AS object_hi",
+        "IF(confidence > 0.925, 'per:employee_or_member_of', relation) AS relation", "'PER' AS subject_type", "CASE doc_id % 50 % 3 WHEN 0 THEN 'TITLE' WHEN 1 THEN 'ORG' ELSE 'GPE' END AS object_type", "IF(confidence > 0.925, concat('E', doc_id % 50), subject_entity) AS subject_entity", "IF(confidence > 0.925, concat('O', doc_id % 50), object_entity) AS object_entity", "(doc_id + subject_lo) % 5 <> 0 AS ok",
+    ).distinct()
+
+    def arg(x: str):
+        e, lo, hi, t = (F.col(f"{x}_{c}") for c in ("entity", "lo", "hi", "type"))
+        # the new payload has words for types, spans, and the page that was chosen; the old one objects and offsets
+        gold = F.when(lo % 3 == 1, e).when(lo % 3 == 2, F.concat(e, F.lit("%27s")))
+        new = F.struct(F.concat(F.lit("\u00a0"), e).alias("gloss"), t.alias("type"), F.array(lo, hi).alias("span"), F.struct(F.concat(e, F.lit(" ")).alias("gloss"), F.array(lo, hi).alias("span"), F.concat(F.lit("wiki:"), e).alias("link"), F.col("ok").alias("canonicalCorrect"), gold.alias("linkGold")).alias("entity"))
+        old = F.struct(e.alias("gloss"), F.struct(t.alias("name")).alias("type"), lo.alias("doc_char_begin"), hi.alias("doc_char_end"), F.struct(e.alias("gloss"), lo.alias("doc_char_begin"), hi.alias("doc_char_end"), e.alias("link"), F.when(F.col("ok"), "Yes").otherwise("No").alias("canonicalCorrect"), F.when(lo % 2 == 0, "Yes").otherwise("No").alias("linkCorrect")).alias("entity"))
+        listed = F.struct(e.alias("gloss"), F.struct(t.alias("name")).alias("type"), lo.alias("doc_char_begin"), hi.alias("doc_char_end"), F.struct(e.alias("gloss"), F.array(lo, hi).alias("span"), F.when(lo % 3 != 0, e).alias("link")).alias("entity"))
+        return new, old, listed
+
+    (s0, s1, s3), (o0, o1, o3) = arg("subject"), arg("object")
+    name = F.when(F.col("relation") == "per:spouse", "per:sibling").when((F.col("relation") == "org:founded_by") & (F.col("question_seven") == 0), "org:unheard_of").otherwise(F.col("relation")).alias("relation")
+    r = r.withColumn("question_seven", F.col("question_batch_id"))
+    pair = lambda s, o, *more: F.to_json(F.array(F.struct(s.alias("subject"), name, o.alias("object"), *more)))
+    response = F.when(F.col("kind") == 0, pair(s0, o0, F.lit(0.2).alias("version"))).when(F.col("kind") < 3, pair(s1, o1)).otherwise(F.to_json(F.array(s3, o3)))
+    kind = F.when(F.col("kind") < 2, "selective_relations").when(F.col("kind") == 2, "exhaustive_relations").otherwise("exhaustive_entities")
+    return r.select("assignment_id", "question_batch_id", "question_id", "doc_id", kind.alias("batch_type"), response.alias("response"))
+
+
 def runs(spark: SparkSession, d: str) -> DataFrame:
     """Slot-filling runs: run, entity, provenance, value and its equivalence class (0: wrong)."""
     li, o = load(spark, d, "lineitem"), load(spark, d, "orders")
@@ -104,6 +131,10 @@ SQL_VIEWS = {
  CASE WHEN value >= 10 THEN 1 ELSE 0 END AS weight, ts AS created FROM events""",
     "k_relvote": """SELECT assignment_id, worker_id, question_id % 11 AS doc_id, question_id AS subject_lo, question_id + 40 AS object_lo,
  CASE WHEN worker_id % 4 < 3 THEN 'rel:' || (question_id % 6) ELSE relation END AS relation, CASE WHEN weight = 1 THEN 1.0 ELSE 0.75 END::DOUBLE AS weight FROM k_vote""",
+    "k_answer": """SELECT DISTINCT concat_ws('-', doc_id, subject_lo, subject_hi, object_lo, object_hi, relation, confidence * 100) AS assignment_id, CAST(doc_id % 50 % 7 AS INT) AS question_batch_id, CAST(doc_id % 50 * 10 + subject_lo // 100 AS INT) AS question_id,
+ CAST(doc_id % 50 AS INT) AS doc_id, CAST(CASE WHEN doc_id % 8 < 3 THEN 0 WHEN doc_id % 8 < 5 THEN 1 WHEN doc_id % 8 < 7 THEN 2 ELSE 3 END AS INT) AS kind, CAST(subject_lo AS INT) AS subject_lo, CAST(subject_lo + 12 AS INT) AS subject_hi, CAST(subject_lo + CASE WHEN doc_id % 13 = 0 THEN 45 ELSE 30 END AS INT) AS object_lo,
+ CAST(subject_lo + CASE WHEN doc_id % 13 = 0 THEN 30 ELSE 45 END AS INT) AS object_hi, CASE WHEN confidence > 0.925 THEN 'per:employee_or_member_of' ELSE relation END AS relation, 'PER' AS subject_type, CASE doc_id % 50 % 3 WHEN 0 THEN 'TITLE' WHEN 1 THEN 'ORG' ELSE 'GPE' END AS object_type, CASE WHEN confidence > 0.925 THEN 'E' || (doc_id % 50) ELSE subject_entity END AS subject_entity, CASE WHEN confidence > 0.925 THEN 'O' || (doc_id % 50) ELSE object_entity END AS object_entity,
+ (doc_id + subject_lo) % 5 <> 0 AS ok FROM k_relation""",
     "k_run": """SELECT o_custkey % 7 AS run_id, l_partkey % 50 AS entity, l_orderkey % 200 AS prov, l_suppkey AS slot_value,
  CASE WHEN (l_partkey + l_suppkey) % 3 = 0 THEN 0 ELSE 1 + (l_suppkey % 4) END AS eq FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "m": """SELECT submission_id, doc_id, lo, hi, c_lo, c_hi, mention_type, gloss, updated FROM (
@@ -116,7 +147,7 @@ SQL_VIEWS = {
  question_batch_id, question_id, mention_type, gloss, weight FROM evaluation_mention_response""",
     "s": "SELECT DISTINCT doc_id, span.lo AS lo, span.hi AS hi, sentence_index FROM sentence",
 }
-_NEEDS = {"k_relvote": ["k_vote"], "k_mention": ["k_relation"], "k_link": ["k_relation", "k_mention"], "k_gold": ["k_relation"]}
+_NEEDS = {"k_answer": ["k_relation"], "k_relvote": ["k_vote"], "k_mention": ["k_relation"], "k_link": ["k_relation", "k_mention"], "k_gold": ["k_relation"]}
 
 
 def sql(body: str, *views: str, more: str = "") -> str:
