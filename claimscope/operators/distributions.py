@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimscope.session import written
+
 INSTANCE = ["submission_id", "doc_id", "subject_lo", "subject_hi", "object_lo", "object_hi"]
 
 
@@ -81,16 +83,29 @@ def draw_with_replacement(df: DataFrame, ids: list[str], p: str, n: int, seed: s
     return at.join(inside, (at["_b"] == inside["_b"]) & (F.col("_x") > F.col("_lo")) & (F.col("_x") <= F.col("_hi"))).select(*ids, "draw")
 
 
+def positions(df: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids..., position, total): distinct ids with their place from 0 in their order. The ids of one distributed sort
+    depend on where partitions begin, so they are written before use; offsets are one row per partition."""
+    ranked = written(df.select(*ids).distinct().orderBy(*ids).withColumn("_id", F.monotonically_increasing_id()), "ranked").withColumn("_p", F.shiftright("_id", 33))
+    parts = ranked.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = parts.selectExpr("_p", "sum(_n) OVER (ORDER BY _p) - _n AS _off", "sum(_n) OVER () AS total")
+    return ranked.join(offsets, "_p").select(*ids, (F.col("_off") + F.col("_id") - F.shiftleft(F.col("_p"), 33)).alias("position"), "total")
+
+
 def draw_uniformly_with_replacement(df: DataFrame, ids: list[str], n: int, seed: str) -> DataFrame:
     """n draws, each floor(u * N) + 1 as the position in the order of ids."""
-    ranked = df.select(*ids).distinct().orderBy(*ids).withColumn("_id", F.monotonically_increasing_id())
-    # positions from per-partition counts: one row per partition
-    parts = ranked.withColumn("_p", F.shiftright("_id", 33)).groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = parts.selectExpr("_p", "sum(_n) OVER (ORDER BY _p) - _n AS _off", "sum(_n) OVER () AS _all")
-    position = ranked.withColumn("_p", F.shiftright("_id", 33)).join(F.broadcast(offsets), "_p").withColumn("position", F.col("_off") + (F.col("_id") - F.shiftleft(F.col("_p"), 33)))
-    total = offsets.select("_all").limit(1)
-    u = df.sparkSession.range(1, n + 1).crossJoin(F.broadcast(total)).select(F.col("id").alias("draw"), F.least(F.floor(uniform(seed, F.col("id")) * F.col("_all")), F.col("_all") - 1).alias("position"))
-    return u.join(position, "position").select(*ids, "draw")
+    placed = positions(df, ids)
+    total = placed.agg(F.max("total").alias("total")).first()["total"] or 0
+    u = df.sparkSession.range(1, n + 1).select(F.col("id").alias("draw"), F.least(F.floor(uniform(seed, F.col("id")) * F.lit(total)), F.lit(total) - 1).alias("position"))
+    return u.join(placed, "position").select(*ids, "draw")
+
+
+def redrawn(placed: DataFrame, by: list[str], epochs: int, seed: str) -> DataFrame:
+    """(by..., epoch, position, k): how often each position comes up when each epoch draws as many as there are, with
+    replacement. placed: by..., position, total; every place makes one draw per epoch from a hash of its own."""
+    each = placed.select(*by, "position", "total").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
+    draw = F.least(F.floor(uniform(seed, *map(F.col, by), F.col("epoch"), F.col("position")) * F.col("total")), F.col("total") - 1)
+    return each.select(*by, "epoch", draw.alias("position")).groupBy(*by, "epoch", "position").agg(F.count(F.lit(1)).alias("k"))
 
 
 def kl_divergence(p: DataFrame, q: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:

@@ -1,16 +1,21 @@
 """Precision and recall estimators over long tables.
 
 P(i, x, p): distribution of system i over instances. P0(x, p0): weight of an instance. X(j, x, f): samples of system
-j with label f, null where unlabelled. Y(i, x, g): exhaustively labelled instances, per system. Sparse joins on x
-replace dense loops: only pairs of systems that share an instance produce rows.
+j with label f, null where unlabelled. Y(i, x, g): exhaustively labelled instances, per system; a pair of a system and
+an instance that Y lacks counts as 0, so that Y needs no row for what a system doesn't state. truth(x): the instances
+that were labelled, by default those of Y. Sparse joins on x replace dense loops: only pairs of systems that share an
+instance produce rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimscope.operators.distributions import uniform
+from claimscope.operators.distributions import positions, redrawn, uniform
+
+#: More systems than this aren't paired all with all; the heuristic weights need no such pairs.
+MAX_SYSTEMS = 10_000
 
 
 def f1(p: Column, r: Column) -> Column:
@@ -28,11 +33,23 @@ def weighted(P: DataFrame, labels: DataFrame, P0: DataFrame, Y: DataFrame) -> Da
     return out.select("i", "precision", r.alias("recall"), f1(F.col("precision"), r).alias("f1"))
 
 
-def simple(X: DataFrame, P0: DataFrame, Y: DataFrame) -> DataFrame:
-    """(i, precision, recall, f1): mean label of the system's own samples; weighted share of Y it states."""
+def simple(X: DataFrame, P0: DataFrame, Y: DataFrame, truth: DataFrame | None = None) -> DataFrame:
+    """(i, precision, recall, f1): mean label of the system's own samples; weighted share of the truth that it states.
+    A pair with a null label counts neither above nor below."""
     pr = X.groupBy(F.col("j").alias("i")).agg(F.coalesce(F.avg("f"), F.lit(0.0)).alias("precision"))
-    rc = Y.filter(F.col("g").isNotNull()).join(P0, "x").groupBy("i").agg(F.coalesce(F.try_divide(F.sum(F.col("p0") * F.col("g")), F.sum("p0")), F.lit(0.0)).alias("recall"))
-    return pr.join(rc, "i").select("i", "precision", "recall", f1(F.col("precision"), F.col("recall")).alias("f1"))
+    every = (Y if truth is None else truth).select("x").distinct().join(P0, "x").agg(F.sum("p0").alias("_all"))
+    hit = Y.join(P0, "x").groupBy("i").agg(F.sum(F.col("p0") * F.col("g")).alias("_hit"), F.sum(F.when(F.col("g").isNull(), F.col("p0"))).alias("_null"))
+    j = pr.join(hit, "i", "left").crossJoin(every)  # one row on the right
+    r = F.coalesce(F.try_divide(F.coalesce("_hit", F.lit(0.0)), F.col("_all") - F.coalesce("_null", F.lit(0.0))), F.lit(0.0))
+    return j.select("i", "precision", r.alias("recall")).select("i", "precision", "recall", f1(F.col("precision"), F.col("recall")).alias("f1"))
+
+
+def systems_of(df: DataFrame, column: str) -> list:
+    """The distinct systems in order; refused beyond MAX_SYSTEMS."""
+    found = [r[0] for r in df.select(column).distinct().orderBy(column).limit(MAX_SYSTEMS + 1).collect()]
+    if len(found) > MAX_SYSTEMS:
+        raise ValueError(f"more than {MAX_SYSTEMS} systems")
+    return found
 
 
 def weights(P: DataFrame, X: DataFrame, method: str = "heuristic") -> DataFrame:
@@ -42,8 +59,9 @@ def weights(P: DataFrame, X: DataFrame, method: str = "heuristic") -> DataFrame:
         a, b = P.select("i", "x", F.col("p").alias("a")), P.select(F.col("i").alias("j"), "x", F.col("p").alias("b"))
         raw = a.join(b, "x").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s")).join(n, "j").select("i", "j", (F.col("s") * F.col("n")).alias("w"))
     elif method in ("uniform", "size"):
-        systems = P.select("i").distinct()
-        pairs = systems.crossJoin(F.broadcast(n))  # systems by systems: the result itself has this size
+        ids = systems_of(P, "i")
+        kind = dict(P.dtypes)["i"]
+        pairs = n.withColumn("i", F.explode(F.array(*map(F.lit, ids)).cast(f"array<{kind}>")))  # the result itself has this size
         raw = pairs.select("i", "j", (F.lit(1.0) if method == "uniform" else F.col("n").cast("double")).alias("w"))
     else:
         raise ValueError(f"unknown weighting {method!r}")
@@ -76,25 +94,96 @@ def pooled_recall(P0: DataFrame, P: DataFrame, X: DataFrame, W: DataFrame, Q: Da
     return per.groupBy("i").agg(F.coalesce(F.try_divide(F.sum(F.col("w") * F.col("nu")), F.sum(F.col("w") * F.col("z"))), F.lit(0.0)).alias("nu"))
 
 
-def merged_labels(Y: DataFrame) -> DataFrame:
-    """(x, g): the greatest label of any system, null as 0."""
-    return Y.groupBy("x").agg(F.max(F.coalesce("g", F.lit(0))).alias("g"))
+def merged_labels(Y: DataFrame, truth: DataFrame | None = None) -> DataFrame:
+    """(x, g): the greatest label of any system, null and missing ones as 0."""
+    g = Y.groupBy("x").agg(F.max(F.coalesce("g", F.lit(0))).alias("g"))
+    return g if truth is None else truth.select("x").distinct().join(g, "x", "left").select("x", F.coalesce("g", F.lit(0)).alias("g"))
 
 
-def pool_recall(P0: DataFrame, Y: DataFrame) -> DataFrame:
-    """One row: theta, the weighted part of Y that any system found."""
-    return merged_labels(Y).join(P0, "x").agg(F.coalesce(F.try_divide(F.sum(F.col("p0") * F.col("g")), F.sum("p0")), F.lit(0.0)).alias("theta"))
+def pool_recall(P0: DataFrame, Y: DataFrame, truth: DataFrame | None = None) -> DataFrame:
+    """One row: theta, the weighted part of the truth that any system found."""
+    return merged_labels(Y, truth).join(P0, "x").agg(F.coalesce(F.try_divide(F.sum(F.col("p0") * F.col("g")), F.sum("p0")), F.lit(0.0)).alias("theta"))
 
 
-def joint(P: DataFrame, P0: DataFrame, X: DataFrame, Y: DataFrame, method: str = "heuristic") -> DataFrame:
+def joint(P: DataFrame, P0: DataFrame, X: DataFrame, Y: DataFrame, method: str = "heuristic", truth: DataFrame | None = None) -> DataFrame:
     """(i, precision, recall, f1) by importance sampling over all systems' samples."""
     W = weights(P, X, method)
     Q = proposal(W, P)
-    out = joint_precision(P, X, W, Q).join(pooled_recall(P0, P, X, W, Q), "i").crossJoin(F.broadcast(pool_recall(P0, Y)))
+    out = joint_precision(P, X, W, Q).join(pooled_recall(P0, P, X, W, Q), "i").crossJoin(pool_recall(P0, Y, truth))  # one row on the right
     r = F.col("theta") * F.col("nu")
     return out.select("i", "precision", r.alias("recall"), f1(F.col("precision"), r).alias("f1"))
 
 
+def updated_weights(W: DataFrame, P: DataFrame, X: DataFrame, new) -> DataFrame:
+    """The heuristic weights (i, j, w, z) after system `new` came: old rows are brought back to their sums, only pairs
+    with the new system are computed. Equal to `weights` over all systems."""
+    n = X.groupBy("j").agg(F.count("f").alias("n"))
+    mine = P.filter(F.col("i") == F.lit(new)).select("x", F.col("p").alias("b"))
+    s = P.join(mine, "x").groupBy("i").agg(F.sum(F.col("p") * F.col("b")).alias("s"))
+    row = s.join(n.select(F.col("j").alias("i"), "n"), "i").select(F.lit(new).alias("i"), F.col("i").alias("j"), (F.col("s") * F.col("n")).alias("w"))
+    column = s.filter(F.col("i") != F.lit(new)).crossJoin(n.filter(F.col("j") == F.lit(new)).select("n")).select("i", F.lit(new).alias("j"), (F.col("s") * F.col("n")).alias("w"))  # one row on the right
+    raw = W.select("i", "j", (F.col("w") * F.col("z")).alias("w")).unionByName(row).unionByName(column).filter("w > 0")
+    z = raw.groupBy("i").agg(F.sum("w").alias("z"))
+    return raw.join(z, "i").select("i", "j", (F.col("w") / F.col("z")).alias("w"), "z")
+
+
+def updated_proposal(Q: DataFrame, W_old: DataFrame, W: DataFrame, P: DataFrame, new) -> DataFrame:
+    """(i, x, q) after system `new` came: old proposals scaled by the ratio of their sums of weights, the new system's
+    part added everywhere, and its own proposal from all systems. Equal to `proposal` over all systems."""
+    scale = W_old.select("i", F.col("z").alias("_old")).distinct().join(W.select("i", "z").distinct(), "i").select("i", (F.col("_old") / F.col("z")).alias("_k"))
+    old = Q.join(scale, "i").select("i", "x", (F.col("q") * F.col("_k")).alias("q"))
+    fresh = W.filter((F.col("i") == F.lit(new)) | (F.col("j") == F.lit(new)))
+    added = fresh.select("i", "j", "w").join(P.select(F.col("i").alias("j"), "x", "p"), "j").select("i", "x", (F.col("w") * F.col("p")).alias("q"))
+    return old.unionByName(added).groupBy("i", "x").agg(F.sum("q").alias("q"))
+
+
+def _placed(X: DataFrame) -> DataFrame:
+    """X with the position of each sample among those of its system (a system has few samples) and their number."""
+    own = Window.partitionBy("j")
+    return X.withColumn("position", F.row_number().over(own.orderBy("x")) - 1).withColumn("total", F.count(F.lit(1)).over(own))
+
+
+def _intervals(base: DataFrame, draws: DataFrame, interval: float) -> DataFrame:
+    """(i, precision, recall, f1, and of each the low and high percentile over the epochs)."""
+    side = (100.0 - interval) / 100
+    cuts = [F.percentile(c, F.lit(at)).alias(f"{c}_{name}") for c in ("precision", "recall", "f1") for name, at in (("low", side), ("high", 1 - side))]
+    return base.join(draws.withColumn("f1", f1(F.col("precision"), F.col("recall"))).groupBy("i").agg(*cuts), "i")
+
+
+def simple_intervals(X: DataFrame, P0: DataFrame, Y: DataFrame, truth: DataFrame, epochs: int, seed: str, interval: float = 90.0) -> DataFrame:
+    """`simple` with intervals of a bootstrap: each epoch draws every system's samples anew, and the labelled instances
+    once for all systems. interval 90 gives the 10th and 90th percentiles."""
+    placed = _placed(X)
+    drawn = placed.join(redrawn(placed, ["j"], epochs, seed), ["j", "position"])
+    pr = drawn.filter(F.col("f").isNotNull()).groupBy(F.col("j").alias("i"), "epoch").agg(F.try_divide(F.sum(F.col("k") * F.col("f")), F.sum("k")).alias("precision"))
+    at = positions(truth, ["x"]).join(P0, "x")
+    again = redrawn(at, [], epochs, f"{seed}Y").join(at.select("x", "position", "p0"), "position")
+    every = again.groupBy("epoch").agg(F.sum(F.col("k") * F.col("p0")).alias("_all"))
+    hit = again.join(Y.filter("g > 0").select("i", "x", "g"), "x").groupBy("i", "epoch").agg(F.sum(F.col("k") * F.col("p0") * F.col("g")).alias("_hit"))
+    draws = pr.join(every, "epoch").join(hit, ["i", "epoch"], "left").select("i", "epoch", "precision", F.try_divide(F.coalesce("_hit", F.lit(0.0)), F.col("_all")).alias("recall"))
+    return _intervals(simple(X, P0, Y, truth), draws, interval)
+
+
+def joint_intervals(P: DataFrame, P0: DataFrame, X: DataFrame, Y: DataFrame, truth: DataFrame, epochs: int, seed: str, interval: float = 90.0) -> DataFrame:
+    """`joint` with intervals of a bootstrap as in `simple_intervals`; weights and proposals stay those of the data."""
+    W = weights(P, X)
+    Q = proposal(W, P)
+    placed = _placed(X)
+    s = _sampled(P, placed, W, Q).join(P0, "x")
+    true = F.when(F.col("f") > 0, 1.0).otherwise(0.0) * F.col("p0") / F.col("q")
+    terms = s.select("i", "j", "position", "w", (F.col("p") / F.col("q") * F.col("f")).alias("a"), (true * F.when(F.col("p") > 0, 1.0).otherwise(0.0)).alias("b"), true.alias("c"))
+    drawn = terms.join(redrawn(placed, ["j"], epochs, seed), ["j", "position"])
+    mean = lambda c: F.sum(F.col("k") * F.col(c)) / F.sum("k")
+    per = drawn.groupBy("i", "j", "epoch").agg(mean("a").alias("a"), mean("b").alias("b"), mean("c").alias("c"), F.max("w").alias("w"))
+    pr = per.groupBy("i", "epoch").agg(F.sum(F.col("w") * F.col("a")).alias("precision"), F.coalesce(F.try_divide(F.sum(F.col("w") * F.col("b")), F.sum(F.col("w") * F.col("c"))), F.lit(0.0)).alias("nu"))
+    at = positions(truth, ["x"]).join(P0, "x").join(merged_labels(Y, truth), "x")
+    theta = redrawn(at, [], epochs, f"{seed}Y").join(at.select("position", "p0", "g"), "position").groupBy("epoch").agg(F.try_divide(F.sum(F.col("k") * F.col("p0") * F.col("g")), F.sum(F.col("k") * F.col("p0"))).alias("theta"))
+    draws = pr.join(theta, "epoch").select("i", "epoch", "precision", (F.col("theta") * F.col("nu")).alias("recall"))
+    base = joint_precision(P, X, W, Q).join(pooled_recall(P0, P, X, W, Q), "i").crossJoin(pool_recall(P0, Y, truth))  # one row on the right
+    r = F.col("theta") * F.col("nu")
+    return _intervals(base.select("i", "precision", r.alias("recall"), f1(F.col("precision"), r).alias("f1")), draws, interval)
+
+
 def variance(P: DataFrame, X: DataFrame, W: DataFrame, Q: DataFrame) -> DataFrame:
     """(i, variance) of the joint precision: sum_j w^2 / n_j * mean[(pf/q)^2 - pi_ij pf/q]; n_j counts all samples."""
     n = X.groupBy("j").agg(F.count(F.lit(1)).alias("n"))
@@ -118,8 +207,8 @@ def bootstrap_precision(X: DataFrame, epochs: int, seed: str, interval: float =
     return labelled.groupBy("j").agg(F.avg("f").alias("precision")).join(ci, "j")
 
 
-def variance_by_size(P: DataFrame, X: DataFrame, most: int) -> DataFrame:
-    """(i, n, variance) for n of 1..most: bound of the variance of i's joint precision if i were the newest system, with
+def variance_by_size(P: DataFrame, X: DataFrame, most: int = 0, at: DataFrame | None = None) -> DataFrame:
+    """(i, n, variance) for n of 1..most, or for those of at (i, n): bound of the variance of i's joint precision if i were the newest system, with
     n samples of its own yet to draw beside those that the others have. Weights and proposal are those of each n:
     sum_{j != i} w_j^2 / n_j (mean[(pf/q)^2] - mean[pf/q]^2) + w_i^2 / n sum_x p^3 / q^2, the last term for labels not
     known yet. Labels count in the weights, all samples in n_j, as in `weights` and `variance`."""
@@ -133,7 +222,7 @@ def variance_by_size(P: DataFrame, X: DataFrame, most: int) -> DataFrame:
     base = P.filter("p > 0").join(mixed, ["i", "x"], "left").withColumn("mix", F.coalesce("mix", F.lit(0.0))).join(systems, "i")
     total = F.col("z") + F.col("n") * F.col("own")
     q = (F.col("mix") + F.col("n") * F.col("own") * F.col("p")) / total
-    sizes = lambda df: df.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(most))))
+    sizes = lambda df: df.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(most)))) if at is None else df.join(at.select("i", "n"), "i")
     own = sizes(base).groupBy("i", "n").agg(F.sum(F.col("p") * (F.col("p") / q) * (F.col("p") / q)).alias("e"), F.max(F.col("own") / total).alias("w"))
     own = own.select("i", "n", (F.col("w") * F.col("w") * F.col("n") * F.col("e")).alias("mine"))  # w_i = n own / total
     t = F.col("p") * F.col("f") / q
@@ -144,27 +233,23 @@ def variance_by_size(P: DataFrame, X: DataFrame, most: int) -> DataFrame:
     return own.join(rest, ["i", "n"], "left").select("i", "n", (F.col("mine") + F.coalesce("rest", F.lit(0.0))).alias("variance"))
 
 
-def bisected(variance: dict[int, float], target: int, eps: float = 5e-4) -> int:
-    """The samples out of 1..target that bring a variance within eps of 1 / target, what `target` samples of a system
-    reach by themselves; `target` if fewer don't. The search ends at 2, as 1 is its lower bound."""
-    low, high = 1, target
-    if variance[target] >= 1 / target:
-        return target
-    while high - low > 1:
-        mid = (low + high) // 2
-        if abs(variance[mid] - 1 / target) <= eps:
-            return mid
-        low, high = (low, mid) if variance[mid] < 1 / target else (mid, high)
-    return high
-
-
-def sample_size(var_at_one: float, target_variance: float, most: int = 500, eps: float = 5e-4) -> int:
-    """Samples needed so that var_at_one / n falls to the target, by the bisection on 1..most; `most` if it can't."""
-    low, high = 1, max(most, 1)
-    while high - low > 1:
-        mid = (low + high) // 2
-        got = var_at_one / mid
-        if abs(got - target_variance) < eps * target_variance:
-            return mid
-        low, high = (low, mid) if got < target_variance else (mid, high)
-    return high
+def conservative_variance(P: DataFrame, X: DataFrame) -> DataFrame:
+    """(i, n, variance): the bound of `variance_by_size` at the number of samples that each system has."""
+    return variance_by_size(P, X, at=X.groupBy(F.col("j").alias("i")).agg(F.count(F.lit(1)).cast("int").alias("n")))
+
+
+def sample_sizes(by_size: DataFrame, target: int, eps: float = 5e-4) -> DataFrame:
+    """(i, n): the samples out of 1..target that bring a system's variance within eps of 1 / target, what `target`
+    samples of a system reach by themselves; `target` if fewer don't. by_size: (i, n, variance) for n of 1..target, of
+    which a bisection looks at few; it ends at 2, as 1 is its lower bound."""
+    v = by_size.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "variance"))), lambda x: x.variance).alias("v"))
+    steps = F.sequence(F.lit(1), F.lit(max(target.bit_length(), 1)))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        got = F.get("v", mid - 1) - 1 / target
+        narrowed = F.when(F.abs(got) <= eps, F.struct(mid.alias("low"), mid.alias("high"))).when(got < 0, F.struct(s["low"].alias("low"), mid.alias("high"))).otherwise(F.struct(mid.alias("low"), s["high"].alias("high")))
+        return F.when(s["high"] - s["low"] > 1, narrowed).otherwise(s)
+
+    found = F.aggregate(steps, F.struct(F.lit(1).alias("low"), F.lit(target).alias("high")), halve, lambda s: s["high"])
+    return v.select("i", F.when(F.get("v", F.lit(target - 1)) >= 1 / target, F.lit(target)).otherwise(found).cast("int").alias("n"))

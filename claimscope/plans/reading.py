@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimscope.operators import annotation as ann
 from claimscope.operators import slotfilling as sf
 from claimscope.operators import states
+from claimscope.operators.estimators import systems_of
 from claimscope.plans.evaluation import _EXPECTED
 from claimscope.sources import derived as k
 from claimscope.sources.derived import sql
@@ -40,9 +41,9 @@ def sampled_instances(s: SparkSession, d: str) -> DataFrame:
 def exhaustive_labels(s: SparkSession, d: str) -> DataFrame:
     """Gold beside every submission, with whether it states it rightly; the result has a row for each of both."""
     r = k.relations(s, d)
-    systems = r.select("submission_id").distinct()  # one row per system
+    systems = F.array(*map(F.lit, systems_of(r, "submission_id")))  # their number is checked
     stated = r.select("submission_id", "doc_id", "subject_lo", "object_lo").distinct().withColumn("x", F.lit(True))
-    g = k.gold(s, d).crossJoin(F.broadcast(systems))
+    g = k.gold(s, d).withColumn("submission_id", F.explode(systems))
     j = g.join(stated, ["submission_id", "doc_id", "subject_lo", "object_lo"], "left")
     return j.select("doc_id", "subject_lo", "object_lo", "submission_id", F.coalesce(F.col("correct") & F.col("x").isNotNull(), F.lit(False)).alias("label"))
 

@@ -178,13 +178,14 @@ def _tables(s: SparkSession, d: str):
     P0 = b.groupBy("x").agg((1.0 + F.max("e") % 3).alias("p0"))
     X = dist.draw_without_replacement(b, ["i"], ["i", "x"], "n", 400, "x").select(F.col("i").alias("j"), "x", "f")
     L = b.select("x", "f").distinct()
-    systems = b.select("i").distinct()
-    truth = L.filter("f = 1").select("x")
-    have = b.select("i", "x").distinct().withColumn("g", F.lit(1))
-    Y = truth.crossJoin(F.broadcast(systems)).join(have, ["i", "x"], "left").withColumn("g", F.coalesce("g", F.lit(0)))  # one row per system and instance is the table itself
+    Y = b.filter("f = 1").select("i", "x").distinct().withColumn("g", F.lit(1))  # what no system states has no row
     return P, P0, X, Y, L
 
 
+def _truth(L: DataFrame) -> DataFrame:
+    return L.filter("f = 1").select("x")
+
+
 def _rounded(df: DataFrame, n: int = 8) -> DataFrame:
     return df.select(*[F.round(c, n).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
@@ -202,8 +203,8 @@ _PRF = "SELECT i, round(p, 8) AS precision, round(r, 8) AS recall, round(CASE WH
 
 @query(_PRF + "sp JOIN sr USING (i)", "k_relation", more=_EST + ",\n" + _SIMPLE)
 def simple_pr(s: SparkSession, d: str) -> DataFrame:
-    P, P0, X, Y, _ = _tables(s, d)
-    return _rounded(est.simple(X, P0, Y))
+    P, P0, X, Y, L = _tables(s, d)
+    return _rounded(est.simple(X, P0, Y, _truth(L)))
 
 
 @query("SELECT i, j, round(w, 8) AS w, round(z, 8) AS z FROM ww", "k_relation", more=_EST + _W)
@@ -218,6 +219,12 @@ def weights_size(s: SparkSession, d: str) -> DataFrame:
     return _rounded(est.weights(P, X, "size")).drop("z")
 
 
+@query("SELECT i, j, round(1.0::DOUBLE / count(*) OVER (PARTITION BY i), 8) AS w FROM (SELECT DISTINCT i FROM pp), nj", "k_relation", more=_EST + _W)
+def weights_uniform(s: SparkSession, d: str) -> DataFrame:
+    P, _, X, _, _ = _tables(s, d)
+    return _rounded(est.weights(P, X, "uniform")).drop("z")
+
+
 @query("SELECT i, x, round(q, 10) AS q FROM qq", "k_relation", more=_EST + _W)
 def proposal(s: SparkSession, d: str) -> DataFrame:
     P, _, X, _, _ = _tables(s, d)
@@ -245,14 +252,14 @@ def pooled_recall(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT round(theta, 8) AS theta FROM th", "k_relation", more=_EST + ",\n" + _TH)
 def pool_recall(s: SparkSession, d: str) -> DataFrame:
-    _, P0, _, Y, _ = _tables(s, d)
-    return _rounded(est.pool_recall(P0, Y))
+    _, P0, _, Y, L = _tables(s, d)
+    return _rounded(est.pool_recall(P0, Y, _truth(L)))
 
 
 @query(_PRF + "(SELECT jp.i, p, theta * nu AS r FROM jp JOIN nu USING (i), th)", "k_relation", more=_EST + _W + ",\n" + ",\n".join((_JP, _NU, _TH)))
 def joint_score(s: SparkSession, d: str) -> DataFrame:
-    P, P0, X, Y, _ = _tables(s, d)
-    return _rounded(est.joint(P, P0, X, Y))
+    P, P0, X, Y, L = _tables(s, d)
+    return _rounded(est.joint(P, P0, X, Y, truth=_truth(L)))
 
 
 @query("SELECT i, round(sum(w * w / c * (s2 - m * m)), 10) AS variance FROM (SELECT i, j, max(w) AS w, avg((p * f / q) * (p * f / q)) AS s2, avg(p * f / q) AS m FROM sm GROUP BY i, j) JOIN (SELECT j, count(*) AS c FROM xh GROUP BY j) USING (j) GROUP BY i", "k_relation", more=_EST + _W)
@@ -273,8 +280,8 @@ def bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT i, x, CAST(max(g) AS INT) AS g FROM (SELECT 0 AS i, x, g FROM yy) GROUP BY ALL", "k_relation", more=_EST)
 def merged_gold(s: SparkSession, d: str) -> DataFrame:
-    _, _, _, Y, _ = _tables(s, d)
-    return est.merged_labels(Y).select(F.lit(0).alias("i"), "x", "g")
+    _, _, _, Y, L = _tables(s, d)
+    return est.merged_labels(Y, _truth(L)).select(F.lit(0).alias("i"), "x", "g")
 
 
 @query("""SELECT submission_id, round(avg(r), 8) AS macro_recall FROM (SELECT b.submission_id, k, count(*) FILTER (WHERE g.relation = b.relation) / count(*)::DOUBLE AS r FROM (SELECT submission_id, doc_id, subject_lo, object_lo, relation, subject_entity AS k FROM k_relation) b
@@ -285,12 +292,94 @@ def macro_by_entity(s: SparkSession, d: str) -> DataFrame:
     return per.groupBy("submission_id").agg(F.round(F.avg("r"), 8).alias("macro_recall"))
 
 
-@query()
+_SIZES = """,
+cn AS (SELECT j, count(f) AS labels, count(*) AS n_j FROM xh GROUP BY j),
+s2 AS (SELECT a.i, c.i AS j, sum(a.p * c.p) AS s FROM pp a JOIN pp c USING (x) GROUP BY a.i, c.i),
+rw AS (SELECT s2.i, s2.j, s * labels AS r, labels, n_j FROM s2 JOIN cn USING (j) WHERE s2.i <> s2.j AND labels > 0),
+sy AS (SELECT i, s AS own, coalesce((SELECT sum(r) FROM rw WHERE rw.i = s2.i), 0) AS z FROM s2 WHERE i = j),
+mx AS (SELECT rw.i, pp.x, sum(r * p) AS mix FROM rw JOIN pp ON pp.i = rw.j GROUP BY rw.i, pp.x),
+bs AS (SELECT pp.i, pp.x, pp.p, coalesce(mix, 0) AS mix, own, z FROM pp LEFT JOIN mx ON mx.i = pp.i AND mx.x = pp.x JOIN sy ON sy.i = pp.i WHERE pp.p > 0),
+ow AS (SELECT bs.i, n, pow(max(n * own / (z + n * own)), 2) / n * sum(p * pow(p / ((mix + n * own * p) / (z + n * own)), 2)) AS mine FROM bs JOIN sz ON sz.i = bs.i GROUP BY bs.i, n),
+tj AS (SELECT bs.i, rw.j, n, labels, n_j, r / (z + n * own) AS w, bs.p * f / ((mix + n * own * bs.p) / (z + n * own)) AS t FROM xh JOIN rw ON rw.j = xh.j JOIN bs ON bs.i = rw.i AND bs.x = xh.x JOIN sz ON sz.i = bs.i WHERE f <> 0),
+rs AS (SELECT i, n, sum(w * w / n_j * (q2 / labels - (q1 / labels) * (q1 / labels))) AS rest FROM (SELECT i, j, n, max(w) AS w, max(labels) AS labels, max(n_j) AS n_j, sum(t * t) AS q2, sum(t) AS q1 FROM tj GROUP BY i, j, n) GROUP BY i, n),
+vs AS (SELECT ow.i, ow.n, mine + coalesce(rest, 0) AS variance FROM ow LEFT JOIN rs ON rs.i = ow.i AND rs.n = ow.n)"""
+
+
+@query("SELECT i, CAST(n AS INT) AS n, round(variance, 10) AS variance FROM vs", "k_relation", more=_EST + ",\nsz AS (SELECT j AS i, count(*) AS n FROM xh GROUP BY j)" + _SIZES)
+def conservative_variance(s: SparkSession, d: str) -> DataFrame:
+    P, _, X, _, _ = _tables(s, d)
+    return _rounded(est.conservative_variance(P, X), 10)
+
+
+@query("""SELECT i, CAST(n AS INT) AS n FROM (SELECT i, CASE WHEN (SELECT variance FROM vs WHERE vs.i = st.i AND vs.n = 500) >= 1 / 500.0 THEN 500 ELSE hi END AS n FROM st WHERE step = 9)""", "k_relation", more=_EST + ",\nsz AS (SELECT i, n FROM (SELECT DISTINCT i FROM pp), range(1, 501) t(n))" + _SIZES + """,
+st(i, lo, hi, step) AS (SELECT DISTINCT i, 1, 500, 0 FROM pp UNION ALL SELECT st.i, CASE WHEN hi - lo <= 1 THEN lo WHEN abs(v) <= 5e-4 OR v > 0 THEN mid ELSE lo END, CASE WHEN hi - lo <= 1 THEN hi WHEN abs(v) <= 5e-4 OR v < 0 THEN mid ELSE hi END, step + 1
+ FROM (SELECT st.*, (lo + hi) // 2 AS mid, (SELECT variance FROM vs WHERE vs.i = st.i AND vs.n = (lo + hi) // 2) - 1 / 500.0 AS v FROM st) st WHERE step < 9)""")
 def sample_sizes(s: SparkSession, d: str) -> DataFrame:
-    """Samples each system needs as the newest one, so that its joint precision is as sure as from 500 samples of its
-    own; the variance of each system and number of samples reaches the driver, 500 numbers per system."""
+    """Samples each system needs as the newest one, so that its joint precision is as sure as from 500 samples of its own."""
     P, _, X, _, _ = _tables(s, d)
-    by: dict[int, dict[int, float]] = {}
-    for r in est.variance_by_size(P, X, 500).collect():
-        by.setdefault(r["i"], {})[r["n"]] = r["variance"]
-    return s.createDataFrame([(i, est.bisected(v, 500)) for i, v in sorted(by.items())], "i long, n int")
+    return est.sample_sizes(est.variance_by_size(P, X, 500), 500)
+
+
+@query("SELECT i, j, round(w, 8) AS w, round(z, 8) AS z FROM ww", "k_relation", more=_EST + _W)
+def weights_incremental(s: SparkSession, d: str) -> DataFrame:
+    """The heuristic weights after the newest system (4) came to the others."""
+    P, _, X, _, _ = _tables(s, d)
+    old = est.weights(P.filter("i < 4"), X.filter("j < 4"))
+    return _rounded(est.updated_weights(old, P, X, 4))
+
+
+@query("SELECT i, x, round(q, 10) AS q FROM qq", "k_relation", more=_EST + _W)
+def proposal_incremental(s: SparkSession, d: str) -> DataFrame:
+    P, _, X, _, _ = _tables(s, d)
+    old = est.weights(P.filter("i < 4"), X.filter("j < 4"))
+    new = est.updated_weights(old, P, X, 4)
+    return _rounded(est.updated_proposal(est.proposal(old, P.filter("i < 4")), old, new, P, 4), 10)
+
+
+_EPOCHS = 50
+_CI = ", ".join(f"round(quantile_cont({c}, {q}), 7) AS {n}_{e}" for c, n in (("p", "precision"), ("r", "recall"), ("CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END", "f1")) for e, q in (("low", 0.1), ("high", 0.9)))
+
+
+def _redraw(seed: str) -> str:
+    """Draws of samples (md) and of labelled instances (kd) by the hashes that the operators use."""
+    return f""",
+px AS (SELECT *, row_number() OVER (PARTITION BY j ORDER BY x) - 1 AS pos, count(*) OVER (PARTITION BY j) AS tot FROM xh),
+md AS (SELECT j, epoch, pos, count(*) AS k FROM (SELECT j, epoch, CAST(least(floor({_U.format(key=f"'{seed}|' || j || '|' || epoch || '|' || pos")} * tot), tot - 1) AS BIGINT) AS pos FROM px, range(1, {_EPOCHS + 1}) t(epoch)) GROUP BY ALL),
+ty AS (SELECT x, g, p0, row_number() OVER (ORDER BY x) - 1 AS pos, count(*) OVER () AS tot FROM (SELECT x, max(g) AS g FROM yy GROUP BY x) JOIN p0 USING (x)),
+kd AS (SELECT epoch, pos, count(*) AS k FROM (SELECT epoch, CAST(least(floor({_U.format(key=f"'{seed}Y|' || epoch || '|' || pos")} * tot), tot - 1) AS BIGINT) AS pos FROM ty, range(1, {_EPOCHS + 1}) t(epoch)) GROUP BY ALL)"""
+
+
+_BASE = "SELECT b.i, round(b.p, 7) AS precision, round(b.r, 7) AS recall, round(CASE WHEN b.p + b.r > 0 THEN 2 * b.p * b.r / (b.p + b.r) ELSE 0 END, 7) AS f1, c.* EXCLUDE (i) FROM "
+
+
+@query(_BASE + f"(SELECT i, p, r FROM sp JOIN sr USING (i)) b JOIN (SELECT i, {_CI} FROM dr GROUP BY i) c ON b.i = c.i", "k_relation", more=_EST + ",\n" + _SIMPLE + _redraw("si") + """,
+dr AS (SELECT a.i, a.p, coalesce(h.s, 0) / e.s AS r FROM (SELECT j AS i, epoch, sum(k * f)::DOUBLE / sum(k)::DOUBLE AS p FROM px JOIN md USING (j, pos) WHERE f IS NOT NULL GROUP BY j, epoch) a
+ JOIN (SELECT epoch, sum(k * p0) AS s FROM kd JOIN ty USING (pos) GROUP BY epoch) e USING (epoch) LEFT JOIN (SELECT yy.i, epoch, sum(k * p0 * yy.g) AS s FROM kd JOIN ty USING (pos) JOIN yy ON yy.x = ty.x WHERE yy.g > 0 GROUP BY yy.i, epoch) h ON h.i = a.i AND h.epoch = a.epoch)""")
+def simple_intervals(s: SparkSession, d: str) -> DataFrame:
+    """Simple scores with bootstrap intervals; all systems share each epoch's draw of the labelled instances."""
+    _, P0, X, Y, L = _tables(s, d)
+    return _rounded(est.simple_intervals(X, P0, Y, _truth(L), _EPOCHS, "si"), 7)
+
+
+_JOINT_DRAWS = """,
+sj AS (SELECT sm.i, sm.j, px.pos, sm.w, sm.p / sm.q * sm.f AS a, CASE WHEN sm.f > 0 AND sm.p > 0 THEN p0 / sm.q ELSE 0 END AS b, CASE WHEN sm.f > 0 THEN p0 / sm.q ELSE 0 END AS c FROM sm JOIN px ON px.j = sm.j AND px.x = sm.x JOIN p0 ON p0.x = sm.x),
+pe AS (SELECT i, j, epoch, max(w) AS w, sum(k * a) / sum(k) AS a, sum(k * b) / sum(k) AS b, sum(k * c) / sum(k) AS c FROM sj JOIN md USING (j, pos) GROUP BY i, j, epoch),
+te AS (SELECT epoch, sum(k * p0 * g) / sum(k * p0) AS theta FROM kd JOIN ty USING (pos) GROUP BY epoch),
+dr AS (SELECT i, sum(w * a) AS p, theta * coalesce(sum(w * b) / nullif(sum(w * c), 0), 0) AS r FROM pe JOIN te USING (epoch) GROUP BY i, epoch, theta)"""
+_JOINT_BODY = _BASE + f"(SELECT jp.i, p, theta * nu AS r FROM jp JOIN nu USING (i), th) b JOIN (SELECT i, {_CI} FROM dr GROUP BY i) c ON b.i = c.i"
+
+
+@query(_JOINT_BODY, "k_relation", more=_EST + _W + ",\n" + ",\n".join((_JP, _NU, _TH)) + _redraw("jo") + _JOINT_DRAWS)
+def joint_intervals(s: SparkSession, d: str) -> DataFrame:
+    """Joint scores with bootstrap intervals, weights and proposals held fixed."""
+    P, P0, X, Y, L = _tables(s, d)
+    return _rounded(est.joint_intervals(P, P0, X, Y, _truth(L), _EPOCHS, "jo"), 7)
+
+
+@query("SELECT i AS submission_id, 'entity_relation' AS score_type, * EXCLUDE (i) FROM (" + _JOINT_BODY + ")", "k_relation", more=_EST.replace("1.0::DOUBLE + max(e) % 3 AS p0", "1.0::DOUBLE AS p0") + _W + ",\n" + ",\n".join((_JP, _NU, _TH)) + _redraw("pu") + _JOINT_DRAWS)
+def published_scores(s: SparkSession, d: str) -> DataFrame:
+    """Rows to append to the scores of submissions: joint scores with intervals, every instance of weight 1."""
+    P, P0, X, Y, L = _tables(s, d)
+    one = P0.select("x", F.lit(1.0).alias("p0"))
+    out = est.joint_intervals(P, one, X, Y, _truth(L), _EPOCHS, "pu")
+    return _rounded(out.select(F.col("i").alias("submission_id"), F.lit("entity_relation").alias("score_type"), *[c for c in out.columns if c != "i"]), 7)

@@ -72,11 +72,41 @@ def test_estimates_recover_generated_precision_and_recall(spark):
     assert all(0 < x < 0.01 for x in v.values())
 
 
-def test_sample_size_bisection():
-    assert estimators.sample_size(1.0, 1.0, 1) == 1
-    n = estimators.sample_size(1.0, 0.01, 500)
-    assert abs(1.0 / n - 0.01) < 2e-4
-    assert estimators.sample_size(1.0, 1e-9, 500) == 500
+def test_sample_size_bisection(spark):
+    curve = lambda f, target: spark.createDataFrame([(1, n, float(f(n))) for n in range(1, target + 1)], "i int, n int, variance double")
+    size = lambda f, target, eps=5e-4: estimators.sample_sizes(curve(f, target), target, eps).first()["n"]
+    assert size(lambda n: 1 / n, 40) == 40
+    assert size(lambda n: 0.2 / n, 40, 1e-12) == 8
+    assert size(lambda n: 0.0, 40, 1e-12) == 2
+    assert size(lambda n: 0.2 / n, 40) in range(7, 10)
+
+
+def test_incremental_weights_equal_a_full_computation(spark):
+    P = systems(spark, {"a": 0.5, "b": 0.5}, {"a": 0.2, "c": 0.8}, {"b": 0.1, "c": 0.4, "d": 0.5})
+    X = samples(spark, 10, 50, 100)
+    old = estimators.weights(P.filter("i < 2"), X.filter("j < 2"))
+    new, full = estimators.updated_weights(old, P, X, 2), estimators.weights(P, X)
+    assert {k: pytest.approx(v) for k, v in matrix(full).items()} == matrix(new)
+    q = {(r.i, r.x): r.q for r in estimators.updated_proposal(estimators.proposal(old, P.filter("i < 2")), old, new, P, 2).collect()}
+    assert q == {(r.i, r.x): pytest.approx(r.q) for r in estimators.proposal(full, P).collect()}
+
+
+def test_bootstrap_intervals_hold_the_score(spark):
+    rng = random.Random(11)
+    P, X, Y = [], [], []
+    for i, right in enumerate((0.8, 0.4)):
+        mine = [f"t{n}" for n in range(int(100 * right))] + [f"f{i}{n}" for n in range(100 - int(100 * right))]
+        P += [(i, x, 0.01) for x in mine]
+        X += [(i, x, float(x[0] == "t")) for x in rng.sample(mine, 60)]
+        Y += [(i, x, 1) for x in mine if x[0] == "t"]
+    P, X, Y = spark.createDataFrame(P, "i int, x string, p double"), spark.createDataFrame(X, "j int, x string, f double"), spark.createDataFrame(Y, "i int, x string, g int")
+    truth = spark.createDataFrame([(f"t{n}",) for n in range(120)], "x string")
+    P0 = P.select("x").union(truth).distinct().withColumn("p0", F.lit(1.0))
+    for rows in (estimators.simple_intervals(X, P0, Y, truth, 40, "s").collect(), estimators.joint_intervals(P, P0, X, Y, truth, 40, "s").collect()):
+        assert len(rows) == 2
+        for r in rows:
+            assert r.precision_low <= r.precision <= r.precision_high and r.recall_low <= r.recall <= r.recall_high and r.f1_low <= r.f1_high
+            assert 0.01 < r.precision_high - r.precision_low < 0.4
 
 
 # draws

@@ -149,7 +149,7 @@ def test_sample_sizes_follow_the_joint_variance(spark):
     got = {(r.i, r.n): r.variance for r in est.variance_by_size(p, x, 40).collect()}
     assert set(got) == {(i, n) for i in P for n in range(1, 41)}
     assert all(abs(v - variance_of_newest(P, X, i, n)) < 1e-12 for (i, n), v in got.items())
-    sizes = {i: est.bisected({n: got[i, n] for n in range(1, 41)}, 40) for i in P}
+    sizes = {r.i: r.n for r in est.sample_sizes(est.variance_by_size(p, x, 40), 40).collect()}
     assert sizes[4] == 40 and sizes[1] < 40 and sizes[1] != sizes[3]
 
 
