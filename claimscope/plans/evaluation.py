@@ -69,8 +69,9 @@ def score_matrix(s: SparkSession, d: str) -> DataFrame:
     return sf.score_matrix(_scores(s, d)).withColumn("f1", F.round("f1", 8))
 
 
-@query("""SELECT round((SELECT var_pop(m) FROM (SELECT avg(f1) AS m FROM mx GROUP BY run_id)), 8) AS v_system, round((SELECT var_pop(m) FROM (SELECT avg(f1) AS m FROM mx GROUP BY entity)), 8) AS v_topic,
- round((SELECT var_pop(f1 - a - b + g) FROM (SELECT f1, avg(f1) OVER (PARTITION BY run_id) AS a, avg(f1) OVER (PARTITION BY entity) AS b, avg(f1) OVER () AS g FROM mx)), 8) AS v_interaction""", "k_run", more=_G)
+@query("SELECT round(v_system, 8) AS v_system, round(v_topic, 8) AS v_topic, round(v_interaction, 8) AS v_interaction, round(v_total, 8) AS v_total, round(v_system / (v_system + v_topic + v_interaction), 8) AS phi, round(v_system / (v_system + v_interaction), 8) AS rho FROM vc", "k_run", more=_G + """,
+vc AS (SELECT (SELECT var_pop(m) FROM (SELECT avg(f1) AS m FROM mx GROUP BY run_id)) AS v_system, (SELECT var_pop(m) FROM (SELECT avg(f1) AS m FROM mx GROUP BY entity)) AS v_topic,
+ (SELECT var_pop(f1 - a - b + g) FROM (SELECT f1, avg(f1) OVER (PARTITION BY run_id) AS a, avg(f1) OVER (PARTITION BY entity) AS b, avg(f1) OVER () AS g FROM mx)) AS v_interaction, (SELECT var_pop(f1) FROM mx) AS v_total)""")
 def variance_components(s: SparkSession, d: str) -> DataFrame:
     v = sf.variance_components(sf.score_matrix(_scores(s, d)))
     return v.select(*[F.round(c, 8).alias(c) for c in v.columns])
