@@ -7,9 +7,14 @@ closing quotes or brackets is a candidate, and so is every space between words o
 The classifier is trained without labels, on boundaries that are reliable: the end of one block joined to the
 beginning of the next is a boundary; an end mark before a small letter, a comma or the like is none; nor is one after
 a token (or before a word) that is common beside end marks but practically never ends (begins) a block. Those
-frequencies are counted over all documents, in hash tables of fixed size. The words after a candidate
-are counted in a second pass, only where the token before it can end a sentence. Features are the neighbouring tokens (by
-the same frequencies), their case, length, digits and script, the marks and the white space between.
+frequencies are counted over all documents, in hash tables of fixed size. Words after a candidate count only where the
+token before it can end a sentence by its own frequency: after an abbreviation they would tell of the abbreviation.
+Features are the neighbouring tokens (by the same frequencies), their case, length, digits and script, the marks and
+the white space between. Tokens are what white space sets apart; a longer one than `LONGEST` is known by the characters
+beside the candidate.
+
+Repeated texts are removed once and the rest written; the texts are read twice, to list the candidates' hashed
+neighbours (three numbers each, from which all frequencies follow) and to split.
 
 Broadcast: the count tables (3 * 2^18 pairs of floats, 6 MB) and the weights of the features met in training.
 
@@ -31,9 +36,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimscope.session import written
+
 BUCKET_BITS = 18
-#: Documents the classifier is fitted on (the frequencies are counted over all).
-TRAIN_DOCUMENTS = 3000
+#: Documents the classifier is fitted on (the frequencies are counted over all), and their greatest length.
+TRAIN_DOCUMENTS, TRAIN_CHARACTERS = 3000, 20_000
+#: Characters of a token that its frequency is counted by.
+LONGEST = 80
 EPOCHS, RATE, PENALTY = 12, 0.3, 1e-5
 #: Log ratio of a type's rate at block edges to the rate of its mark, below which it is reliably no boundary.
 NEVER = -2.0
@@ -49,6 +58,10 @@ _MARK_RUN = re.compile(f"[{re.escape(MARKS)}][{re.escape(MARKS)}{_INVISIBLE}]*(?
 _BLANK = re.compile(r"\s*\n\s*\n\s*")
 _ITEM = re.compile(r"(?:\d{1,3}[.)]|[-–—•*‣▪·])[ \t ]+(?=\S)")
 _SPACE = re.compile(r"\s+")
+#: Spaces that may stand between a mark and the marks or closing quotes after it.
+_THIN = " \u00a0\u202f"
+#: Steps of the ratios.
+_STEPS = (-2.6, NEVER, -1.3, -0.7, 0.4, 1.0)
 _WORD = re.compile(r"\S+")
 #: Where a sentence ran into the next without white space, inside what looks like one token.
 _GLUED = re.compile(r".*[^\W\d_]{2,}[.!?]+[\"”’»)]*(?=[^\W\d_])[^\W\d_]")
@@ -126,47 +139,106 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return trimmed
 
 
-def _ends(text: str, lo: int, hi: int) -> list[tuple[int, int, int]]:
-    """Candidates in a block: (position of the first mark, end with closers, beginning of what follows)."""
-    out, block = [], text[lo:hi]
-    german = "„" in block
-    marker = _ITEM.match(block)
-    for m in _MARK_RUN.finditer(block):
-        i, j = m.start(), m.end()
-        if marker and i < marker.end() or ";" in m.group() and not _greek(block, i) or ";" in m.group() and not _greek(block, i):
-            continue
-        while j < len(block):
-            ch = block[j]
-            if ch in _INVISIBLE or ch in CLOSERS and not (ch in "\"'" and not _open_before(block, ch, j)) or ch == "“" and german:
-                j += 1
-            elif ch in "   " and block[j + 1 : j + 2] == "»" and block.count("«", 0, j) > block.count("»", 0, j):
-                j += 2
-            else:
-                break
-        if out and i < out[-1][1] - lo:
-            continue
-        nxt = j
-        while nxt < len(block) and block[nxt].isspace():
-            nxt += 1
-        out.append((lo + i, lo + j, lo + nxt))
-    if any(_script(c) in UNMARKED for c in block if ord(c) > 0xE00 and ord(c) < 0x17FF):
-        for m in _SPACE.finditer(block):
-            a, b = block[m.start() - 1 : m.start()], block[m.end() : m.end() + 1]
-            if a and b and a not in MARKS and (_script(a) in UNMARKED or _script(b) in UNMARKED) and a not in ",:;":
-                out.append((lo + m.start(), lo + m.start(), lo + m.end()))
-    return sorted(out)
-
-
-def _greek(block: str, i: int) -> bool:
-    before = block[:i].rstrip()[-1:]
-    return bool(before) and _script(before) == "GREEK"
-
-
-def _open_before(block: str, ch: str, j: int) -> bool:
-    """Whether a straight quote at j closes one that opened before."""
-    if ch == '"':
-        return block.count('"', 0, j) % 2 == 1
-    return re.search(r"(?:^|[\s(])'\S", block[:j]) is not None
+_UNMARKED_LETTER = re.compile("[\u0e01-\u17fe]")
+_SINGLE_QUOTE = re.compile(r"(?:^|[\s(])'\S")
+
+
+class _Block:
+    """A block of a text with its tokens; quotes are found once, so that a long block costs no more per character."""
+
+    def __init__(self, text: str, lo: int, hi: int):
+        self.text, self.lo, self.hi = text, lo, hi
+        spans = [m.span() for m in _WORD.finditer(text, lo, hi)]
+        self.starts, self.stops = [a for a, _ in spans], [b for _, b in spans]
+        self._at: dict[str, list[int]] = {}
+
+    def count(self, ch: str, end: int) -> int:
+        """How often a character occurs in the block before end."""
+        if ch not in self._at:
+            self._at[ch] = [m.start() for m in re.finditer(ch, self.text[self.lo : self.hi])]
+        return bisect.bisect_left(self._at[ch], end - self.lo)
+
+    def open_before(self, ch: str, j: int) -> bool:
+        """Whether a straight quote at j closes one that opened before."""
+        if ch == '"':
+            return self.count('"', j) % 2 == 1
+        if "'" not in self._at:
+            m = _SINGLE_QUOTE.search(self.text[self.lo : self.hi])
+            self._at["'"] = [m.end()] if m else []
+        return bool(self._at["'"]) and self._at["'"][0] <= j - self.lo
+
+    def candidates(self) -> list[tuple[int, int, int]]:
+        """(position of the first mark, end with closers, beginning of what follows)."""
+        text, lo, hi = self.text, self.lo, self.hi
+        out: list[tuple[int, int, int]] = []
+        german = text.find("„", lo, hi) >= 0
+        marker = _ITEM.match(text, lo, hi)
+        for m in _MARK_RUN.finditer(text, lo, hi):
+            i, j = m.span()
+            if marker and i < marker.end() or (";" in m.group() or "\u037e" in m.group()) and not self._greek(i):
+                continue
+            while j < hi:
+                ch = text[j]
+                if ch in _INVISIBLE or ch in CLOSERS and not (ch in "\"'" and not self.open_before(ch, j)) or ch == "“" and german:
+                    j += 1
+                elif ch in _THIN and text[j + 1 : min(j + 2, hi)] == "»" and self.count("«", j) > self.count("»", j):
+                    j += 2
+                else:
+                    break
+            if out and i < out[-1][1]:
+                continue
+            nxt = j
+            while nxt < hi and text[nxt].isspace():
+                nxt += 1
+            out.append((i, j, nxt))
+        if self.unmarked():
+            for m in _SPACE.finditer(text, lo, hi):
+                a, b = text[m.start() - 1 : m.start()] if m.start() > lo else "", text[m.end() : m.end() + 1] if m.end() < hi else ""
+                if a and b and a not in MARKS and (_script(a) in UNMARKED or _script(b) in UNMARKED) and a not in ",:;":
+                    out.append((m.start(), m.start(), m.end()))
+        return sorted(out)
+
+    def unmarked(self) -> bool:
+        """Whether the block holds letters of a script without end marks."""
+        m = _UNMARKED_LETTER.search(self.text, self.lo, self.hi)
+        return m is not None and any(_script(c) in UNMARKED for c in set(self.text[m.start() : self.hi]) if "\u0e00" < c < "\u17ff")
+
+    def _greek(self, i: int) -> bool:
+        while i > self.lo and self.text[i - 1].isspace():
+            i -= 1
+        return i > self.lo and _script(self.text[i - 1]) == "GREEK"
+
+    def left(self, i: int, j: int) -> tuple[str, str, str, str]:
+        """(token before the marks, the one before it, the marks, their closers)."""
+        text = self.text
+        k = bisect.bisect_left(self.starts, i) - 1
+        token = before = ""
+        if k >= 0:
+            end = min(self.stops[k], i)
+            token = text[max(self.starts[k], end - LONGEST) : end]
+            if k > 0:
+                before = text[max(self.starts[k - 1], self.stops[k - 1] - LONGEST) : self.stops[k - 1]]
+        if i == j:
+            marks, closers = "space", ""
+        else:
+            marks = "".join(c for c in text[i:j] if c not in _INVISIBLE)
+            closers = marks.lstrip(MARKS + _THIN)
+            marks = marks[: len(marks) - len(closers)].replace("\u00a0", " ").replace("\u202f", " ").strip()
+        if token and _kind(token[-1]) not in ("l", "u", "d") and len(token) > 3 and token[-1:].isalpha() or any(ord(c) > 0xE00 for c in token[-2:]):
+            token = token[-3:]
+        glued = _GLUED.search(token) if len(token) > 4 else None
+        if glued:
+            token = token[glued.end() - 1 :]
+        return token.strip("(\"'“‘«„[").strip(_INVISIBLE), before, marks, closers
+
+    def right(self, nxt: int) -> str:
+        return _right(self.text, nxt, self.hi)
+
+    def last(self, found: list[tuple[int, int, int]]) -> tuple[str, str, str, str] | None:
+        """What ends the block: its last candidate, or its last token where it holds a script without marks."""
+        if found and found[-1][2] >= self.hi:
+            return self.left(*found[-1][:2])
+        return self.left(self.hi, self.hi) if self.unmarked() else None
 
 
 def _shape(token: str) -> str:
@@ -192,11 +264,9 @@ def _left(text: str, lo: int, i: int, j: int) -> tuple[str, str, str, str]:
 
 
 def _right(text: str, nxt: int, hi: int) -> str:
-    m = _WORD.match(text, nxt, min(hi, nxt + 40))
+    m = _WORD.match(text, nxt, min(hi, nxt + LONGEST))
     token = m.group() if m else ""
-    if any(ord(c) > 0xE00 for c in token[:2]):
-        token = token[:2]
-    return token
+    return token[:2] if any(ord(c) > 0xE00 for c in token[:2]) else token
 
 
 def _keys(left: tuple[str, str, str, str], right: str) -> tuple[str, str, str]:
@@ -229,44 +299,29 @@ def _refuses(text: str, j: int, nxt: int, hi: int) -> bool:
     return kind == "l" or ch in _REFUSED and not _item(text, nxt, hi) or kind == "c" or nxt == j and kind in ("d", "p") and not wide and ch not in MARKS or ch in MARKS and ch != ""
 
 
-def _tally(batches, splitter: "Splitter | None"):
-    """Occurrences of each type beside candidates, and at block edges. Without a splitter those of the types before
-    a candidate; with one, which knows these, those of the words after a candidate that can be a boundary."""
-    size = 1 << BUCKET_BITS
-    tables = (0, 1) if splitter is None else (2,)
-    for b in batches:
-        edge, every = np.zeros((3, size)), np.zeros((3, size))
-
-        def add(left, right: str, at_edge: bool) -> None:
-            keys = _keys(left, right)
-            if splitter is not None and min(splitter.ratio(t, keys[t]) for t in (0, 1)) < NEVER:
-                return
-            for t in tables:
-                h = _bucket(keys[t])
-                every[t, h] += 1
-                edge[t, h] += at_edge
-
-        for text in b["gloss"]:
+#: Kinds of rows of `_neighbours`: a candidate inside a block, the end of a block, the beginning of the next one.
+INSIDE, END, BEGIN = 0, 1, 2
+
+
+def _neighbours(batches):
+    """(a, b, c, kind) of every candidate and edge of blocks: the buckets of its types."""
+    for batch in batches:
+        rows: list[tuple[int, int, int, int]] = []
+        for text in batch["gloss"]:
             before = None
             for lo, hi in blocks(text or ""):
-                final = None
-                for i, j, nxt in _ends(text, lo, hi):
-                    left = _left(text, lo, i, j)
+                block = _Block(text, lo, hi)
+                found = block.candidates()
+                for i, j, nxt in found:
                     if nxt < hi:
-                        add(left, _right(text, nxt, hi), False)
-                    else:
-                        final = left
-                if final is None and any(_script(c) in UNMARKED for c in text[max(lo, hi - 40) : hi]):
-                    final = _left(text, lo, hi, hi)
-                if final is not None and splitter is None:
-                    add(final, "", True)
-                if before is not None and splitter is not None and not _item(text, lo, hi):
-                    add(before, _right(text, lo, hi), True)
+                        rows.append((*map(_bucket, _keys(block.left(i, j), block.right(nxt))), INSIDE))
+                final = block.last(found)
+                if final is not None:
+                    rows.append((*map(_bucket, _keys(final, "")), END))
+                if before is not None and not _item(text, lo, hi):
+                    rows.append((*map(_bucket, _keys(before, block.right(lo))), BEGIN))
                 before = final
-        for t in tables:
-            at = np.flatnonzero(every[t])
-            if len(at):
-                yield pd.DataFrame({"t": t, "bucket": at, "edge": edge[t, at].astype(np.int64), "n": every[t, at].astype(np.int64)})
+        yield pd.DataFrame(rows, columns=["a", "b", "c", "kind"])
 
 
 class Splitter:
@@ -276,29 +331,53 @@ class Splitter:
         self.edge, self.every = edge.astype(np.float32), every.astype(np.float32)
         self.base = [float(e.sum() + 1) / float(n.sum() + 2) for e, n in zip(edge, every)]
         self.weights: dict[str, float] = {}
+        self._memo: dict[tuple, float] = {}
+        self.ratios = [np.log((self.edge[t] + 2 * q) / (self.every[t] + 2) / q).astype(np.float32) for t, q in enumerate(self.base)]
 
     def ratio(self, t: int, key: str) -> float:
         """Smoothed log ratio of a type's rate at block edges to that of all types."""
-        h, q = _bucket(key), self.base[t]
-        return float(np.log((self.edge[t, h] + 2 * q) / (self.every[t, h] + 2) / q))
+        return float(self.ratios[t][_bucket(key)])
 
-    def features(self, left: tuple[str, str, str, str], right: str, sep: str) -> tuple[list[str], list[float]]:
-        token, before, marks, closers = left
-        keys = _keys(left, right)
-        ratios = [self.ratio(t, k) for t, k in enumerate(keys)]
-        bins = [bisect.bisect((-2.6, NEVER, -1.3, -0.7, 0.4, 1.0), r) for r in ratios]
-        m = marks if len(marks) < 4 else marks[:3]
+    def _parts(self, left: tuple[str, str, str, str], right: str, sep: str) -> tuple[tuple, tuple, list[float]]:
+        """(what is seen of the candidate, what is known of its tokens, their ratios): few values each, so that what
+        follows from them is remembered."""
+        token, _, marks, closers = left
+        ratios = [self.ratio(t, k) for t, k in enumerate(_keys(left, right))]
         nk, lk = _kind(right[:1]), _kind(token[-1:])
         after = _kind(next((c for c in right if c not in OPENERS), "")) if nk == "o" else nk
         script = _script(token[-1]) if token and token[-1].isalpha() else lk
-        length = min(len(token), 6)
-        dotted = "." in token[:-1]
-        out = [
+        m = marks if len(marks) < 4 else marks[:3]
+        seen = (m, closers, script, sep, nk, after, lk, min(len(token), 6), "." in token[:-1], min(len(right), 6), len(token) == 1 and token.isupper())
+        return seen, (*[bisect.bisect(_STEPS, r) for r in ratios], nk, m), ratios
+
+    @staticmethod
+    def _seen(part: tuple) -> list[str]:
+        m, closers, script, sep, nk, after, lk, length, dotted, right, one = part
+        return [
             "1", f"m{m}", f"c{closers}", f"mc{m}{closers}{script}", f"s{sep}", f"s{sep}{nk}", f"s{sep}{lk}{nk}", f"n{nk}{after}", f"l{lk}", f"ln{lk}{nk}", f"mn{m}{nk}{after}", f"len{length}", f"len{length}{lk}",
-            f"dot{dotted}", f"rl{min(len(right), 6)}", f"sc{script}{m}", f"one{len(token) == 1 and token.isupper()}", f"A{bins[0]}", f"B{bins[1]}", f"C{bins[2]}", f"AC{bins[0]}|{bins[2]}", f"ABC{min(bins)}", f"A{bins[0]}n{nk}", f"C{bins[2]}m{m}",
-            f"q{bool(closers)}{nk}{script}",
+            f"dot{dotted}", f"rl{right}", f"sc{script}{m}", f"one{one}", f"q{bool(closers)}{nk}{script}",
         ]
-        return out, ratios
+
+    @staticmethod
+    def _known(part: tuple) -> list[str]:
+        a, b, c, nk, m = part
+        return [f"A{a}", f"B{b}", f"C{c}", f"AC{a}|{c}", f"ABC{min(a, b, c)}", f"A{a}n{nk}", f"C{c}m{m}"]
+
+    def features(self, left: tuple[str, str, str, str], right: str, sep: str) -> tuple[list[str], list[float]]:
+        seen, known, ratios = self._parts(left, right, sep)
+        return self._seen(seen) + self._known(known), ratios
+
+    def score(self, left: tuple[str, str, str, str], right: str, sep: str) -> float:
+        """The sum of the weights of all features."""
+        total = 0.0
+        for names, part in zip((self._seen, self._known), self._parts(left, right, sep)[:2]):
+            value = self._memo.get(part)
+            if value is None:
+                value = sum(self.weights.get(k, 0.0) for k in names(part))
+                if len(self._memo) < 200_000:  # a full memory costs time, not results
+                    self._memo[part] = value
+            total += value
+        return total
 
     def _sep(self, text: str, j: int, nxt: int) -> str:
         gap = text[j:nxt]
@@ -310,24 +389,20 @@ class Splitter:
         for text in texts:
             last = None
             for lo, hi in blocks(text):
-                final = None
-                for i, j, nxt in _ends(text, lo, hi):
-                    left = _left(text, lo, i, j)
-                    if nxt >= hi:
-                        final = left
-                        continue
-                    f, ratios = self.features(left, _right(text, nxt, hi), self._sep(text, j, nxt))
-                    if _refuses(text, j, nxt, hi) or min(ratios) < NEVER:
-                        rows.append(f)
-                        labels.append(0.0)
-                if final is None and any(_script(c) in UNMARKED for c in text[max(lo, hi - 40) : hi]):
-                    final = _left(text, lo, hi, hi)
+                block = _Block(text, lo, hi)
+                found = block.candidates()
+                for i, j, nxt in found:
+                    if nxt < hi:
+                        f, ratios = self.features(block.left(i, j), block.right(nxt), self._sep(text, j, nxt))
+                        if _refuses(text, j, nxt, hi) or min(ratios) < NEVER:
+                            rows.append(f)
+                            labels.append(0.0)
                 if last is not None and not _item(text, lo, hi):
-                    right = _right(text, lo, hi)
+                    right = block.right(lo)
                     for sep in ("space", "space", "space", "line", "none"):
                         rows.append(self.features(last, right, sep)[0])
                         labels.append(1.0)
-                last = final
+                last = block.last(found)
         if not rows:
             return
         index: dict[str, int] = {}
@@ -352,14 +427,12 @@ class Splitter:
         out: list[tuple[int, int]] = []
         if not text:
             return out
-        weights = self.weights
         for lo, hi in blocks(text):
-            at = lo
-            for i, j, nxt in _ends(text, lo, hi):
-                if nxt >= hi or _refuses(text, j, nxt, hi):
+            at, block = lo, _Block(text, lo, hi)
+            for i, j, nxt in block.candidates():
+                if nxt >= hi or j <= at or _refuses(text, j, nxt, hi):
                     continue
-                f, _ = self.features(_left(text, lo, i, j), _right(text, nxt, hi), self._sep(text, j, nxt))
-                if sum(weights.get(k, 0.0) for k in f) > 0 and j > at:
+                if self.score(block.left(i, j), block.right(nxt), self._sep(text, j, nxt)) > 0:
                     out.append((at, j))
                     at = nxt
             if at < hi:
@@ -371,23 +444,33 @@ def train(texts: DataFrame) -> Splitter:
     """The splitter of a corpus; texts has a column gloss."""
     size = 1 << BUCKET_BITS
     edge, every = np.zeros((3, size)), np.zeros((3, size))
-    splitter = None
-    for _ in range(2):
-        known = texts.sparkSession.sparkContext.broadcast(splitter)
-        counts = texts.select("gloss").mapInPandas(lambda batches, known=known: _tally(batches, known.value), "t int, bucket long, edge long, n long")
-        sums = counts.groupBy("t", "bucket").agg(F.sum("edge").alias("edge"), F.sum("n").alias("n")).toPandas()  # at most 2 * 2^18 rows
-        if len(sums):
-            edge[sums["t"], sums["bucket"]] = sums["edge"]
-            every[sums["t"], sums["bucket"]] = sums["n"]
-        splitter = Splitter(edge, every)
-    sample = texts.select("gloss").filter(F.col("gloss") != "").orderBy(F.xxhash64("gloss"), "gloss").limit(TRAIN_DOCUMENTS).toPandas()["gloss"]
-    splitter.fit(list(sample))
+    rows = written(texts.select("gloss").mapInPandas(_neighbours, "a int, b int, c int, kind int"), "neighbours")
+
+    def fill(t: int, counts: DataFrame) -> None:
+        own = counts.groupBy("h").agg(F.sum("edge").alias("edge"), F.sum("n").alias("n")).toPandas()  # at most 2^18 rows
+        edge[t, own["h"]], every[t, own["h"]] = own["edge"], own["n"]
+
+    for t, column in enumerate("ab"):
+        fill(t, rows.filter(F.col("kind") != BEGIN).select(F.col(column).alias("h"), (F.col("kind") == END).cast("long").alias("edge"), F.lit(1).alias("n")))
+    before = Splitter(edge, every)
+    able = rows.sparkSession.sparkContext.broadcast(before.ratios[:2])
+
+    def after(batches):
+        for x in batches:
+            kept = x[(able.value[0][x["a"]] >= NEVER) & (able.value[1][x["b"]] >= NEVER)]
+            own = kept.assign(edge=(kept["kind"] == BEGIN).astype(np.int64), n=1).groupby("c", as_index=False)[["edge", "n"]].sum()
+            yield own.rename(columns={"c": "h"})
+
+    fill(2, rows.filter(F.col("kind") != END).mapInPandas(after, "h int, edge long, n long"))
+    splitter = Splitter(edge, every)
+    short = texts.select("gloss").filter((F.col("gloss") != "") & (F.char_length("gloss") <= TRAIN_CHARACTERS))
+    splitter.fit(list(short.orderBy(F.xxhash64("gloss"), "gloss").limit(TRAIN_DOCUMENTS).toPandas()["gloss"]))
     return splitter
 
 
 def sentences(documents: DataFrame) -> DataFrame:
     """(doc_id, span_lo, span_hi) of every sentence of document.gloss."""
-    texts = documents.select(F.col("id").alias("doc_id"), "gloss").filter(F.col("gloss") != "").distinct()
+    texts = written(documents.select(F.col("id").alias("doc_id"), "gloss").filter(F.col("gloss") != "").distinct(), "texts")
     shared = documents.sparkSession.sparkContext.broadcast(train(texts))
 
     def run(batches):
