@@ -9,13 +9,14 @@ identifier.
 Scale: minima are combined before their shuffle, so a node with a third of all edges costs one row per task. They
 are written to the shared folder before they are joined back: both sides then enter the join through an exchange of
 their own, and adaptive execution splits such a node's edges over tasks. The tables of a round are deleted once the
-next one stands. Nothing is collected but two counts a round, taken while the round is written. Identifiers are longs
-given by one distributed sort of the records, so the least identifier is the least record in the wanted order.
+next one stands. Nothing is collected but two counts a round, taken while the round is written. Identifiers are 64-bit
+hashes of the records, checked to be unique, so that records meet by longs alone; the least record of each group in the
+wanted order is found at the end, by one minimum per group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from claimscope.session import discard, written, written_at
@@ -82,31 +83,40 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 MENTION = ["submission_id", "doc_id", "span_lo", "span_hi"]
+#: Hash seeds tried until no two records share an identifier.
+SEEDS = range(8)
 
 
-def numbered(nodes: DataFrame, order: list[str]) -> DataFrame:
-    """Distinct nodes with a long id that grows in the given order, by one range-partitioned sort. The ids depend on
-    where partitions begin, so they are written down before use."""
-    return written(nodes.distinct().orderBy(*order).withColumn("id", F.monotonically_increasing_id()), "nodes")
+def identified(rows: DataFrame, key: list[str]) -> tuple[DataFrame, int]:
+    """(id, key...: each key once, the seed of the ids). An id is a 64-bit hash, so that records meet by longs alone; that
+    no two keys share one is checked while the table is written, and another seed is taken where two do."""
+    for seed in SEEDS:
+        seen = Observation()
+        each = rows.select(hashed(seed, *key).alias("id"), F.struct(*key).alias("k")).groupBy("id").agg(F.min("k").alias("k"), F.max("k").alias("other"))
+        table, path = written_at(each.observe(seen, F.count_if(F.col("k") != F.col("other")).alias("shared")).select("id", "k.*"), "nodes")
+        if not seen.get.get("shared", 0):
+            return table, seed
+        discard(rows.sparkSession, path)
+    raise RuntimeError("no seed sets all records apart")
+
+
+def hashed(seed: int, *columns) -> Column:
+    return F.xxhash64(F.lit(seed), *columns)
 
 
 def mention_pairs(mentions: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes with id, pairs (u, v)). Mentions are tied to the mention at their canonical span, and to the least
-    mention of their submission with the same link_name. Nulls, empty names, wiki:NULL in any case, and canonical
-    spans or links without a mention tie nothing; extra columns and re-uploads of a key change nothing."""
-    m = mentions.select("submission_id", "doc_id", F.col("span.lo").alias("span_lo"), F.col("span.hi").alias("span_hi"), F.col("canonical_span.lo").alias("c_lo"), F.col("canonical_span.hi").alias("c_hi")).dropna(subset=MENTION)
-    nodes = numbered(m.select(*MENTION), ["doc_id", "span_lo", "span_hi", "submission_id"])
-    claims = m.filter(F.col("c_lo").isNotNull() & F.col("c_hi").isNotNull() & ((F.col("c_lo") != F.col("span_lo")) | (F.col("c_hi") != F.col("span_hi")))).distinct()
-    target = nodes.select("submission_id", "doc_id", F.col("span_lo").alias("c_lo"), F.col("span_hi").alias("c_hi"), F.col("id").alias("v"))
-    canonical = claims.join(nodes.withColumnRenamed("id", "u"), MENTION).join(target, ["submission_id", "doc_id", "c_lo", "c_hi"]).select("u", "v")
-    named = written(
-        links.select("submission_id", "doc_id", F.col("span.lo").alias("span_lo"), F.col("span.hi").alias("span_hi"), "link_name")
-        .filter((F.col("link_name") != "") & (F.upper("link_name") != "WIKI:NULL"))
-        .distinct()
-        .join(nodes, MENTION)
-        .select("submission_id", "link_name", "id"),
-        "named",
-    )
+    """(nodes with id, pairs (u, v)). Mentions are tied to the mention at their canonical span, and to the one of least id
+    of their submission with the same link_name. Nulls, empty names, wiki:NULL in any case, and canonical spans or
+    links without a mention tie nothing; extra columns and re-uploads of a key change nothing."""
+    span = lambda df, *more: df.select("submission_id", "doc_id", F.col("span.lo").alias("span_lo"), F.col("span.hi").alias("span_hi"), *more).dropna(subset=MENTION)
+    m = span(mentions, F.col("canonical_span.lo").alias("c_lo"), F.col("canonical_span.hi").alias("c_hi"))
+    nodes, seed = identified(m, MENTION)
+    elsewhere = F.col("c_lo").isNotNull() & F.col("c_hi").isNotNull() & ((F.col("c_lo") != F.col("span_lo")) | (F.col("c_hi") != F.col("span_hi")))
+    claims = m.filter(elsewhere).select(hashed(seed, *MENTION).alias("u"), hashed(seed, "submission_id", "doc_id", "c_lo", "c_hi").alias("v"))
+    canonical = claims.join(nodes.select(F.col("id").alias("v")), "v", "left_semi").select("u", "v")
+    some = (F.col("link_name") != "") & (F.upper("link_name") != "WIKI:NULL")
+    named = span(links, "link_name").filter(some).select(hashed(seed, *MENTION).alias("id"), "submission_id", "link_name").distinct()
+    named = written(named.join(nodes.select("id"), "id", "left_semi"), "named")
     # written, so that a name with very many links is split when its least mention is joined
     least = written(named.groupBy("submission_id", "link_name").agg(F.min("id").alias("v")), "least")
     linked = named.join(least, ["submission_id", "link_name"]).select(F.col("id").alias("u"), "v")
@@ -116,6 +126,8 @@ def mention_pairs(mentions: DataFrame, links: DataFrame) -> tuple[DataFrame, Dat
 def mention_groups(mentions: DataFrame, links: DataFrame) -> DataFrame:
     """Every mention in a group of two or more with the group's least mention by (doc_id, lo, hi)."""
     nodes, pairs = mention_pairs(mentions, links)
-    found = components(pairs)
-    root = nodes.select(F.col("id").alias("root"), F.col("doc_id").alias("group_doc_id"), F.col("span_lo").alias("group_span_lo"), F.col("span_hi").alias("group_span_hi"))
-    return found.join(nodes, "id").join(root, "root").select(*MENTION, "group_doc_id", "group_span_lo", "group_span_hi")
+    members = written(components(pairs).join(nodes, "id"), "members")
+    # written, so that a group with very many mentions is split when its least one is joined
+    least = written(members.groupBy("root").agg(F.min(F.struct("doc_id", "span_lo", "span_hi")).alias("k")), "least")
+    least = least.select("root", F.col("k.doc_id").alias("group_doc_id"), F.col("k.span_lo").alias("group_span_lo"), F.col("k.span_hi").alias("group_span_hi"))
+    return members.join(least, "root").select(*MENTION, "group_doc_id", "group_span_lo", "group_span_hi")
