@@ -224,7 +224,7 @@ class _Block:
             marks = "".join(c for c in text[i:j] if c not in _INVISIBLE)
             closers = marks.lstrip(MARKS + _THIN)
             marks = marks[: len(marks) - len(closers)].replace("\u00a0", " ").replace("\u202f", " ").strip()
-        if token and _kind(token[-1]) not in ("l", "u", "d") and len(token) > 3 and token[-1:].isalpha() or any(ord(c) > 0xE00 for c in token[-2:]):
+        if token and _kind(token[-1]) not in ("l", "u", "d") and len(token) > 3 and token[-1:].isalpha() or token[-1:] > "\u0e00" or token[-2:-1] > "\u0e00":
             token = token[-3:]
         glued = _GLUED.search(token) if len(token) > 4 else None
         if glued:
@@ -241,8 +241,12 @@ class _Block:
         return self.left(self.hi, self.hi) if self.unmarked() else None
 
 
+_DIGIT = re.compile(r"\d")
+
+
+@lru_cache(65536)
 def _shape(token: str) -> str:
-    return re.sub(r"\d", "0", token.lower())
+    return _DIGIT.sub("0", token.lower())
 
 
 def _left(text: str, lo: int, i: int, j: int) -> tuple[str, str, str, str]:
@@ -266,7 +270,7 @@ def _left(text: str, lo: int, i: int, j: int) -> tuple[str, str, str, str]:
 def _right(text: str, nxt: int, hi: int) -> str:
     m = _WORD.match(text, nxt, min(hi, nxt + LONGEST))
     token = m.group() if m else ""
-    return token[:2] if any(ord(c) > 0xE00 for c in token[:2]) else token
+    return token[:2] if token[:1] > "\u0e00" or token[1:2] > "\u0e00" else token
 
 
 def _keys(left: tuple[str, str, str, str], right: str) -> tuple[str, str, str]:
@@ -274,13 +278,14 @@ def _keys(left: tuple[str, str, str, str], right: str) -> tuple[str, str, str]:
     t = _shape(token)
     if len(token) == 1 and token.isalpha() and token.isupper():
         t = "X"
-    b = _shape(before)
-    b = b if len(b) < 4 else ("0" if b[-1:] == "0" else "w")
+    b = _shape(before) if len(before) < 4 else "0" if before[-1].isdecimal() else "w"
+    b = b if len(b) < 4 else "w"
     tail = (marks if len(marks) < 3 else marks[:3]) + closers
     r = _shape(right.strip(",;:.!?"))
     return f"a{t}|{tail}", f"b{b}|{t}|{tail}", f"c{marks == 'space'}|{r}"
 
 
+@lru_cache(131072)
 def _bucket(key: str) -> int:
     return zlib.crc32(key.encode("utf-8", "surrogatepass")) & ((1 << BUCKET_BITS) - 1)
 
