@@ -472,7 +472,7 @@ def standardised_relations(s: SparkSession, d: str) -> DataFrame:
     return r.select("submission_id", "doc_id", "subject_lo", "object_lo", "stated", "relation", dic.inverse(F.col("relation"), F.col("object_type")).alias("inverse"), dic.is_canonical(F.col("relation"), F.col("subject_type"), F.col("object_type")).alias("canonical"))
 
 
-@query("SELECT relation, subject_type, object_type, count(*) AS n FROM k_relation WHERE (relation, subject_type, object_type) IN (" + ", ".join(f"('{r}', '{x}', '{o}')" for r, (x, os) in (dic.CANONICAL | dic.ONLY_INVERSE).items() for o in os.split()) + ") GROUP BY ALL", "k_relation")
+@query("SELECT relation, subject_type, object_type, count(*) AS n FROM k_relation WHERE (relation, subject_type, object_type) IN (" + ", ".join(f"('{r}', '{x}', '{o}')" for r, (x, os) in (dic.CANONICAL | dic.ONLY_INVERSE).items() for o in os) + ") GROUP BY ALL", "k_relation")
 def admitted_types(s: SparkSession, d: str) -> DataFrame:
     return k.relations(s, d).join(F.broadcast(dic.argument_types(s)), ["relation", "subject_type", "object_type"], "left_semi").groupBy("relation", "subject_type", "object_type").agg(F.count(F.lit(1)).alias("n"))
 

@@ -39,14 +39,11 @@ def windowed_counts(events: DataFrame, at: str, by: str, width: str = "1 day", d
 def staged(stages: list[tuple[str, str, Callable[[DataFrame], DataFrame]]]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that moves rows through states: each stage is (from state, to state, action); the action
     gets the rows in its state and returns them, perhaps fewer. Rows in no known state stay as they are."""
-    seen: dict[str, list[DataFrame]] = {}
-
     def run(batch: DataFrame, epoch: int) -> None:
         rows = batch
         for before, after, action in stages:
             moved = action(rows.filter(F.col("state") == before)).withColumn("state", F.lit(after))
             rows = rows.filter(F.coalesce(F.col("state"), F.lit("")) != before).unionByName(moved)
-        seen.setdefault("rows", []).append(rows)
         run.result = rows
 
     run.result = None
