@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimscope.plans import analysis, answers, evaluation, general, reading, relational, sampling
+from claimscope.plans import analysis, answers, evaluation, files, general, reading, relational, sampling
 
-QUERIES = {**general.QUERIES, **relational.QUERIES, **sampling.QUERIES, **evaluation.QUERIES, **reading.QUERIES, **answers.QUERIES, **analysis.QUERIES}
-SQL = {**general.SQL, **relational.SQL, **sampling.SQL, **evaluation.SQL, **reading.SQL, **answers.SQL, **analysis.SQL}
+QUERIES = {**general.QUERIES, **relational.QUERIES, **sampling.QUERIES, **evaluation.QUERIES, **reading.QUERIES, **answers.QUERIES, **analysis.QUERIES, **files.QUERIES}
+SQL = {**general.SQL, **relational.SQL, **sampling.SQL, **evaluation.SQL, **reading.SQL, **answers.SQL, **analysis.SQL, **files.SQL}

@@ -49,23 +49,35 @@ def read_statements(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_entity_statements(spark: SparkSession, path: str) -> DataFrame:
+    return entity_statements(numbered_lines(spark, path))
+
+
+def entity_statements(lines: DataFrame) -> DataFrame:
     """Entity-centric files: a header line, entity ids as subjects, inclusive ends. (line, kind, entity, relation,
     object, provenances, weight); kind is type, mention, canonical, relation or bad."""
-    t = _columns(numbered_lines(spark, path).filter("line > 1"), 5)
+    t = _columns(lines.filter("line > 1"), 5)
     kind = F.when(F.col("n_columns") > 5, "bad").when(F.col("c1") == "type", "type").when(F.col("c1") == "mention", "mention").when(F.col("c1") == "canonical_mention", "canonical").otherwise("relation")
     relation = F.when(kind == "relation", lookup(ALIASES, F.col("c1"))).otherwise(F.col("c1"))
     return t.select("line", kind.alias("kind"), F.col("c0").alias("entity"), relation.alias("relation"), F.col("c2").alias("object"), _provenances(F.col("c3"), True).alias("provenances"), F.coalesce(F.col("c4").try_cast("double"), F.lit(0.0)).alias("weight"))
 
 
 def read_query_map(spark: SparkSession, path: str) -> DataFrame:
+    return query_map(numbered_lines(spark, path))
+
+
+def query_map(lines: DataFrame) -> DataFrame:
     """(query_id, other_id): the last line of an other_id wins."""
-    t = numbered_lines(spark, path).withColumn("c", F.split(F.trim("value"), r"\s+")).filter(F.size("c") >= 2)
+    t = lines.withColumn("c", F.split(F.trim("value"), r"\s+")).filter(F.size("c") >= 2)
     return t.groupBy(F.col("c")[1].alias("other_id")).agg(F.max_by(F.col("c")[0], F.col("line")).alias("query_id")).select("query_id", "other_id")
 
 
 def read_gold(spark: SparkSession, path: str, queries: DataFrame, with_extra_column: bool = False) -> DataFrame:
+    return gold(numbered_lines(spark, path), queries, with_extra_column)
+
+
+def gold(lines: DataFrame, queries: DataFrame, with_extra_column: bool = False) -> DataFrame:
     """Assessments of eight columns (nine with one at position 6 to skip); equivalence class after the last ':'."""
-    t = _columns(numbered_lines(spark, path), 9)
+    t = _columns(lines, 9)
     pick = [0, 1, 2, 3, 4, 5, 7, 8] if with_extra_column else list(range(8))
     c = [F.col(f"c{i}") for i in pick]
     rows = t.select(
@@ -76,18 +88,66 @@ def read_gold(spark: SparkSession, path: str, queries: DataFrame, with_extra_col
 
 
 def read_run(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
+    return run(numbered_lines(spark, path), queries)
+
+
+def run(lines: DataFrame, queries: DataFrame) -> DataFrame:
     """System runs of eight columns."""
-    t = _columns(numbered_lines(spark, path), 8)
+    t = _columns(lines, 8)
     rows = t.select(F.col("c0").alias("other_id"), F.col("c1").alias("relation"), F.col("c2").alias("run_id"), _provenances(F.col("c3")).alias("relation_provenances"), F.col("c4").alias("slot_value"), F.col("c5").alias("slot_type"), _provenances(F.col("c6")).alias("slot_provenances"), F.col("c7").try_cast("double").alias("confidence"))
     return rows.join(queries, "other_id").drop("other_id")
 
 
+# Fixed value: the line that begins XML files and isn't counted.
+PROLOG = '<?xml version="1.0" encoding="utf-8"?>\n'
+
+
 def documents_from_xml(files: DataFrame) -> DataFrame:
     """(path, value: whole XML) -> (id, title, doc_date, doc_length, doc_digest). The title is the headline or the
-    first line of the text, white space collapsed; the date is DATE_TIME before 'T', else eight digits of the id."""
+    first line of the text, white space collapsed; the date is DATE_TIME before 'T', in threads that of the first post,
+    else eight digits of the id, else empty. The length leaves out the prolog and a final line break."""
     at = lambda p: F.xpath_string("value", F.lit(p))
-    x = files.select("value", at("/*/@id").alias("id"), at("//HEADLINE").alias("headline"), at("//DATE_TIME").alias("stamp"), at("//TEXT").alias("text"))
+    x = files.select("value", at("/*/@id").alias("id"), at("//HEADLINE").alias("headline"), at("//DATE_TIME").alias("stamp"), at("//post/@datetime").alias("posted"), at("//TEXT").alias("text"))
     tidy = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    title = F.when(F.trim("headline") != "", tidy(F.col("headline"))).otherwise(tidy(F.split_part(F.ltrim("text"), F.lit("\n"), F.lit(1))))
+    title = F.when(F.trim("headline") != "", tidy(F.col("headline"))).otherwise(tidy(F.split_part(F.regexp_replace("text", r"^\s+", ""), F.lit("\n"), F.lit(1))))
     day = F.regexp_replace(F.regexp_extract("id", r"(\d{8})", 1), r"(\d{4})(\d{2})(\d{2})", "$1-$2-$3")
-    return x.select("id", title.alias("title"), F.when(F.trim("stamp") != "", F.split_part("stamp", F.lit("T"), F.lit(1))).otherwise(day).alias("doc_date"), F.char_length("value").alias("doc_length"), F.md5("value").alias("doc_digest"))
+    before = lambda c: F.split_part(c, F.lit("T"), F.lit(1))
+    date = F.when(F.trim("stamp") != "", before(F.trim("stamp"))).when(F.col("posted") != "", before(F.col("posted"))).otherwise(day)
+    length = F.char_length("value") - F.when(F.startswith("value", F.lit(PROLOG)), len(PROLOG)).otherwise(0) - F.when(F.endswith("value", F.lit("\n")), 1).otherwise(0)
+    return x.select("id", title.alias("title"), date.alias("doc_date"), length.alias("doc_length"), F.md5("value").alias("doc_digest"))
+
+
+def queries_from_xml(files: DataFrame) -> DataFrame:
+    """(value: whole XML) -> (query_id, gloss, mention_type, doc_id, lo, hi, slot): one row per query; ends are inclusive
+    in the file."""
+    q = files.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)(<query\b.*?</query>)"), F.lit(1))).alias("q"))
+    at = lambda p: F.xpath_string("q", F.lit(f"/query/{p}"))
+    return q.select(at("@id").alias("query_id"), at("name").alias("gloss"), F.upper(at("enttype")).alias("mention_type"), at("docid").alias("doc_id"), at("beg").try_cast("int").alias("lo"), (at("end").try_cast("int") + 1).alias("hi"), at("slot0").alias("slot"))
+
+
+# States of assignments outside, and inside.
+STATES = {"Submitted": "pending-extraction", "Rejected": "rejected", "Approved": "approved", "error": "error"}
+
+
+def assignments_from_xml(rows: DataFrame) -> DataFrame:
+    """(assignment_id, hit_id, worker_id, answer: XML, status) -> the fields of each answer and its state inside. Where
+    the response is missing the state is an error, the response `{}` and the time -1."""
+    parts = F.regexp_extract_all("answer", F.lit(r"(?s)(<Answer>.*?</Answer>)"), F.lit(1))
+    field = lambda a, n: F.xpath_string(a, F.lit(f"/Answer/{n}"))
+    pairs = F.transform(parts, lambda a: F.struct(field(a, "QuestionIdentifier"), field(a, "FreeText")))
+    x = rows.withColumn("f", F.map_from_entries(pairs))
+    get = lambda n: F.nullif(F.try_element_at("f", F.lit(n)), F.lit(""))
+    ok = get("response").isNotNull()
+    return x.select(
+        "assignment_id", "hit_id", "worker_id", F.when(ok, get("workerTime").try_cast("double")).otherwise(-1.0).alias("worker_time"), get("comment").alias("comments"),
+        F.when(ok, lookup(STATES, F.col("status"))).otherwise("error").alias("state"), F.coalesce(get("response"), F.lit("{}")).alias("response"),
+    )
+
+
+def legacy_answers(lines: DataFrame) -> DataFrame:
+    """Tables of earlier batches: a header line names the columns of its file; missing units and rewards are -1."""
+    cells = lines.withColumn("c", F.split("value", "\t"))
+    names = cells.filter("line = 1").select("file", F.col("c").alias("names"))
+    named = cells.filter("line > 1 AND value <> ''").join(names, "file").select("file", "line", F.map_from_arrays("names", F.slice("c", F.lit(1), F.size("names"))).alias("m"))
+    get = lambda n: F.try_element_at("m", F.lit(n))
+    return named.select("file", "line", get("HITId").alias("hit_id"), get("workerId").alias("worker_id"), get("assignmentId").alias("assignment_id"), get("doc_id").alias("doc_id"), get("timeTaken").alias("time_taken"), F.coalesce(get("units").try_cast("double"), F.lit(-1.0)).alias("units"), F.coalesce(get("reward").try_cast("double"), F.lit(-1.0)).alias("reward"))
