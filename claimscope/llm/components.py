@@ -3,19 +3,22 @@
 Edges run from the larger node to the smaller. Large-star links every larger neighbour of a node to the least node
 around it; since that is the node's own least smaller neighbour, or itself, an edge (u, v) becomes (u, least of v).
 Small-star links a node and its smaller neighbours to the least of them, which moves edges only of nodes that have
-several. The two alternate until a round moves no edge; then every node hangs directly on its component's least
-identifier.
+several. The two alternate, and what hangs on a single node and carries none is set aside after each round, until no
+edge is left to rewrite; then every node has its component's least identifier through the node that it was set aside
+with. Later rounds only touch components that are no stars yet; the last few edges are rewritten in one task.
 
 Scale: minima are combined before their shuffle, so a node with a third of all edges costs one row per task. They
 are written to the shared folder before they are joined back: both sides then enter the join through an exchange of
 their own, and adaptive execution splits such a node's edges over tasks. The tables of a round are deleted once the
-next one stands. Nothing is collected but two counts a round, taken while the round is written. Identifiers are 64-bit
+next one stands. Nothing is collected but a count a round, taken while the round is written. Identifiers are 64-bit
 hashes of the records, checked to be unique, so that records meet by longs alone; the least record of each group in the
 wanted order is found at the end, by one minimum per group.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -23,63 +26,104 @@ from claimscope.session import discard, written, written_at
 
 #: The number of rounds grows with the logarithm of the largest component; more are an error.
 MAX_ROUNDS = 100
+#: So few edges (counted) are settled in one task; more of them take further rounds.
+FEW_EDGES = 50_000
 
 
 class _Stars:
-    """The edge table between rounds."""
+    """The edges still at work, between rounds. Nodes that hang on one node only, and on which none hangs, are set aside
+    with it: whatever becomes of that node, they share its component, and as they are larger they never name it."""
 
     def __init__(self, pairs: DataFrame):
         self.spark, self.paths = pairs.sparkSession, []
         edges = pairs.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         self.edges = self._keep(edges, "edges")
+        self.aside: list[DataFrame] = []
 
     def _keep(self, df: DataFrame, label: str) -> DataFrame:
         table, path = written_at(df, label)
         self.paths.append(path)
         return table
 
-    def large_star(self) -> tuple[DataFrame, int]:
-        """(edges moved to the least node around their smaller end, how many did move)."""
-        least = self._keep(self.edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    def set_aside(self) -> int:
+        """Move finished leaves out of the edges; how many edges remain. One table has for every node its least and
+        greatest smaller neighbour, and whether a larger one hangs on it."""
+        up = self.edges.select(F.col("u").alias("n"), F.col("v").alias("p"), F.lit(False).alias("carries"))
+        down = self.edges.select(F.col("v").alias("n"), F.lit(None).cast("long").alias("p"), F.lit(True).alias("carries"))
+        around = written(up.unionByName(down).groupBy("n").agg(F.min("p").alias("m"), F.max("p").alias("most"), F.max("carries").alias("carries")), "around").filter("m IS NOT NULL")
+        one = around.filter("m = most").select(F.col("n").alias("u"), F.col("m").alias("v"), "carries")
+        self.aside.append(one.filter("NOT carries").select("u", "v"))
+        self.least = around.select(F.col("n").alias("u"), "m")
         seen = Observation()
-        around = self.edges.join(least.select(F.col("u").alias("v"), "m"), "v", "left").select("u", F.coalesce("m", "v").alias("v"), F.col("m").isNotNull().alias("moved"))
-        out = self._keep(around.observe(seen, F.count_if("moved").alias("moved")).select("u", "v"), "large")
-        return out, seen.get.get("moved", 0)
-
-    def small_star(self, edges: DataFrame) -> tuple[DataFrame, int]:
-        """(edges of each node and its smaller neighbours to the least of them, how many nodes had several)."""
-        seen = Observation()
-        least = edges.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most"))
-        least = self._keep(least.observe(seen, F.count_if(F.col("m") < F.col("most")).alias("several")), "least")
-        direct = least.select("u", F.col("m").alias("v"))
-        several = seen.get.get("several", 0)
-        if not several:
-            return direct, 0
+        rest = one.filter("carries").select("u", "v").unionByName(self.edges.join(around.filter("m < most").select(F.col("n").alias("u")), "u", "left_semi"))
+        self.edges = self._keep(rest.observe(seen, F.count(F.lit(1)).alias("n")), "edges")
+        return seen.get.get("n", 0)
+
+    def large_star(self) -> DataFrame:
+        """The edges moved to the least node around their smaller end."""
+        least = self.least.select(F.col("u").alias("v"), "m")
+        return self._keep(self.edges.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v")), "large")
+
+    def small_star(self, edges: DataFrame) -> DataFrame:
+        """Edges of each node and its smaller neighbours to the least of them."""
+        least = self._keep(edges.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most")), "least")
         moved = edges.join(least.filter("m < most").select("u", "m"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return direct.unionByName(moved).distinct(), several
+        return least.select("u", F.col("m").alias("v")).unionByName(moved).distinct()
 
-    def round(self) -> int:
-        """Both stars; how many edges and nodes moved."""
+    def round(self) -> None:
         old, self.paths = self.paths, []
-        large, moved = self.large_star()
-        small, several = self.small_star(large)
-        self.edges = self._keep(small, "edges") if several else small
+        self.edges = self._keep(self.small_star(self.large_star()), "edges")
         for path in old:
             discard(self.spark, path)
-        return moved + several
 
-
-def components(pairs: DataFrame) -> DataFrame:
+    def roots(self, found: DataFrame) -> DataFrame:
+        """(id, root) of all nodes, from those that were never set aside and from the last round back: a node's root is
+        that of the node it hangs on."""
+        for nodes in reversed(self.aside):
+            own = nodes.select(F.col("u").alias("id"), "v").join(found.select(F.col("id").alias("v"), "root"), "v", "left")
+            found = written(own.select("id", F.coalesce("root", "v").alias("root")).unionByName(found), "roots")
+        return found
+
+
+def settled(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, their roots) of a few edges, by the same two rewrites in arrays."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    while True:
+        least = np.arange(len(nodes))
+        np.minimum.at(least, a, b)
+        large = least[b]
+        least = np.arange(len(nodes))
+        np.minimum.at(least, a, large)
+        m = least[a]
+        moved = large != m
+        pairs = np.unique(np.stack((np.concatenate((a, large[moved])), np.concatenate((m, m[moved])))), axis=1)
+        if pairs.shape[1] == len(a) and (pairs[0] == a).all() and (pairs[1] == b).all():
+            return nodes, nodes[least]
+        a, b = pairs
+
+
+def _settle(batches):
+    own = [(x.column("u").to_numpy(), x.column("v").to_numpy()) for x in batches]
+    if own and sum(len(u) for u, _ in own):
+        nodes, roots = settled(np.concatenate([u for u, _ in own]), np.concatenate([v for _, v in own]))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["id", "root"])
+
+
+def components(pairs: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """(u, v) of long -> (id, root): every node that occurs in a pair of two different nodes, with the least node of
     its component. Nulls and self pairs tie nothing, repeated pairs count once, no pairs give no rows."""
     stars = _Stars(pairs.dropna())
     for _ in range(MAX_ROUNDS):
-        if not stars.round():
+        if stars.set_aside() <= few:
             break
+        stars.round()
     else:
         raise RuntimeError("components did not settle")
-    edges = stars.edges
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+    last = written(stars.edges.repartition(1).mapInArrow(_settle, "id long, root long"), "settled")
+    found = stars.roots(last)
+    # a root that was never in the last edges has no row of its own yet
+    return found.unionByName(found.filter("id <> root").select(F.col("root").alias("id"), "root").distinct().join(last.select("id"), "id", "left_anti"))
 
 
 MENTION = ["submission_id", "doc_id", "span_lo", "span_hi"]
@@ -89,12 +133,10 @@ SEEDS = range(8)
 
 def identified(rows: DataFrame, key: list[str]) -> tuple[DataFrame, int]:
     """(id, key...: each key once, the seed of the ids). An id is a 64-bit hash, so that records meet by longs alone; that
-    no two keys share one is checked while the table is written, and another seed is taken where two do."""
+    no two keys share one is checked, and another seed is taken where two do."""
     for seed in SEEDS:
-        seen = Observation()
-        each = rows.select(hashed(seed, *key).alias("id"), F.struct(*key).alias("k")).groupBy("id").agg(F.min("k").alias("k"), F.max("k").alias("other"))
-        table, path = written_at(each.observe(seen, F.count_if(F.col("k") != F.col("other")).alias("shared")).select("id", "k.*"), "nodes")
-        if not seen.get.get("shared", 0):
+        table, path = written_at(rows.select(hashed(seed, *key).alias("id"), *key).distinct(), "nodes")
+        if table.groupBy("id").count().filter("count > 1").isEmpty():
             return table, seed
         discard(rows.sparkSession, path)
     raise RuntimeError("no seed sets all records apart")
