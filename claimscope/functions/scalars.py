@@ -83,6 +83,16 @@ def frequency_bin(n: Column) -> Column:
     return F.when(n.isNull(), None).when(n <= 3, "low").when(n <= 100, "med").otherwise("high")
 
 
+def parse_score(text: Column) -> Column:
+    """(precision,recall,f1) as struct, null where malformed."""
+    part = [F.regexp_extract(text, r"^\((\d*\.?\d+),(\d*\.?\d+),(\d*\.?\d+)\)$", i) for i in (1, 2, 3)]
+    return F.when(part[0] != "", F.struct(*[p.cast("double").alias(n) for p, n in zip(part, ("precision", "recall", "f1"))]))
+
+
+def show_score(precision: Column, recall: Column, f1: Column) -> Column:
+    return F.concat(F.lit("("), F.concat_ws(",", precision.cast("string"), recall.cast("string"), f1.cast("string")), F.lit(")"))
+
+
 def whole_range(a: Column, b: Column, n: Column) -> tuple[Column, Column]:
     """A range of fractions (or, beyond 1, of positions; negative ones count from the end) as positions in 0..n."""
     one = lambda x: F.when(F.abs(x) <= 1, F.floor(x * n)).otherwise(F.floor(x))

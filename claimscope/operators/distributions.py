@@ -20,9 +20,9 @@ def uniform(seed: str, *key: Column) -> Column:
 
 
 def normalised(df: DataFrame, keys: list[str], p: str = "p") -> DataFrame:
-    """p divided by its sum within keys; the sums are a small table of their own."""
+    """p divided by its sum within keys, or over all rows; the sums are a small table of their own."""
     total = df.groupBy(*keys).agg(F.sum(p).alias("_z"))
-    return df.join(total, keys).withColumn(p, F.try_divide(F.col(p), F.col("_z"))).drop("_z")
+    return (df.join(total, keys) if keys else df.crossJoin(total)).withColumn(p, F.try_divide(F.col(p), F.col("_z"))).drop("_z")
 
 
 def document_uniform(documents: DataFrame, tag: str) -> DataFrame:

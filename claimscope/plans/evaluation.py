@@ -9,6 +9,7 @@ from claimscope.functions import scalars as sc
 from claimscope.operators import annotation as ann
 from claimscope.operators import nested
 from claimscope.operators import slotfilling as sf
+from claimscope.plans.relational import OPENED
 from claimscope.sources import derived as k
 from claimscope.sources.derived import sql
 from claimscope.tables import load
@@ -240,16 +241,16 @@ def sanitised_glosses(s: SparkSession, d: str) -> DataFrame:
     return j.select(*key, ann.sanitised(F.col("gloss"), under, F.col("b.s_gloss"), F.col("b.o_lo"), F.col("b.o_hi")).alias("action"))
 
 
-@query("""SELECT DISTINCT batch_id, id, role, lo, hi, gloss, mention_type, link FROM (SELECT batch_id, id, role, TRY_CAST(json_extract_string(params, '$.' || role || '.span[0]') AS INT) AS lo, TRY_CAST(json_extract_string(params, '$.' || role || '.span[1]') AS INT) AS hi,
+@query("""SELECT DISTINCT batch_id, id, role, lo, hi, gloss, mention_type, link FROM (SELECT batch_id, id, role, TRY_CAST(coalesce(json_extract_string(params, '$.' || role || '.span[0]'), json_extract_string(params, '$.' || old || '[1]')) AS INT) AS lo, TRY_CAST(coalesce(json_extract_string(params, '$.' || role || '.span[1]'), json_extract_string(params, '$.' || old || '[2]')) AS INT) AS hi,
  json_extract_string(params, '$.' || role || '.gloss') AS gloss, coalesce(json_extract_string(params, '$.' || role || '.type.name'), json_extract_string(params, '$.' || role || '.type')) AS mention_type, json_extract_string(params, '$.' || role || '.entity.link') AS link
- FROM (SELECT * FROM evaluation_question WHERE json_valid(params) AND json_type(params) = 'OBJECT'), (VALUES ('subject'), ('object')) v(role)) WHERE lo < hi""")
+ FROM oq, (VALUES ('subject', 'mention_1'), ('object', 'mention_2')) v(role, old)) WHERE lo < hi""", more=OPENED)
 def question_arguments(s: SparkSession, d: str) -> DataFrame:
     q = nested.with_object(load(s, d, "evaluation_question"), "params")
     return ann.question_arguments(q)
 
 
 @query("""SELECT DISTINCT batch_id, id, lo, hi, gloss, mention_type, link FROM (SELECT batch_id, id, TRY_CAST(x ->> '$.doc_char_begin' AS INT) AS lo, TRY_CAST(x ->> '$.doc_char_end' AS INT) AS hi, x ->> '$.gloss' AS gloss, coalesce(x ->> '$.type.name', x ->> '$.type') AS mention_type, x ->> '$.entity.link' AS link
- FROM (SELECT batch_id, id, unnest(CAST(params AS JSON) -> '$.mentions[*]') AS x FROM evaluation_question WHERE json_valid(params) AND json_type(params) = 'OBJECT')) WHERE lo < hi""")
+ FROM (SELECT batch_id, id, unnest(CAST(params AS JSON) -> '$.mentions[*]') AS x FROM oq)) WHERE lo < hi""", more=OPENED)
 def exhaustive_mentions(s: SparkSession, d: str) -> DataFrame:
     q = nested.with_object(load(s, d, "evaluation_question"), "params")
     return ann.exhaustive_mentions(q).distinct()

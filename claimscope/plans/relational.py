@@ -194,15 +194,25 @@ def corpus_listing(s: SparkSession, d: str) -> DataFrame:
     return a.join(b, "corpus_tag", "left").select("corpus_tag", "n_docs", F.coalesce("n_entities", F.lit(0)).alias("n_entities"))
 
 
-@query("""SELECT q.query, t.doc_id FROM q JOIN t USING (token) GROUP BY q.query, t.doc_id, q.n HAVING count(*) = q.n""",
-       more="""q0 AS (SELECT DISTINCT kb_entity AS query, list_distinct(regexp_extract_all(lower(regexp_replace(kb_entity, '^wiki:|_\\([^)]*\\)$', '', 'g')), '[a-z0-9]+')) AS toks FROM documents WHERE kb_entity IS NOT NULL),
-q AS (SELECT query, unnest(toks) AS token, len(toks) AS n FROM q0),
-t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents WHERE text IS NOT NULL)""")
+#: Names with their words and their runs of scripts without spaces, documents with their words; a name matches where all of
+#: its words are the document's and all of its runs are in the text.
+_U0 = "\\p{Han}\\p{Hiragana}\\p{Katakana}\\p{Thai}\\p{Lao}\\p{Khmer}\\p{Myanmar}\\x{30FC}\\x{3099}\\x{309A}\\x{FF70}\\x{FF9E}\\x{FF9F}"
+MATCHES = f"""n0 AS (SELECT DISTINCT kb_entity AS query, lower(regexp_replace(kb_entity, '^wiki:|_\\([^)]*\\)$', '', 'g')) AS name FROM documents WHERE kb_entity IS NOT NULL),
+tx AS (SELECT DISTINCT doc_id, lower(text) AS text FROM documents WHERE text IS NOT NULL),
+pn AS (SELECT query, list_filter(regexp_extract_all(name, '[{_U0}]+|[^{_U0}]+'), lambda x: true) AS parts FROM n0),
+nw AS (SELECT query, list_distinct(flatten(list_transform(list_filter(parts, lambda x: NOT regexp_matches(x, '^[{_U0}]')), lambda x: regexp_extract_all(x, '[\\p{{L}}\\p{{M}}\\p{{N}}]+')))) AS words,
+ list_distinct(flatten(list_transform(list_filter(parts, lambda x: regexp_matches(x, '^[{_U0}]')), lambda x: regexp_extract_all(x, '[\\p{{L}}\\p{{M}}\\p{{N}}]+')))) AS runs FROM pn),
+tw AS (SELECT DISTINCT doc_id, unnest(flatten(list_transform(list_filter(regexp_extract_all(text, '[{_U0}]+|[^{_U0}]+'), lambda x: NOT regexp_matches(x, '^[{_U0}]')), lambda x: regexp_extract_all(x, '[\\p{{L}}\\p{{M}}\\p{{N}}]+')))) AS token FROM tx),
+wm AS (SELECT q.query, t.doc_id FROM (SELECT query, unnest(words) AS token, len(words) AS n FROM nw) q JOIN tw t USING (token) GROUP BY q.query, t.doc_id, q.n HAVING count(*) = q.n),
+mt AS (SELECT wm.query, wm.doc_id FROM wm JOIN nw USING (query) JOIN tx USING (doc_id) WHERE list_bool_and(list_transform(runs, lambda r: contains(text, r))) IS NOT FALSE
+ UNION SELECT nw.query, tx.doc_id FROM nw JOIN tx ON contains(text, runs[1]) WHERE len(words) = 0 AND len(runs) > 0 AND list_bool_and(list_transform(runs, lambda r: contains(text, r))))"""
+
+
+@query("SELECT query, doc_id FROM mt", more=MATCHES)
 def text_match(s: SparkSession, d: str) -> DataFrame:
     """Documents that hold every lexeme of an entity's name, in any script; only lexemes of some name are shuffled.
     A lexeme is a run of letters, marks and digits. Scripts written without spaces have no borders of words: there, a
-    run counts wherever the text holds it. Its pairs of characters find the documents, whose texts are then searched.
-    The SQL has only lexemes of a-z and 0-9."""
+    run counts wherever the text holds it. Its pairs of characters find the documents, whose texts are then searched."""
     t = load(s, d, "documents")
     name = F.lower(F.regexp_replace("query", r"^wiki:|_\([^)]*\)$", ""))
     q = t.select(F.col("kb_entity").alias("query")).dropna().distinct().select("query", sc.lexemes(name, singles=False).alias("t"), sc.unspaced_runs(name).alias("runs"))
@@ -214,8 +224,14 @@ def text_match(s: SparkSession, d: str) -> DataFrame:
     return sure.select("query", "doc_id").union(doubtful.select("query", "doc_id"))
 
 
-_ASKED = """qs AS (SELECT DISTINCT json_extract_string(params, '$.doc_id') AS doc_id, TRY_CAST(json_extract_string(params, '$.subject.span[0]') AS INT) AS x, TRY_CAST(json_extract_string(params, '$.object.span[0]') AS INT) AS y
- FROM evaluation_question WHERE json_valid(params) AND json_type(params) = 'OBJECT')"""
+#: Questions whose payload is an object, also where it is a JSON string that holds it, once or twice.
+OPENED = """o1 AS (SELECT batch_id, id, CAST(params AS JSON) AS j FROM evaluation_question WHERE json_valid(params)),
+o2 AS (SELECT batch_id, id, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j ->> '$') THEN CAST(j ->> '$' AS JSON) END ELSE j END AS j FROM o1),
+o3 AS (SELECT batch_id, id, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j ->> '$') THEN CAST(j ->> '$' AS JSON) END ELSE j END AS j FROM o2),
+oq AS (SELECT DISTINCT batch_id, id, CAST(j AS VARCHAR) AS params FROM o3 WHERE json_type(j) = 'OBJECT')"""
+_ASKED = OPENED + """,
+qs AS (SELECT DISTINCT coalesce(json_extract_string(params, '$.doc_id'), json_extract_string(params, '$.mention_1[0]')) AS doc_id, TRY_CAST(coalesce(json_extract_string(params, '$.subject.span[0]'), json_extract_string(params, '$.mention_1[1]')) AS INT) AS x,
+ TRY_CAST(coalesce(json_extract_string(params, '$.object.span[0]'), json_extract_string(params, '$.mention_2[1]')) AS INT) AS y FROM oq)"""
 
 
 @query("""SELECT p.* FROM p WHERE NOT EXISTS (SELECT 1 FROM qs WHERE qs.doc_id = p.doc_id AND qs.x = p.s_lo AND qs.y = p.b_lo) AND NOT EXISTS (SELECT 1 FROM qs WHERE qs.doc_id = p.doc_id AND qs.x = p.b_lo AND qs.y = p.s_lo)""", more=_SAMPLE + ",\n" + _ASKED)
@@ -386,7 +402,7 @@ def text_under_span(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT DISTINCT batch_id, id, json_extract_string(params, '$.batch_type') AS batch_type, json_extract_string(params, '$.doc_id') AS doc_id,
- TRY_CAST(json_extract_string(params, '$.subject.span[0]') AS INT) AS subject_lo, json_extract_string(params, '$.mention_1[1]') AS legacy FROM evaluation_question WHERE json_valid(params) AND json_type(params) = 'OBJECT'""")
+ TRY_CAST(json_extract_string(params, '$.subject.span[0]') AS INT) AS subject_lo, json_extract_string(params, '$.mention_1[1]') AS legacy FROM oq""", more=OPENED)
 def json_question(s: SparkSession, d: str) -> DataFrame:
     at = lambda p: F.get_json_object("params", p)
     q = nested.with_object(load(s, d, "evaluation_question"), "params")
@@ -432,20 +448,17 @@ def capped_sizes(s: SparkSession, d: str) -> DataFrame:
 @query("""SELECT doc_id, sentence_lo, s_lo, s_hi, b_lo, b_hi, CASE WHEN s_lo <= b_lo THEN
  substring(g, 1, s_lo - sentence_lo) || '*' || substring(g, s_lo - sentence_lo + 1, s_hi - s_lo) || '*' || CASE WHEN b_lo > s_hi THEN substring(g, s_hi - sentence_lo + 1, b_lo - s_hi) ELSE '' END || '^' || substring(g, b_lo - sentence_lo + 1, b_hi - b_lo) || '^' || substring(g, b_hi - sentence_lo + 1)
  ELSE substring(g, 1, b_lo - sentence_lo) || '^' || substring(g, b_lo - sentence_lo + 1, b_hi - b_lo) || '^' || CASE WHEN s_lo > b_hi THEN substring(g, b_hi - sentence_lo + 1, s_lo - b_hi) ELSE '' END || '*' || substring(g, s_lo - sentence_lo + 1, s_hi - s_lo) || '*' || substring(g, s_hi - sentence_lo + 1) END AS example
- FROM (SELECT DISTINCT p.doc_id, s_lo, s_hi, b_lo, b_hi, t.span.lo AS sentence_lo, t.gloss AS g FROM p JOIN sentence t ON p.doc_id = t.doc_id AND t.span.lo <= least(s_lo, b_lo) AND greatest(s_hi, b_hi) <= t.span.hi WHERE length(t.gloss) = t.span.hi - t.span.lo AND (s_hi <= b_lo OR b_hi <= s_lo))""", more=_SAMPLE)
+ FROM (SELECT DISTINCT p.doc_id, s_lo, s_hi, b_lo, b_hi, t.span.lo AS sentence_lo, t.gloss AS g FROM p JOIN sentence t ON p.doc_id = t.doc_id AND t.span.lo <= least(s_lo, b_lo) AND greatest(s_hi, b_hi) <= t.span.hi WHERE t.gloss IS NOT NULL)""", more=_SAMPLE)
 def rendered_examples(s: SparkSession, d: str) -> DataFrame:
     p = _samples(s, d).select("doc_id", "s_lo", "s_hi", "b_lo", "b_hi").distinct().withColumns({"lo": F.least("s_lo", "b_lo"), "hi": F.greatest("s_hi", "b_hi")})
     t = load(s, d, "sentence").selectExpr("doc_id", "span.lo AS o_lo", "span.hi AS o_hi", "gloss").distinct()
-    j = ranges.contained_in(p, t, ["doc_id"]).filter("char_length(gloss) = o_hi - o_lo AND (s_hi <= b_lo OR b_hi <= s_lo)").select("doc_id", "o_lo", "s_lo", "s_hi", "b_lo", "b_hi", "gloss").distinct()
+    j = ranges.contained_in(p, t, ["doc_id"]).filter("gloss IS NOT NULL").select("doc_id", "o_lo", "s_lo", "s_hi", "b_lo", "b_hi", "gloss").distinct()
     return j.select("doc_id", F.col("o_lo").alias("sentence_lo"), "s_lo", "s_hi", "b_lo", "b_hi", sc.marked(F.col("gloss"), *map(F.col, ("o_lo", "s_lo", "s_hi", "b_lo", "b_hi"))).alias("example"))
 
 
-@query("SELECT a.submission_id, a.doc_id, a.lo, a.hi, min(levenshtein(a.t, b.t)) AS distance FROM t a JOIN e b ON a.submission_id = b.submission_id AND a.doc_id = b.doc_id AND a.lo = b.lo AND a.hi = b.hi GROUP BY ALL", "m", "l",
-       more="""t AS (SELECT submission_id, doc_id, lo, hi, unnest(string_split(lower(gloss), ' ')) AS t FROM m WHERE gloss IS NOT NULL AND regexp_full_match(gloss, '[ -~]+')),
-e AS (SELECT submission_id, doc_id, lo, hi, unnest(string_split(lower(replace(link_name, 'wiki:', '')), '_')) AS t FROM l WHERE regexp_full_match(link_name, '[ -~]+'))""")
+@query()
 def token_levenshtein(s: SparkSession, d: str) -> DataFrame:
-    """The least distance in code points between a word of a mention's gloss and a word of its link's name, in any script.
-    The SQL has only mentions whose gloss and name are printable ASCII."""
+    """The least distance in code points between a word of a mention's gloss and a word of its link's name, in any script."""
     key = ["submission_id", "doc_id", "lo", "hi"]
     a = k.latest_mentions(s, d).filter("gloss <> ''").select(*key, F.explode(F.split(F.lower("gloss"), r"[\s\p{Z}]")).alias("a"))
     b = k.latest_links(s, d).filter("link_name <> ''").select(*key, F.explode(F.split(F.lower(F.replace("link_name", F.lit("wiki:"), F.lit(""))), "_")).alias("b"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from claimscope.operators import distributions as dist
 from claimscope.operators import estimators as est
 from claimscope.operators import views
+from claimscope.plans.relational import MATCHES
 from claimscope.sources import derived as k
 from claimscope.sources.derived import sql
 from claimscope.tables import load
@@ -89,16 +90,12 @@ def audit_distribution(s: SparkSession, d: str) -> DataFrame:
     return unnormalised(entity_relation_distribution(s, d), ["submission_id"], "p").withColumn("total", F.round("total", 6))
 
 
-@query("""SELECT doc_id, round(hits / sum(hits) OVER ()::DOUBLE, 9) AS p FROM (SELECT doc_id, count(*)::DOUBLE AS hits FROM mt GROUP BY doc_id)""",
-       more="""q0 AS (SELECT DISTINCT kb_entity AS query, list_distinct(regexp_extract_all(lower(regexp_replace(kb_entity, '^wiki:|_\\([^)]*\\)$', '', 'g')), '[a-z0-9]+')) AS toks FROM documents WHERE kb_entity IS NOT NULL),
-q AS (SELECT query, unnest(toks) AS token, len(toks) AS n FROM q0),
-t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents WHERE text IS NOT NULL),
-mt AS (SELECT q.query, t.doc_id FROM q JOIN t USING (token) GROUP BY q.query, t.doc_id, q.n HAVING count(*) = q.n)""")
+@query("SELECT doc_id, round(hits / sum(hits) OVER ()::DOUBLE, 9) AS p FROM (SELECT doc_id, count(*)::DOUBLE AS hits FROM mt GROUP BY doc_id)", more=MATCHES)
 def document_entity(s: SparkSession, d: str) -> DataFrame:
     from claimscope.plans.relational import text_match
 
     hits = text_match(s, d).groupBy("doc_id").agg(F.count(F.lit(1)).cast("double").alias("p"))
-    return dist.normalised(hits.withColumn("_one", F.lit(1)), ["_one"]).select("doc_id", F.round("p", 9).alias("p"))
+    return dist.normalised(hits, []).select("doc_id", F.round("p", 9).alias("p"))
 
 
 _INST = "i AS (SELECT submission_id, subject_entity, relation, object_entity, count(*) AS n FROM k_relation GROUP BY ALL)"
@@ -132,8 +129,7 @@ def uniform_with_replacement(s: SparkSession, d: str) -> DataFrame:
 def kl_divergence(s: SparkSession, d: str) -> DataFrame:
     """Of each submission's relations from those of all submissions."""
     n = k.relations(s, d).groupBy("submission_id", "relation").agg(F.count(F.lit(1)).alias("p"))
-    every = n.groupBy("relation").agg(F.sum("p").alias("p")).withColumn("all", F.lit(1))
-    q = dist.normalised(every, ["all"])
+    q = dist.normalised(n.groupBy("relation").agg(F.sum("p").alias("p")), [])
     return dist.kl_divergence(dist.normalised(n, ["submission_id"]), q, ["relation"], ["submission_id"]).withColumn("kl", F.round("kl", 9))
 
 
