@@ -89,33 +89,41 @@ def _decoded(raw: bytes, codec: str) -> str | None:
         return None
 
 
-def _steps(piece: str):
+def _bad(text: str) -> bool:
+    return "\ufffd" in text if text.isprintable() else _BAD.search(text) is not None
+
+
+def _steps(piece: str) -> list[tuple[str, str, str]]:
     """(result, encoding, decoding) of every chain of one step that can be applied, equal bytes once."""
     seen: set[bytes] = set()
+    out = []
     for a in READ_AS:
         raw = _encode(piece, a)
         if raw is None or raw in seen:
             continue
         seen.add(raw)
         for b in TRUE:
-            if b != a:
-                text = _decoded(raw, b)
-                if text is not None and text != piece:
-                    yield text, a, b
+            try:
+                text = raw.decode(b)
+            except UnicodeDecodeError:
+                continue
+            if text != piece and b != a:
+                out.append((text, a, b))
+    return out
 
 
-@lru_cache(2_000)
+@lru_cache(4_000)
 def readings(piece: str) -> dict[str, str]:
     """What each chain makes of a piece: result -> name of its chain. Text that decodes from UTF-8 goes through every
     chain once more."""
     out: dict[str, str] = {}
     for text, a, b in _steps(piece):
-        if b == "utf-8" and _FOREIGN.search(text):
+        if b == "utf-8" and not text.isascii():
             for second, a2, b2 in _steps(text):
-                if second != piece and not _BAD.search(second):
+                if second != piece and not _bad(second):
                     out.setdefault(second, f"{a}>utf-8,{a2}>{b2}")
-        if not _BAD.search(text):
-            out[text] = f"{a}>{b}"
+        if not _bad(text):  # one step names a result before two do
+            out[text] = f"{a}>{b}" if "," in out.get(text, ",") else out[text]
     return out
 
 
