@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimscope.plans import analysis, answers, evaluation, exports, files, general, reading, relational, sampling
+from claimscope.plans import analysis, answers, evaluation, exports, files, general, reading, relational, sampling, streams
 
-QUERIES = {**general.QUERIES, **relational.QUERIES, **sampling.QUERIES, **evaluation.QUERIES, **reading.QUERIES, **answers.QUERIES, **analysis.QUERIES, **files.QUERIES, **exports.QUERIES}
-SQL = {**general.SQL, **relational.SQL, **sampling.SQL, **evaluation.SQL, **reading.SQL, **answers.SQL, **analysis.SQL, **files.SQL, **exports.SQL}
+QUERIES = {**general.QUERIES, **relational.QUERIES, **sampling.QUERIES, **evaluation.QUERIES, **reading.QUERIES, **answers.QUERIES, **analysis.QUERIES, **files.QUERIES, **exports.QUERIES, **streams.QUERIES}
+SQL = {**general.SQL, **relational.SQL, **sampling.SQL, **evaluation.SQL, **reading.SQL, **answers.SQL, **analysis.SQL, **files.SQL, **exports.SQL, **streams.SQL}
