@@ -25,6 +25,7 @@ result per doc_id and text; other columns don't matter.
 from __future__ import annotations
 
 import codecs
+import importlib
 import re
 from collections import Counter
 from functools import lru_cache
@@ -82,6 +83,16 @@ def _encode(text: str, codec: str) -> bytes | None:
         return None
 
 
+@lru_cache(None)
+def _decoders() -> list[tuple[str, str | None]]:
+    """The encodings of TRUE with their tables of 256 characters, None for those that have none."""
+    out = []
+    for codec in TRUE:
+        module = importlib.import_module("encodings." + codecs.lookup(codec).name.replace("-", "_"))
+        out.append((codec, getattr(module, "decoding_table", None)))
+    return out
+
+
 def _decoded(raw: bytes, codec: str) -> str | None:
     try:
         return raw.decode(codec)
@@ -102,9 +113,9 @@ def _steps(piece: str) -> list[tuple[str, str, str]]:
         if raw is None or raw in seen:
             continue
         seen.add(raw)
-        for b in TRUE:
+        for b, table in _decoders():
             try:
-                text = raw.decode(b)
+                text = raw.decode(b) if table is None else codecs.charmap_decode(raw, "strict", table)[0]
             except UnicodeDecodeError:
                 continue
             if text != piece and b != a:
