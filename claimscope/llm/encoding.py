@@ -195,10 +195,19 @@ def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _codes("".join(texts)), np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
 
 
+@lru_cache(1)
+def _scratch() -> np.ndarray:
+    """A table of zeros that is left as it was found."""
+    return np.zeros(1 << max(BITS), dtype=np.int32)
+
+
 def _own(h: np.ndarray) -> np.ndarray:
     """How often each bucket occurs in h itself."""
-    _, at, n = np.unique(h, return_inverse=True, return_counts=True)
-    return n[at]
+    table = _scratch()
+    np.add.at(table, h, 1)
+    n = table[h]
+    table[h] = 0
+    return n
 
 
 def presumed_clean(text: str) -> bool:
@@ -427,8 +436,7 @@ def _count(batches):
         sums = [np.zeros(n, dtype=np.int64) for n in size]
         for lo, hi in _chunks(clean):
             for n, h in zip(sums, _buckets(*_joined(clean[lo:hi]))):
-                at, times = np.unique(h, return_counts=True)
-                n[at] += times
+                np.add.at(n, h, 1)
         for order, n in enumerate(sums):
             at = np.flatnonzero(n)
             yield pd.DataFrame({"order": order, "bucket": at, "n": n[at]})
